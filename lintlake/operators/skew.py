@@ -7,8 +7,6 @@ rows. These helpers cut such groups along their order first.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +51,35 @@ def numbered(df: DataFrame, keys: list[str], by: str, low: str, high: str, rows:
     return joined.withColumn(out, F.col(out) + F.coalesce("_start", F.lit(0))).drop("_slice", "_start")
 
 
-def null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Equality of all ``names`` that also matches null with null."""
-    return reduce(lambda a, b: a & b, (left[n].eqNullSafe(right[n]) for n in names))
+def carried_last(
+    df: DataFrame, keys: list[str], part: str, order: list[str], value: Column, out: str
+) -> DataFrame:
+    """The last non-null ``value`` strictly before each row in ``order``, per ``keys``.
+
+    ``part`` is a coarse, monotone piece of the order (a day of a time line).
+    Rows are ordered inside their part only; the last value of a part, found
+    with a combining aggregate, is carried to the later parts.
+    """
+    here = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    ends = df.groupBy(*keys, part).agg(F.max_by(value, F.when(value.isNotNull(), F.struct(*order))).alias("_end"))
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    found = df.withColumn(out, F.last(value, ignorenulls=True).over(here))
+    return found.join(carried, [*keys, part], "left").withColumn(out, F.coalesce(out, "_carried")).drop("_carried")
+
+
+def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str) -> DataFrame:
+    """Rows of the same key in the ``seconds`` up to each row, its own time included.
+
+    The time line of a key is cut into slices; rows near the end of a slice
+    are repeated in the next one as context, so no task needs a whole key.
+    """
+    size, reach = max(4 * seconds, 3600) * 1_000_000, seconds * 1_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    sliced = df.withColumn("_us", us).withColumn("_slice", F.expr(f"_us div {size}"))
+    near_end = F.col("_us") - F.col("_slice") * size >= size - reach
+    spans = F.when(near_end, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    copies = sliced.withColumn("_copy", F.explode(spans)).withColumn("_slice", F.col("_slice") + F.col("_copy"))
+    window = Window.partitionBy(key, "_slice").orderBy("_us").rangeBetween(-reach, 0)
+    counted = copies.withColumn(out, F.count(F.lit(1)).over(window))
+    return counted.filter("_copy = 0").drop("_us", "_slice", "_copy")

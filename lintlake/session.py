@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,12 +21,25 @@ RUNTIME_SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on; cluster sizing is left alone."""
+    """Apply the runtime settings the operators rely on; cluster sizing is left alone.
+
+    Also ships this package to the Python workers, which need not share the
+    driver's working folder.
+    """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    _ship(spark.sparkContext.applicationId)
     return spark
 
 
+@cache
+def _ship(_application: str) -> None:
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lintlake-")
+    archive = shutil.make_archive(f"{folder}/lintlake", "zip", package.parent, package.name)
+    SparkSession.active().sparkContext.addPyFile(archive)
+
+
 def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark."""
     spark = (

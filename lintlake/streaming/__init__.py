@@ -1 +1 @@
-"""Structured Streaming jobs and their batch twins."""
+"""Structured Streaming jobs over scan life-cycle events, next to their batch twins."""
