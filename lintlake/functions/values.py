@@ -32,8 +32,10 @@ SNIPPET_RADIUS = 2
 SNIPPET_LINE_CHARS = 500
 
 # --- fixed values: credential masking ----------------------------------------
+# The part of a name before the keyword is kept by the replacement, so it is left
+# out of the pattern; that makes matching linear in the length of a word.
 MASK_ASSIGNMENT = (
-    r"""(?imU)((?:[\w]*?(?:password|passwd|api_key|secret|token|private_key)[\w]*)"""
+    r"""(?imU)((?:password|passwd|api_key|secret|token|private_key)[\w]*"""
     r"""\s*(?::[^=\n]{0,80})?=\s*)(["'])([^\n]*?)\2"""
 )
 MASK_TOKEN = (
@@ -41,6 +43,9 @@ MASK_TOKEN = (
     r"|AKIA[A-Z0-9]{16}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)\b"
 )
 MASK_PRIVATE_KEY = r"(?sd)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|$)"
+# Without one of these parts no mask can apply.
+TOKEN_PARTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "AKIA", "eyJ")
+PRIVATE_KEY_PART = "-----BEGIN "
 CREDENTIAL_MASK = "<redacted credential>"
 PRIVATE_KEY_MASK = "<redacted private key>"
 

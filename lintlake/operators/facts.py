@@ -62,42 +62,43 @@ def parse_status(facts: DataFrame) -> DataFrame:
     return facts.select("snapshot_id", "path", "ok", "error")
 
 
-def _resolve(name: Column) -> Column:
+def _resolve(name: Column, visible: Column) -> Column:
     """Full name a dotted reference stands for, given the file's bindings.
 
     The innermost visible scope that binds the first part decides. A name
     bound twice there, or bound to anything but an import, is unknown. An
     unbound ``eval`` or ``exec`` is the builtin.
     """
-    root = F.element_at(F.split(name, r"\."), 1)
+    root = F.substring_index(name, ".", 1)
     tail = F.substr(name, F.length(root) + 1)
-    owner = F.filter(
-        F.col("call.visible"),
-        lambda scope: F.exists("binds", lambda b: (b["scope_id"] == scope) & (b["name"] == root)),
-    )
-    hits = F.filter("binds", lambda b: (b["scope_id"] == F.get(owner, F.lit(0))) & (b["name"] == root))
+    named = F.filter("binds", lambda b: b["name"] == root)
+    owner = F.get(F.filter(visible, lambda scope: F.exists(named, lambda b: b["scope_id"] == scope)), F.lit(0))
+    hits = F.filter(named, lambda b: b["scope_id"] == owner)
     bound = F.when(F.size(hits) == 1, F.get(hits, F.lit(0))["target"])
     builtin = F.when(root.isin("eval", "exec"), F.concat(F.lit("builtins."), root))
-    return F.when(F.size(owner) > 0, F.concat(bound, tail)).otherwise(F.concat(builtin, tail))
+    return F.when(owner.isNotNull(), F.concat(bound, tail)).otherwise(F.concat(builtin, tail))
 
 
 def calls(facts: DataFrame) -> DataFrame:
     """watched calls with the full names they resolve to.
 
     Bindings and calls of a file sit in the same row, so resolution is a
-    higher-order expression and needs no join.
+    higher-order expression and needs no join. It happens before the calls are
+    exploded, so that filters on a name do not resolve it again.
     """
-    return (
-        facts.select("snapshot_id", "path", "binds", F.explode("calls").alias("call"))
-        .select(
-            "snapshot_id", "path", "call.line", "call.col",
-            _resolve(F.col("call.func")).alias("qualified_name"),
-            "call.arg0_kind",
-            _resolve(F.col("call.arg0_func")).alias("arg0_call_name"),
-            _resolve(F.col("call.loader")).alias("loader_name"),
-            "call.n_args", "call.scope", "call.anchor", "call.snippet",
-        )
+    resolved = F.transform(
+        "calls",
+        lambda call: F.struct(
+            call["line"].alias("line"), call["col"].alias("col"),
+            _resolve(call["func"], call["visible"]).alias("qualified_name"),
+            call["arg0_kind"].alias("arg0_kind"),
+            _resolve(call["arg0_func"], call["visible"]).alias("arg0_call_name"),
+            _resolve(call["loader"], call["visible"]).alias("loader_name"),
+            call["n_args"].alias("n_args"), call["scope"].alias("scope"),
+            call["anchor"].alias("anchor"), call["snippet"].alias("snippet"),
+        ),
     )
+    return facts.select("snapshot_id", "path", F.explode(resolved).alias("f")).select("snapshot_id", "path", "f.*")
 
 
 def _exploded(facts: DataFrame, column: str) -> DataFrame:
