@@ -67,7 +67,7 @@ def snippet(all_lines: Column | str, line: Column | str, radius: int = V.SNIPPET
         part,
         lambda text, i: F.format_string("%4d | %s", start + i, F.substring(text, 1, V.SNIPPET_LINE_CHARS)),
     )
-    return redact(F.array_join(shown, "\n"))
+    return F.when(line.isNotNull(), redact(F.array_join(shown, "\n")))
 
 
 def path_parts(path: Column | str) -> Column:

@@ -2,29 +2,79 @@
 
 from __future__ import annotations
 
-import re
+import os
+import stat
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lintlake import schemas
 from lintlake.functions import values as V
 from lintlake.functions.text import directory_keys, file_name, ignored, path_parts, source_text, walk_key
 from lintlake.operators.skew import first_n
+from lintlake.session import spread
 
 KEY = "snapshot_id"
 
 
-def read_source_tree(spark: SparkSession, root: str, snapshot_id: int = 0) -> DataFrame:
-    """``*.py`` files below ``root`` as ``(snapshot_id, path, length, content)``."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.py")
-        .load(root)
+def list_source_trees(roots: DataFrame) -> DataFrame:
+    """Regular files below each root of ``roots(snapshot_id, root)``, symbolic links left out.
+
+    Spark's own file listing hides empty files and names that start with an
+    underscore, which source trees are full of, so each task walks its roots.
+    Folders must be reachable from the executors.
+    """
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for snapshot, root in zip(frame[KEY], frame["root"]):
+                for folder, _, names in os.walk(root, followlinks=False):
+                    listed = []
+                    for name in names:
+                        full = os.path.join(folder, name)
+                        info = os.lstat(full)
+                        if stat.S_ISREG(info.st_mode):
+                            listed.append((snapshot, root, os.path.relpath(full, root), info.st_size))
+                    yield pd.DataFrame(listed, columns=[KEY, "root", "path", "length"])
+
+    return spread(roots.select(KEY, "root")).mapInPandas(walk, f"{KEY} BIGINT, root STRING, path STRING, length BIGINT")
+
+
+def read_source_trees(roots: DataFrame) -> DataFrame:
+    """``(snapshot_id, path, length, content)`` of every file; content only of eligible Python files.
+
+    The listing is spread over all cores before contents are read, so one
+    large tree does not stay with the task that listed it.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            contents = []
+            for root, path, wanted in zip(frame["root"], frame["path"], frame["wanted"]):
+                data = None
+                if wanted:
+                    try:
+                        with open(os.open(os.path.join(root, path), os.O_RDONLY | os.O_NOFOLLOW), "rb") as handle:
+                            data = handle.read(V.MAX_FILE_BYTES + 1)
+                    except OSError:
+                        pass  # gone or replaced since it was listed
+                contents.append(data)
+            yield frame.drop(columns=["root", "wanted"]).assign(content=contents)
+
+    listed = list_source_trees(roots)
+    parts = 4 * listed.sparkSession.sparkContext.defaultParallelism
+    return (
+        listed.withColumn("wanted", is_eligible())
+        .repartition(parts, KEY, "path")
+        .mapInPandas(read, schemas.SOURCE_FILES)
     )
-    base = re.sub(r"^[A-Za-z0-9+.-]+:/*", "/", root.rstrip("/")) + "/"
-    relative = F.substr("path", F.instr("path", base) + len(base))
-    return files.select(F.lit(snapshot_id).cast("long").alias(KEY), relative.alias("path"), "length", "content")
+
+
+def read_source_tree(spark: SparkSession, root: str, snapshot_id: int = 0) -> DataFrame:
+    """S1 for one tree."""
+    return read_source_trees(spark.createDataFrame([(snapshot_id, root)], f"{KEY} BIGINT, root STRING"))
 
 
 def with_source(files: DataFrame) -> DataFrame:
@@ -34,9 +84,13 @@ def with_source(files: DataFrame) -> DataFrame:
     )
 
 
+def is_eligible() -> Column:
+    return file_name("path").endswith(".py") & ~ignored("path") & (F.col("length") <= V.MAX_FILE_BYTES)
+
+
 def eligible_files(files: DataFrame) -> DataFrame:
     """Python files outside ignored directories and not above the size limit."""
-    return files.filter(file_name("path").endswith(".py") & ~ignored("path") & (F.col("length") <= V.MAX_FILE_BYTES))
+    return files.filter(is_eligible())
 
 
 def inventory_cuts(
