@@ -75,10 +75,12 @@ PRIORITY_CONTEXT_PARTS = ("tests", "test", "testing", "fixtures", "examples", "d
 HOTSPOT_POINTS = {"critical": 16, "high": 8, "medium": 3}
 
 # --- fixed values: repository addresses --------------------------------------
+# Owner: 1-39 letters, digits and single inner hyphens. Name: 1-100 characters with
+# one final ".git" taken off, then not empty, "." or "..", and not starting with "-".
 REPOSITORY_URL = (
-    r"^https://(github\.com|www\.github\.com)/([A-Za-z0-9][A-Za-z0-9-]{0,38})/([A-Za-z0-9_.-]{1,100})/?\z"
+    r"^https://(?:www\.)?github\.com/([A-Za-z0-9](?:[A-Za-z0-9]|-(?=[A-Za-z0-9])){0,38})"
+    r"/(?=[A-Za-z0-9_.-]{1,100}/*\z)(?!-|\.git/*\z|\.{1,2}(?:\.git)?/*\z)([A-Za-z0-9_.-]+?)(?:\.git)?/*\z"
 )
-REPOSITORY_URL_CHARS = 200
 
 # --- fixed values: reviews ---------------------------------------------------
 REVIEW_LIMIT = 24

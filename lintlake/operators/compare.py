@@ -22,18 +22,10 @@ VERSION_WARNING = "The analysis versions differ or are unknown, so rule changes
 
 def repository_key(url: Column | str) -> Column:
     """One key for all spellings of a public repository address, null if it is not one."""
-    url = F.regexp_replace(col(url), "/+$", "")
-    owner = F.regexp_extract(url, V.REPOSITORY_URL, 2)
-    name = F.regexp_replace(F.regexp_extract(url, V.REPOSITORY_URL, 3), r"\.git\z", "")
-    valid = (
-        (F.length(url) <= V.REPOSITORY_URL_CHARS)
-        & (owner != "")
-        & ~owner.endswith("-")
-        & ~owner.contains("--")
-        & ~name.isin("", ".", "..")
-        & ~name.startswith("-")
-    )
-    return F.when(valid, F.concat(F.lit("github.com/"), F.lower(owner), F.lit("/"), F.lower(name)))
+    url = col(url)
+    return F.when(
+        url.rlike(V.REPOSITORY_URL), F.lower(F.regexp_replace(url, V.REPOSITORY_URL, "github.com/$1/$2"))
+    )
 
 
 def repository_identity(repos: DataFrame) -> DataFrame:

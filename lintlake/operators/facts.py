@@ -13,7 +13,6 @@ from pyspark.sql.types import StructType
 from lintlake import schemas
 from lintlake.functions import values as V
 from lintlake.functions.pyfacts import Watch, file_facts
-from lintlake.session import spread
 
 DEFAULT_WATCH = Watch(
     modules=frozenset({"pickle", "_pickle", "yaml"}),
@@ -54,7 +53,7 @@ def extract_facts(files: DataFrame, watch: Watch = DEFAULT_WATCH) -> DataFrame:
             columns = zip(*rows) if rows else [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow)], schema=arrow)
 
-    return spread(files.select("snapshot_id", "path", "source")).mapInArrow(parse, schema)
+    return files.select("snapshot_id", "path", "source").mapInArrow(parse, schema)
 
 
 def parse_status(facts: DataFrame) -> DataFrame:

@@ -87,11 +87,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work at least one partition per core.
+def spread(scan: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a small input at least one partition per core.
 
-    A small input may arrive as a single file. Large inputs already have more
-    partitions than cores and are returned untouched, without a shuffle.
+    For plain scans only, whose partitions are known without running anything.
+    A small table may be a single file; a large one already has more
+    partitions than there are cores and is returned untouched, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
