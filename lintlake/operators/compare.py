@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions import values as V
 from lintlake.functions.text import col
+from lintlake.operators import skew
 from lintlake.operators.findings import legacy_key
 from lintlake.operators.priority import issue_payload
-from lintlake.operators.skew import carried_last, numbered
 from lintlake.session import materialize
 
 NO_BASELINE = "There is no earlier completed scan of this repository."
@@ -52,7 +52,7 @@ def previous_completed_scan(scans: DataFrame, repos: DataFrame) -> DataFrame:
     wanted = [c for c in ("score", "analysis_version", "source_commit") if c in scans.columns]
     completed = F.when(F.col("status") == "completed", F.struct("scan_id", *wanted))
     line = ["owner_id", "repo_key"]
-    joined = carried_last(timed, line, "day", ["created_at", "scan_id"], completed, "baseline")
+    joined = skew.carried_last(timed, line, "day", ["created_at", "scan_id"], completed, "baseline")
     return joined.select(
         *scans.columns, *line, F.col("baseline.scan_id").alias("baseline_id"),
         *(F.col(f"baseline.{c}").alias(f"baseline_{c}") for c in wanted),
@@ -92,11 +92,12 @@ def identity_mode() -> Column:
 def diff_findings(pairs: DataFrame, issues: DataFrame) -> DataFrame:
     """C4: ``new``, ``unchanged`` and ``resolved`` issues of every pair, as multisets.
 
-    Equal keys are matched in the order of their ids. Counts per key, which
-    combine before the shuffle, settle all groups except those that occur on
-    both sides and more often on one; only their larger side is numbered.
-    Unchanged rows carry the current id, resolved rows that of the baseline.
-    The narrow rows with their counts are written once; both kinds read them.
+    Equal keys are matched in the order of their ids: with ``n`` rows on one
+    side and ``m`` on the other the first ``min(n, m)`` of each are the same
+    findings. Unchanged rows carry the current id, resolved rows that of the
+    baseline. The narrow rows are written once. Counts per key, which combine
+    before the shuffle, name the keys too large for one task; those rows never
+    meet in one, all others are numbered in a window.
     """
     narrow = issues.select("scan_id", "id", "comparison_key", legacy_key().alias("_legacy"))
     sides = pairs.select("scan_id", "baseline_id", "structural")
@@ -105,33 +106,33 @@ def diff_findings(pairs: DataFrame, issues: DataFrame) -> DataFrame:
     before = narrow.withColumnRenamed("scan_id", "baseline_id").join(sides, "baseline_id").select(
         "scan_id", "baseline_id", key, "id", F.lit(False).alias("is_after")
     )
-    rows = after.unionByName(before)
+    rows = materialize(after.unionByName(before), "sides")
+    keys, is_after = ["scan_id", "key"], F.col("is_after")
 
-    own = lambda flag: F.when(F.col("is_after") == flag, F.col("id"))
-    groups = rows.groupBy("scan_id", "key").agg(
+    own = lambda flag: F.when(is_after == flag, F.col("id"))
+    groups = rows.groupBy(*keys).agg(
         F.count(own(True)).alias("n_after"), F.count(own(False)).alias("n_before"),
         F.min(own(True)).alias("low_after"), F.max(own(True)).alias("high_after"),
         F.min(own(False)).alias("low_before"), F.max(own(False)).alias("high_before"),
     )
-    n_after, n_before, is_after = F.col("n_after"), F.col("n_before"), F.col("is_after")
-    contested = (n_after > 0) & (n_before > 0) & (
-        (is_after & (n_after > n_before)) | (~is_after & (n_before > n_after))
-    )
-    labelled = rows.join(groups, ["scan_id", "key"]).withColumn("contested", contested)
-    labelled = materialize(labelled, "labelled")
-    settled = labelled.filter("NOT contested").withColumn(
-        "matched", F.when(is_after, n_before > 0).otherwise(n_after > 0)
-    )
+    large = materialize(groups.filter(F.col("n_after") + F.col("n_before") > skew.SLICE_ROWS), "large")
+
+    small = rows.join(large, keys, "left_anti")
+    side = Window.partitionBy(*keys, "is_after").orderBy("id")
+    both = Window.partitionBy(*keys)
+    n_after = F.count_if(is_after).over(both)
+    shared = F.least(n_after, F.count(F.lit(1)).over(both) - n_after)
+    small = small.withColumn("matched", F.row_number().over(side) <= shared)
+
     pick = lambda name: F.when(is_after, F.col(f"{name}_after")).otherwise(F.col(f"{name}_before")).alias(f"_{name}")
-    open_rows = labelled.filter("contested").select(
-        "scan_id", "baseline_id", "key", "id", "is_after",
-        pick("low"), pick("high"), pick("n"), F.least("n_after", "n_before").alias("_shared"),
+    spread = rows.join(large, keys).select(
+        *rows.columns, pick("low"), pick("high"), pick("n"), F.least("n_after", "n_before").alias("_shared")
     )
-    ranked = numbered(open_rows, ["scan_id", "key", "is_after"], "id", "_low", "_high", "_n", "_rank")
-    ranked = ranked.withColumn("matched", F.col("_rank") <= F.col("_shared"))
+    spread = skew.numbered(spread, [*keys, "is_after"], "id", "_low", "_high", "_n", "_rank")
+    spread = spread.withColumn("matched", F.col("_rank") <= F.col("_shared"))
 
     columns = ("scan_id", "baseline_id", "id", "is_after", "matched")
-    every = settled.select(*columns).unionByName(ranked.select(*columns))
+    every = small.select(*columns).unionByName(spread.select(*columns))
     state = F.when(is_after, F.when(F.col("matched"), "unchanged").otherwise("new")).otherwise("resolved")
     return every.filter(is_after | ~F.col("matched")).select("scan_id", "baseline_id", "id", state.alias("state"))
 

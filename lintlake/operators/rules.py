@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lintlake.functions import values as V
 from lintlake.functions.text import file_name, path_parts
 from lintlake.operators import facts as facts_
+from lintlake.session import materialize
 
 logger = logging.getLogger(__name__)
 
@@ -156,34 +157,47 @@ def _silenced(*codes: str) -> Column:
     return F.coalesce((noqa == "") | F.arrays_overlap(listed, F.array(*map(F.lit, codes))), F.lit(False))
 
 
-def _unused(definitions: DataFrame, uses: DataFrame, kind: str, label: str, confidence: int) -> DataFrame:
-    hits = definitions.filter(F.col("kind") == kind).join(uses, ["snapshot_id", "name"], "left_anti")
+UNUSED = {"import": ("import", 90), "argument": ("variable", 100)}  # kind: label, confidence
+
+
+def unused_definitions(definitions: DataFrame, uses: DataFrame) -> DataFrame:
+    """Imports and arguments whose name nothing in the snapshot uses.
+
+    Names are made distinct before they are compared, and the unused ones are
+    written, so that a name defined very often is neither gathered in one task
+    nor keeps Spark from splitting or broadcasting the last join.
+    """
+    codes = F.when(F.col("kind") == "import", _silenced("F401", "V104")).otherwise(_silenced("F841", "V107"))
+    package = (F.col("kind") == "import") & ((file_name("path") == "__init__.py") | F.col("explicit_reexport"))
+    kept = definitions.filter(~codes & ~package)
+    key = ["snapshot_id", "name"]
+    names = materialize(kept.select(*key).distinct().join(uses, key, "left_anti"), "unused")
+    kind, name = F.col("kind"), F.col("name")
+    label = _choose(kind, {k: text for k, (text, _) in UNUSED.items()})
+    confidence = F.when(kind == "import", UNUSED["import"][1]).otherwise(UNUSED["argument"][1])
     return _findings(
-        hits,
+        kept.join(names, key, "left_semi"),
         category=F.lit("dead_code"),
         severity=F.lit("low"),
-        title=F.concat(F.lit(f"Potentially unused {label}: "), F.col("name")),
+        title=F.concat(F.lit("Potentially unused "), label, F.lit(": "), name),
         message=F.concat(
-            F.lit(f"The {label} '"), F.col("name"),
-            F.lit(f"' is not used anywhere in the snapshot ({confidence}% confidence). Dynamic use is not visible."),
+            F.lit("The "), label, F.lit(" '"), name, F.lit("' is not used anywhere in the snapshot ("),
+            confidence.cast("string"), F.lit("% confidence). Dynamic use is not visible."),
         ),
         fix_suggestion=F.lit("Check dynamic consumers and public exports, then remove it or mark it as intended."),
-        rule_id=F.concat(F.lit(f"dead-code.{label}."), F.col("name")),
-        confidence=F.lit(confidence),
+        rule_id=F.concat(F.lit("dead-code."), label, F.lit("."), name),
+        confidence=confidence,
     )
 
 
 def unused_imports(definitions: DataFrame, uses: DataFrame) -> DataFrame:
     """Imported names that nothing in the snapshot uses."""
-    kept = definitions.filter(
-        (file_name("path") != "__init__.py") & ~F.col("explicit_reexport") & ~_silenced("F401", "V104")
-    )
-    return _unused(kept, uses, "import", "import", 90)
+    return unused_definitions(definitions.filter(F.col("kind") == "import"), uses)
 
 
 def unused_arguments(definitions: DataFrame, uses: DataFrame) -> DataFrame:
     """Argument names that nothing in the snapshot uses."""
-    return _unused(definitions.filter(~_silenced("F841", "V107")), uses, "argument", "variable", 100)
+    return unused_definitions(definitions.filter(F.col("kind") == "argument"), uses)
 
 
 def unreachable_code(unreachable: DataFrame) -> DataFrame:
@@ -210,8 +224,7 @@ RULES: dict[str, Rule] = {
     "credentials": lambda f: credentials(facts_.string_assigns(f)),
     "complexity": lambda f: complexity(facts_.functions(f)),
     "long_parameter_lists": lambda f: long_parameter_lists(facts_.functions(f)),
-    "unused_imports": lambda f: unused_imports(facts_.open_definitions(f), facts_.name_uses(f)),
-    "unused_arguments": lambda f: unused_arguments(facts_.open_definitions(f), facts_.name_uses(f)),
+    "unused_definitions": lambda f: unused_definitions(facts_.open_definitions(f), facts_.name_uses(f)),
     "unreachable_code": lambda f: unreachable_code(facts_.unreachable(f)),
 }
 
@@ -242,6 +255,11 @@ def finding_guard(findings: DataFrame, limit: int = V.MAX_FINDINGS) -> DataFrame
 
 
 def within_guard(findings: DataFrame, limit: int = V.MAX_FINDINGS) -> DataFrame:
-    """Findings of scans that do not fail; a failing scan keeps none rather than some."""
+    """Findings of scans that do not fail; a failing scan keeps none rather than some.
+
+    This bounds every later group that lies within a scan. The failing scans
+    are written first, so that the join is planned knowing how few they are
+    and does not gather the scan that is too large.
+    """
     failed = finding_guard(findings, limit).filter("over_limit").select("scan_id")
-    return findings.join(failed, "scan_id", "left_anti")
+    return findings.join(materialize(failed, "failed"), "scan_id", "left_anti")

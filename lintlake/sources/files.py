@@ -14,7 +14,7 @@ from lintlake import schemas
 from lintlake.functions import values as V
 from lintlake.functions.text import directory_keys, file_name, ignored, path_parts, source_text, walk_key
 from lintlake.operators.skew import first_n
-from lintlake.session import spread
+from lintlake.session import materialize, spread
 
 KEY = "snapshot_id"
 
@@ -106,21 +106,25 @@ def inventory_cuts(
     as the limit allows.
     """
     files = files.select(KEY, "path", "length")
-    python = eligible_files(files)
-    entered = files.filter(~ignored("path"))
+    python, entered = eligible_files(files), files.filter(~ignored("path"))
+    # A file lies in as many directories as its path has parts, the root included.
+    counted = entered.groupBy(KEY).agg(
+        F.count_if(is_eligible()).alias("n"),
+        F.sum(F.when(is_eligible(), F.col("length"))).alias("b"),
+        F.sum(F.size(path_parts("path"))).alias("d"),
+    )
+    heavy, wide = (F.col("n") > max_files) | (F.col("b") > max_bytes), F.col("d") > max_dirs
+    suspects = counted.select(KEY, F.coalesce(heavy, F.lit(False)).alias("heavy"), wide.alias("wide")).filter("heavy OR wide")
+    suspects = materialize(suspects, "suspects")
 
-    heavy = python.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b"))
-    heavy = heavy.filter((F.col("n") > max_files) | (F.col("b") > max_bytes)).select(KEY)
-    ordered = python.join(heavy, KEY, "left_semi").select(KEY, walk_key("path").alias("cut"), "length")
+    ordered = python.join(suspects.filter("heavy"), KEY, "left_semi").select(KEY, walk_key("path").alias("cut"), "length")
     ordered = first_n(ordered, [KEY], [F.col("cut")], max_files + 1)
     so_far = Window.partitionBy(KEY).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
     file_cut = ordered.withColumn("bytes", F.sum("length").over(so_far)).filter(
         (F.col("rn") > max_files) | (F.col("bytes") > max_bytes)
     )
 
-    # A file lies in as many directories as its path has parts, the root included.
-    wide = entered.groupBy(KEY).agg(F.sum(F.size(path_parts("path"))).alias("d")).filter(F.col("d") > max_dirs)
-    folders = entered.join(wide.select(KEY), KEY, "left_semi").select(KEY, F.explode(directory_keys("path")).alias("cut"))
+    folders = entered.join(suspects.filter("wide"), KEY, "left_semi").select(KEY, F.explode(directory_keys("path")).alias("cut"))
     folders = first_n(folders.distinct(), [KEY], [F.col("cut")], max_dirs + 1)
     folder_cut = folders.filter(F.col("rn") > max_dirs)
 
@@ -137,11 +141,17 @@ def bounded_inventory(
     """S3: the files a walk yields before it reaches a limit.
 
     Files before the cut are exactly those of the walk, so the limit is a
-    filter and file contents are not sorted. Directories are those that hold
-    files of any kind; an empty one does not exist in a table of files.
+    filter and file contents are not sorted. The cuts, one short row for each
+    snapshot that reaches a limit, are written first: their size is then known
+    when the join is planned, and contents are not shuffled to meet them.
+    Directories are those that hold files of any kind; an empty one does not
+    exist in a table of files.
     """
-    cuts = inventory_cuts(files, max_files, max_bytes, max_dirs)
-    kept = eligible_files(files).join(cuts, KEY, "left")
+    cuts = materialize(inventory_cuts(files, max_files, max_bytes, max_dirs), "cuts")
+    kept = eligible_files(files)
+    if cuts.isEmpty():
+        return kept
+    kept = kept.join(cuts, KEY, "left")
     return kept.filter(F.col("cut").isNull() | (walk_key("path") < F.col("cut"))).drop("cut")
 
 
@@ -166,6 +176,7 @@ def resource_audit(
         F.sum("length").alias("b"), F.sum(F.size(path_parts("path"))).alias("most_entries")
     )
     suspects = totals.filter((F.col("b") > byte_limit) | (F.col("most_entries") > entry_limit)).select(KEY)
+    suspects = materialize(suspects, "suspects")
     listed = files.join(suspects, KEY, "left_semi")
 
     parent = F.element_at(directory_keys("path"), -1)

@@ -65,15 +65,19 @@ def test_snapshots_to_tables(spark, tmp_path):
     assert keys(1) < keys(2)  # a moved line is the same finding
 
 
-def test_content_is_parsed_where_it_is_read(spark):
-    """No shuffle carries file contents between the scan and the parser."""
+@pytest.mark.parametrize("limits", [{}, {"max_files": 1}])
+def test_content_is_parsed_where_it_is_read(spark, tmp_path, limits):
+    """No shuffle carries file contents between the scan and the parser, with or without cuts."""
     from lintlake.operators.facts import extract_facts
     from lintlake.sources.files import bounded_inventory, with_source
 
-    many = files(spark, SOURCES).repartition(16)
-    plan = extract_facts(with_source(bounded_inventory(many)))._jdf.queryExecution().optimizedPlan().toString()
-    before_parse = plan.split("MapInArrow")[1]
-    assert "Repartition" not in before_parse.split("Join")[0]
+    files(spark, SOURCES).write.parquet(str(tmp_path / "files"))
+    stored = spark.read.parquet(str(tmp_path / "files"))
+    parsed = extract_facts(with_source(bounded_inventory(stored, **limits)))
+    assert parsed.filter("ok").count() == (3 if limits else 5)
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning" not in plan and "RoundRobin" not in plan
+    assert ("BroadcastHashJoin" in plan) == bool(limits)
 
 
 def test_old_tables_gain_columns(spark):
