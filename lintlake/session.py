@@ -79,10 +79,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Used where several branches read an expensive result (the parsed facts).
     A Parquet table survives lost executors and, unlike a cached or
-    checkpointed frame, lets every branch read only its own columns.
+    checkpointed frame, lets every branch read only its own columns. Small
+    tables also get a known size, which join planning goes by. All tables of
+    an application lie in one folder, to be removed when it has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lintlake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

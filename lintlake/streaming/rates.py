@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lintlake.functions import values as V
 from lintlake.operators.skew import trailing_count
+from lintlake.session import materialize
 
 LABEL_SCHEMA = "event_id BIGINT, key BIGINT, ts TIMESTAMP, admitted BOOLEAN"
 
@@ -40,8 +41,9 @@ def admit_requests(events: DataFrame, key: str, seconds: int = V.RATE_SECONDS, l
     for the others does a decision depend on earlier ones; their rows pass
     through in time order holding at most ``limit`` times, never a whole key.
     """
-    labelled = label_rates(events.select("event_id", F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("ts")), "key", seconds, limit)
-    busy = labelled.filter("over_limit").select("key").distinct()
+    keyed = events.select("event_id", F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    labelled = materialize(label_rates(keyed, "key", seconds, limit), "rates")
+    busy = materialize(labelled.filter("over_limit").select("key").distinct(), "busy")
     settled = labelled.join(busy, "key", "left_anti").select("event_id", "key", "ts", F.lit(True).alias("admitted"))
     reach = seconds * 1_000_000
 
