@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lintlake.functions import values as V
-from lintlake.operators.skew import trailing_count
+from lintlake.operators.skew import carried_last, trailing_count
 from lintlake.session import materialize
 
 LABEL_SCHEMA = "event_id BIGINT, key BIGINT, ts TIMESTAMP, admitted BOOLEAN"
@@ -37,9 +37,11 @@ def admit_requests(events: DataFrame, key: str, seconds: int = V.RATE_SECONDS, l
     """Which requests a sliding limit lets through, in batch.
 
     A request whose trailing count stays within the limit is always admitted,
-    so keys that never exceed it are settled by the sliced window alone. Only
-    for the others does a decision depend on earlier ones; their rows pass
-    through in time order holding at most ``limit`` times, never a whole key.
+    so keys that never exceed it are settled by the sliced window alone. For
+    the others a decision depends on earlier ones, but only back to the last
+    request that had none before it in the span: there the key's time line is
+    cut. The rows of a stretch pass through in time order holding at most
+    ``limit`` times, never a whole key.
     """
     keyed = events.select("event_id", F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     labelled = materialize(label_rates(keyed, "key", seconds, limit), "rates")
@@ -51,17 +53,19 @@ def admit_requests(events: DataFrame, key: str, seconds: int = V.RATE_SECONDS, l
         current, recent = None, deque()
         for frame in frames:
             admitted = []
-            for k, us in zip(frame["key"], frame["us"]):
-                if k != current:
-                    current, recent = k, deque()
+            for k, start, us in zip(frame["key"], frame["start"], frame["us"]):
+                if (k, start) != current:
+                    current, recent = (k, start), deque()
                 admitted.append(_decide(recent, us, limit, reach))
-            yield frame.assign(admitted=admitted).drop(columns="us")
+            yield frame.assign(admitted=admitted)[["event_id", "key", "ts", "admitted"]]
 
+    timed = labelled.join(busy, "key", "left_semi").withColumns({"us": F.unix_micros("ts"), "day": F.to_date("ts")})
+    alone = F.when(F.col("recent") == 1, F.col("us"))
+    cut = carried_last(timed, ["key"], "day", ["us", "event_id"], alone, "start")
     contested = (
-        labelled.join(busy, "key", "left_semi")
-        .select("event_id", "key", "ts", F.unix_micros("ts").alias("us"))
-        .repartition("key")
-        .sortWithinPartitions("key", "us", "event_id")
+        cut.select("event_id", "key", "ts", "us", F.coalesce(alone, F.col("start"), F.lit(0)).alias("start"))
+        .repartition("key", "start")
+        .sortWithinPartitions("key", "start", "us", "event_id")
         .mapInPandas(pass_through, LABEL_SCHEMA)
     )
     return settled.unionByName(contested)

@@ -126,6 +126,7 @@ def test_admission_equals_the_sequential_limit(spark):
     rng = random.Random(4)
     events = [(i, rng.choice([1, 1, 1, 2, 3, 4]), T0 + timedelta(seconds=rng.randint(0, 3000))) for i in range(1200)]
     events += [(2000 + n, 9, T0 + timedelta(seconds=60 * n)) for n in range(30)]
+    events += [(3000 + n, 5, T0 + timedelta(hours=9 * (n // 12), seconds=n % 12)) for n in range(96)]  # bursts over days
     df = spark.createDataFrame(events, "event_id bigint, who bigint, ts timestamp")
     got = {r.event_id: r.admitted for r in rates.admit_requests(df, "who", 60, 5).collect()}
     assert got == admitted(events, 60, 5) and not all(got.values())
