@@ -15,7 +15,7 @@ from lintlake.operators.findings import (
 )
 from lintlake.operators.scoring import health_score
 from lintlake.session import materialize
-from lintlake.sources.files import bounded_inventory, with_source, workload
+from lintlake.sources.files import bounded_inventory, read_source_trees, with_source, workload
 
 
 class Analysis(NamedTuple):
@@ -39,15 +39,21 @@ def findings_of(facts: DataFrame, rules: dict = rules_.RULES) -> tuple[DataFrame
 
 
 def analyze_snapshots(files: DataFrame, rules: dict = rules_.RULES) -> Analysis:
-    """Analyse ``files(snapshot_id, path, length, content)``.
+    """Analyse a table ``files(snapshot_id, path, length, content)``.
 
     The content is read and parsed in the same task and never shuffled; from
-    then on only facts and findings move.
+    then on only facts and findings move. Inventory and workload read the
+    narrow columns of the same table.
     """
     inventory = bounded_inventory(files)
     facts = materialize(extract_facts(with_source(inventory)), "facts")
     guard, findings = findings_of(facts, rules)
-    return Analysis(workload(bounded_inventory(files.drop("content"))), facts, guard, findings)
+    return Analysis(workload(inventory), facts, guard, findings)
+
+
+def analyze_trees(roots: DataFrame, rules: dict = rules_.RULES) -> Analysis:
+    """Analyse the trees of ``roots(snapshot_id, root)``; their files are written as a table first."""
+    return analyze_snapshots(materialize(read_source_trees(roots), "files"), rules)
 
 
 def finish_scans(requests: DataFrame, analysis: Analysis, now) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lintlake.plans.pipeline import analyze_snapshots, finish_scans
+from lintlake.session import materialize
 from lintlake.sources.tables import write_tables
 
 
@@ -23,7 +24,7 @@ def analyze_requests(
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        todo = df.dropDuplicates(["scan_id"])
+        todo = materialize(df.dropDuplicates(["scan_id"]), "requests")  # a known, small size for the join
         wanted = files.join(todo.select(F.col("scan_id").alias("snapshot_id")), "snapshot_id", "left_semi")
         at = now or datetime.now(timezone.utc)
         scans, issues = finish_scans(todo, analyze_snapshots(wanted), at)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lintlake import schemas
 from lintlake.functions import values as V
 from lintlake.operators import skew
-from lintlake.plans.pipeline import analyze_snapshots, finish_scans
+from lintlake.plans.pipeline import analyze_snapshots, analyze_trees, finish_scans
 from lintlake.sources import tables as tb
 from lintlake.streaming import lifecycle as sl
 from lintlake.streaming import rates
@@ -229,3 +229,13 @@ def test_a_scan_over_the_limit_fails_whole(spark, monkeypatch, limit, status):
     assert got[1].status == status and got[3].status == "completed"
     assert issues.filter("scan_id = 1").count() == (0 if status == "failed" else 4)
     assert (got[1].error_message == V.RESOURCE_ERROR) == (status == "failed") == (got[1].score is None)
+
+
+def test_trees_from_disk(spark, tmp_path):
+    for (s, path), text in SOURCES.items():
+        target = tmp_path / str(s) / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(text)
+    roots = spark.createDataFrame([(s, str(tmp_path / str(s))) for s in (1, 2, 3)], "snapshot_id bigint, root string")
+    pick = lambda done: sorted((r.scan_id, r.fingerprint, r.comparison_key) for r in done.findings.collect())
+    assert pick(analyze_trees(roots)) == pick(analyze_snapshots(files(spark, SOURCES)))
