@@ -1,22 +1,58 @@
-"""A training corpus from the documents: quality rules, near copies, repeated passages, mixture, packed sequences."""
+"""A training corpus from the documents: quality rules, near copies, repeated passages, mixture, packed sequences.
+
+Each stage reads what the one before has kept and decides on all of it. All but
+the last return the columns of the documents, extra ones too.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import read
+from lintlake.llm.jaccard import ngram_join
+from lintlake.llm.mixing import mix
+from lintlake.llm.packing import pack_documents
 from lintlake.llm.quality import quality_rules
 from lintlake.llm.suffix_dedup import suffix_dedup
 from lintlake.session import materialize
 
+#: What the words of a text are separated by.
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+def _same_row(docs: DataFrame, other: DataFrame) -> Column:
+    """Rows of one document by id and text; null ids are equal, too."""
+    return docs["doc_id"].eqNullSafe(other["doc_id"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == other["text_md5"])
+
+
+def _row(text_md5: Column | str) -> Column:
+    """One name for equal rows; nulls have names of their own."""
+    return F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_md5, F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+
+
+def _with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """Documents with another text and the counts that follow from it."""
+    changed = {"text": text, "n_chars": F.when(text.isNotNull(), F.char_length(text)).cast("long")}
+    return docs.withColumns({c: changed[c] for c in changed if c in docs.columns})
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    kept = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = quality_rules(docs).where("kept").select("doc_id", "text_md5")
+    return docs.join(kept, _same_row(docs, kept), "left_semi")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id stays.
+
+    Repeated rows of it are left as one row; rows without an id are in no class and stay.
+    """
+    first = ngram_join(docs).where("doc_id = class_id").select("doc_id")
+    stay = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return stay.unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +60,39 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A cut inside a character takes the whole character.
     """
-    rest = suffix_dedup(docs).where("n_removed > 0").select("doc_id", "n_bytes", F.try_validate_utf8(F.col("kept").cast("string")).alias("rest"))
-    return docs
+    done = suffix_dedup(docs, keep_text=True).select("doc_id", "text_md5", "n_removed", F.col("kept").alias("rest"))
+    done = done.dropDuplicates(["doc_id", "text_md5"]).withColumnsRenamed({"n_removed": "_removed", "rest": "_rest"})
+    found = docs.join(done, _same_row(docs, done)).select(*[docs[c] for c in docs.columns], "_removed", "_rest")
+    left = found.where("_removed = 0 OR length(_rest) > 0")
+    return _with_text(left, F.when(F.col("_removed") > 0, F.col("_rest")).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy of a document that the mixture takes, cut to the words it takes.
+
+    Whole copies keep their text; in the few that are cut, words stand one space apart.
+    """
+    taken = mix(docs).select(_row("text_md5").alias("_row"), "size", F.explode("parts").alias("_part"))
+    once = docs.withColumn("_row", _row(F.md5(F.coalesce("text", F.lit(""))))).dropDuplicates(["_row"])
+    copies = once.join(taken, "_row")
+    words = F.filter(F.split("text", SPACE), lambda w: w != "")
+    cut = F.array_join(F.slice(words, (F.col("_part.start") + 1).cast("int"), F.col("_part.words").cast("int")), " ")
+    whole = F.col("_part.words") == F.col("size")
+    return _with_text(copies, F.when(whole, F.col("text")).otherwise(cut)).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of 2048 tokens at most, with their sequences and offsets."""
+    return pack_documents(docs, keep_ids=True)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality rules", quality)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeats),
+    ("mixing sources", mixture),
+    ("packing", packed),
+]
 
 ORACLE_SQL = None
 

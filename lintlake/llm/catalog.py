@@ -7,21 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lintlake.llm.common import read
+from lintlake.llm.jaccard import ngram_join
+from lintlake.llm.mixing import mix
+from lintlake.llm.packing import pack_documents
 from lintlake.llm.quality import quality_rules
 from lintlake.llm.suffix_dedup import suffix_dedup
+from lintlake.llm.tokens import token_counts
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup(read(spark, folder, "documents"), keep_text=False)
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(read(spark, folder, "documents"), keep_ids=False)
+
+
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join(read(spark, folder, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(read(spark, folder, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(read(spark, folder, "documents"))
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(read(spark, folder, "documents")).drop("parts")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_packing": op2_packing,
+    "op3_ngram_join": op3_ngram_join,
+    "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES: dict[str, str] = {}

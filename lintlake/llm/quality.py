@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,7 +24,7 @@ REFERENCE_WORDS = {
 #: Lower case, upper case, digits, white space, plain punctuation, other ASCII, anything beyond ASCII.
 CLASSES = 7
 SYMBOLS = b"#*$%&|<>"
-BASE_COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+BASE_COLUMNS = "text_md5 string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
 class Limits(NamedTuple):
@@ -85,7 +86,7 @@ def _repeated_lines(text: bytes) -> int:
 def measure(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", languages: dict[str, list[str]] = REFERENCE_WORDS) -> DataFrame:
     """Counts and histograms of every whole text.
 
-    Columns: doc_id, lang, the base counts, ``chars`` (a count for each
+    Columns: doc_id, lang, text_md5 (tells rows with one id apart), the base counts, ``chars`` (a count for each
     character class) and ``common`` (for each language in order of its code: its
     common words one by one, then all other words). One pass, no shuffle. Null
     texts count as empty. Null ids and languages, repeated rows and ties stay
@@ -129,7 +130,7 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang
                         start = r + 1
                     common.append(row)
                 yield pd.DataFrame({
-                    "doc_id": frame["doc_id"].iloc[lo:hi].to_numpy(), "lang": frame["lang"].iloc[lo:hi].to_numpy(), "n_words": counts, "word_chars": letters,
+                    "doc_id": frame["doc_id"].iloc[lo:hi].to_numpy(), "lang": frame["lang"].iloc[lo:hi].to_numpy(), "text_md5": [hashlib.md5(t).hexdigest() for t in part], "n_words": counts, "word_chars": letters,
                     "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": repeats, "chars": chars, "common": common,
                 })
 
@@ -171,7 +172,7 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits(), languages: dict[str, list[str]] = REFERENCE_WORDS, lang: str = "lang") -> DataFrame:
-    """Verdict on every document: doc_id, base counts, distances, base_failed, kept.
+    """Verdict on every document: doc_id, text_md5, base counts, distances, base_failed, kept.
 
     The references are the histograms of all documents of a language, gathered
     from the same table. A document is held against each language and the
@@ -198,7 +199,7 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), languages: dict[st
 
     has_words = F.col("n_words") > 0
     scored = scored.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "text_md5", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.when(has_words, F.array_min(F.transform("refs", lambda r: distance(_shares(F.col("chars")), r["chars"])))).alias("char_distance"),
         F.when(has_words, F.array_min(F.transform("refs", lambda r: distance(_shares(words_of(r)), r["words"])))).alias("word_distance"),
     )

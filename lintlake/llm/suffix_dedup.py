@@ -278,7 +278,7 @@ def _covered_runs(frame: pd.DataFrame, width: int, batch_bytes: int) -> pd.DataF
 
 def _rest(docs: pd.DataFrame, covered: pd.DataFrame, texts_too: bool) -> pd.DataFrame:
     """Each document of a batch without its covered bytes."""
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_md5", "kept"]
     if not len(docs):
         return pd.DataFrame(columns=columns)
     ids, texts = _in_order(docs)
@@ -299,8 +299,9 @@ def _rest(docs: pd.DataFrame, covered: pd.DataFrame, texts_too: bool) -> pd.Data
             removed += ends[lo] - starts[lo]
             spans += 1
             lo += 1
-        kept = b"".join(pieces) + text[at:] if spans else text
-        rows.append((doc, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept if texts_too else None))
+        pieces.append(text[at:])
+        kept = b"".join(pieces)
+        rows.append((doc, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), hashlib.md5(text).hexdigest(), "".join(p.decode("utf-8", "ignore") for p in pieces) if texts_too else None))
         base = stop + 1
     return pd.DataFrame(rows, columns=columns)
 
@@ -309,8 +310,9 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     """Documents without the bytes of every string of ``min_bytes`` that a smaller doc_id has too.
 
     Result: doc_id, n_bytes, n_removed, n_spans (maximal removed stretches),
-    kept_sha256 and, with ``keep_text``, ``kept`` (binary: a cut may fall inside
-    a character). Judged on the input, not on what is left. Null texts count as
+    kept_sha256, text_md5 (of the input text, to tell rows with one id apart)
+    and, with ``keep_text``, ``kept`` (the text that is left; of a character
+    that a cut goes through nothing is left). Judged on the input, not on what is left. Null texts count as
     empty, texts under ``min_bytes`` stay whole; rows with equal ids are
     documents of which neither is smaller; a null id is the smallest of all and
     stays null. An empty table gives an empty result. Only the two named columns
@@ -333,7 +335,7 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     runs = dealt.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(lambda a, b: _runs_of_batch(a, b, min_bytes, buckets), RUN_SCHEMA)
     covered = runs.groupBy("bucket").applyInPandas(lambda f: _covered_runs(f, min_bytes, BUCKET_BYTES // 16), "batch long, starts binary, lengths binary")
     done = dealt.groupBy("batch").cogroup(covered.groupBy("batch")).applyInPandas(
-        lambda a, b: _rest(a, b, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        lambda a, b: _rest(a, b, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_md5 string, kept string"
     )
     done = done.withColumn("doc_id", F.nullif("doc_id", F.lit(least)))
     return done if keep_text else done.drop("kept")
