@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lintlake.llm.chat import rotate_perspectives
 from lintlake.llm.common import read
+from lintlake.llm.fingerprints import fingerprints
 from lintlake.llm.jaccard import ngram_join
 from lintlake.llm.mixing import mix
 from lintlake.llm.packing import pack_documents
 from lintlake.llm.quality import quality_rules
+from lintlake.llm.sharding import shard_documents
 from lintlake.llm.suffix_dedup import suffix_dedup
 from lintlake.llm.tokens import token_counts
+from lintlake.llm.warc import archive_pages
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +32,16 @@ def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(read(spark, folder, "documents"))
 
 
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_documents(read(spark, folder, "documents"))
+
+
+def op5_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    """The masks as text, start-end and so on, so that both engines compare them alike."""
+    spans = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return rotate_perspectives(read(spark, folder, "conversations")).withColumn("masks", spans)
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(read(spark, folder, "documents"))
 
@@ -35,17 +50,80 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(read(spark, folder, "documents"))
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_pages(read(spark, folder, "pages"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(read(spark, folder, "documents")).drop("parts")
 
 
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op3_ngram_join": op3_ngram_join,
+    "op4_sharding": op4_sharding,
+    "op5_perspectives": op5_perspectives,
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
+    "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
+    "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_ngram_join": r"""
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id AS node, doc_id AS root FROM words UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
+        degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT node AS doc_id, min(root) AS class_id, coalesce(any_value(n), 0)::BIGINT AS n_links
+        FROM reach LEFT JOIN degrees ON a = node GROUP BY node""",
+    "op4_sharding": """
+        WITH RECURSIVE jump AS (
+            SELECT d.doc_id, s.shards, -1::BIGINT AS shard, 0::BIGINT AS ahead,
+                CASE WHEN d.doc_id < 0 THEN d.doc_id::HUGEINT + 18446744073709551616 ELSE d.doc_id END::UHUGEINT AS state
+            FROM (SELECT DISTINCT coalesce(doc_id, -1) AS doc_id FROM documents) d, (VALUES (8), (9)) s(shards)
+            UNION ALL
+            SELECT doc_id, shards, ahead, floor((ahead + 1) * (2147483648.0::DOUBLE / (turned // 8589934592 + 1)::DOUBLE))::BIGINT, turned
+            FROM (SELECT *, (state * 2862933555777941757 + 1) % 18446744073709551616 AS turned FROM jump WHERE ahead < shards)),
+        dealt AS (
+            SELECT doc_id, max(shard) FILTER (shards = 8) AS shard, max(shard) FILTER (shards = 9) AS grown
+            FROM jump WHERE ahead >= shards GROUP BY doc_id)
+        SELECT d.doc_id, strlen(coalesce(text, '')) + 1 AS size, 'key' AS law, shard::INT AS shard, grown::INT AS grown_shard,
+            row_number() OVER (PARTITION BY shard ORDER BY d.doc_id NULLS FIRST) - 1 AS slot, NULL::BIGINT AS text_crc32
+        FROM documents d JOIN dealt x ON x.doc_id = coalesce(d.doc_id, -1)""",
+    "op5_perspectives": r"""
+        WITH m AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text, coalesce(turn // 256, -1) AS part FROM conversations),
+        p AS (SELECT DISTINCT conv_id, role AS perspective FROM m WHERE role IS NOT NULL AND role <> 'system'),
+        h AS (
+            SELECT m.*, perspective, role IS NOT DISTINCT FROM perspective AS mine,
+                CASE WHEN role IS NULL THEN '<|user|>' WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>'
+                    ELSE '<|user name=' || replace(role, '<|', '< |') || '|>' END || chr(10) AS head
+            FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
+        t AS (SELECT *, head || text || '<|end|>' || chr(10) AS shown FROM h),
+        w AS (SELECT *, (sum(length(shown)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM t),
+        g AS (
+            SELECT conv_id, perspective, part, count(*) AS n_messages, string_agg(shown, '' ORDER BY turn, role, text) AS text,
+                coalesce(string_agg((stop - length(shown) + length(head))::VARCHAR || '-' || stop::VARCHAR, ',' ORDER BY stop) FILTER (mine), '') AS masks
+            FROM w GROUP BY ALL)
+        SELECT *, (coalesce(sum(length(text)) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM g""",
+    "op8_warc": """
+        WITH own AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html) AS payload_bytes, upper(sha1(html)) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM own)
+        SELECT page_id, payload_bytes,
+            translate(list_aggregate(list_transform(range(0, 8), lambda k: to_base(('0x' || hex[k * 5 + 1 : k * 5 + 5])::BIGINT, 32, 4)), 'string_agg', ''),
+                '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+            CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM d""",
+}
