@@ -28,15 +28,20 @@ def _same_row(docs: DataFrame, other: DataFrame) -> Column:
     return docs["doc_id"].eqNullSafe(other["doc_id"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == other["text_md5"])
 
 
-def _row(text_md5: Column | str) -> Column:
+def _row(doc_id: Column | str, text_md5: Column | str, source: Column | str) -> Column:
     """One name for equal rows; nulls have names of their own."""
-    return F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_md5, F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+    return F.concat_ws("/", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), text_md5, F.coalesce(F.concat(F.lit("="), source), F.lit("-")))
 
 
-def _with_text(docs: DataFrame, text: Column) -> DataFrame:
-    """Documents with another text and the counts that follow from it."""
+def _whole(docs: DataFrame) -> DataFrame:
+    """Each row as one column, ``doc``, whatever its columns are called."""
+    return docs.select(F.struct(*docs.columns).alias("doc"))
+
+
+def _with_text(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The columns of ``doc`` with another text and the count that follows from it."""
     changed = {"text": text, "n_chars": F.when(text.isNotNull(), F.char_length(text)).cast("long")}
-    return docs.withColumns({c: changed[c] for c in changed if c in docs.columns})
+    return rows.select(*[changed.get(c, F.col("doc")[c]).alias(c) for c in columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +65,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A cut inside a character takes the whole character.
     """
-    done = suffix_dedup(docs, keep_text=True).select("doc_id", "text_md5", "n_removed", F.col("kept").alias("rest"))
-    done = done.dropDuplicates(["doc_id", "text_md5"]).withColumnsRenamed({"n_removed": "_removed", "rest": "_rest"})
-    found = docs.join(done, _same_row(docs, done)).select(*[docs[c] for c in docs.columns], "_removed", "_rest")
-    left = found.where("_removed = 0 OR length(_rest) > 0")
-    return _with_text(left, F.when(F.col("_removed") > 0, F.col("_rest")).otherwise(F.col("text"))).select(*docs.columns)
+    done = suffix_dedup(docs, keep_text=True).select("doc_id", "text_md5", "n_removed", "kept").dropDuplicates(["doc_id", "text_md5"])
+    whole = _whole(docs)
+    same = F.col("doc.doc_id").eqNullSafe(done["doc_id"]) & (F.md5(F.coalesce("doc.text", F.lit(""))) == done["text_md5"])
+    left = whole.join(done, same).where("n_removed = 0 OR length(kept) > 0")
+    return _with_text(left, docs.columns, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("doc.text")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,13 +77,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Whole copies keep their text; in the few that are cut, words stand one space apart.
     """
-    taken = mix(docs).select(_row("text_md5").alias("_row"), "size", F.explode("parts").alias("_part"))
-    once = docs.withColumn("_row", _row(F.md5(F.coalesce("text", F.lit(""))))).dropDuplicates(["_row"])
-    copies = once.join(taken, "_row")
-    words = F.filter(F.split("text", SPACE), lambda w: w != "")
-    cut = F.array_join(F.slice(words, (F.col("_part.start") + 1).cast("int"), F.col("_part.words").cast("int")), " ")
-    whole = F.col("_part.words") == F.col("size")
-    return _with_text(copies, F.when(whole, F.col("text")).otherwise(cut)).select(*docs.columns)
+    taken = mix(docs).select(_row("doc_id", "text_md5", "source").alias("row"), "size", F.explode("parts").alias("part"))
+    once = _whole(docs).withColumn("row", _row("doc.doc_id", F.md5(F.coalesce("doc.text", F.lit(""))), "doc.source")).dropDuplicates(["row"])
+    words = F.filter(F.split("doc.text", SPACE), lambda w: w != "")
+    cut = F.array_join(F.slice(words, (F.col("part.start") + 1).cast("int"), F.col("part.words").cast("int")), " ")
+    whole = F.col("part.words") == F.col("size")
+    return _with_text(once.join(taken, "row"), docs.columns, F.when(whole, F.col("doc.text")).otherwise(cut))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

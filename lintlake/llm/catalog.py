@@ -76,6 +76,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        blocks AS (
+            SELECT doc_id, 1000 * k AS base, substr(h, 2000 * k + 1, 2098) AS p
+            FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 - 50) // 1000 + 1)) AS k FROM d WHERE len(h) >= 100)),
+        w AS (SELECT doc_id, base + i AS i, substr(p, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(1000, len(p) // 2 - 49))) AS i FROM blocks)),
+        f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+        c AS (SELECT DISTINCT doc_id, i FROM w JOIN f USING (s) WHERE first < doc_id),
+        n AS (SELECT doc_id, i, (i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, -1))::INT AS new FROM c),
+        g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+        r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run),
+        k AS (
+            SELECT doc_id, b AS x, lead(a) OVER (PARTITION BY doc_id ORDER BY b) AS y FROM (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, -1, 0 FROM d)),
+        e AS (
+            SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (coalesce(y, len(h) // 2) - x)), '' ORDER BY x) AS kept
+            FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+            sha256(unhex(kept)) AS kept_sha256, md5(text) AS text_md5
+        FROM d JOIN e USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id) s USING (doc_id)""",
     "op3_ngram_join": r"""
         WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         shingles AS (
@@ -98,10 +117,16 @@ ORACLES: dict[str, str] = {
             FROM (SELECT *, (state * 2862933555777941757 + 1) % 18446744073709551616 AS turned FROM jump WHERE ahead < shards)),
         dealt AS (
             SELECT doc_id, max(shard) FILTER (shards = 8) AS shard, max(shard) FILTER (shards = 9) AS grown
-            FROM jump WHERE ahead >= shards GROUP BY doc_id)
+            FROM jump WHERE ahead >= shards GROUP BY doc_id),
+        step AS (
+            SELECT n AS i, n AS c, 0 AS k FROM range(256) t(n)
+            UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+        tab AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+        bytes AS (SELECT *, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents)
         SELECT d.doc_id, strlen(coalesce(text, '')) + 1 AS size, 'key' AS law, shard::INT AS shard, grown::INT AS grown_shard,
-            row_number() OVER (PARTITION BY shard ORDER BY d.doc_id NULLS FIRST) - 1 AS slot, NULL::BIGINT AS text_crc32
-        FROM documents d JOIN dealt x ON x.doc_id = coalesce(d.doc_id, -1)""",
+            row_number() OVER (PARTITION BY shard ORDER BY d.doc_id NULLS FIRST) - 1 AS slot,
+            xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32
+        FROM bytes d JOIN dealt x ON x.doc_id = coalesce(d.doc_id, -1), tab""",
     "op5_perspectives": r"""
         WITH m AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text, coalesce(turn // 256, -1) AS part FROM conversations),
         p AS (SELECT DISTINCT conv_id, role AS perspective FROM m WHERE role IS NOT NULL AND role <> 'system'),

@@ -17,7 +17,7 @@ from lintlake.session import materialize
 
 END_ID = 1
 #: Pieces that are ranked together.
-RANKED_ROWS = 50_000
+RANKED_ROWS = 8192
 
 
 def _cut(frames: Iterator[pd.DataFrame], path: str, capacity: int, ids_too: bool) -> Iterator[pd.DataFrame]:
