@@ -58,6 +58,8 @@ PLACEHOLDER = r"(?i)example|dummy|changeme|placeholder|your[_ -]|test[_ -]|repla
 CREDENTIAL_MIN_CHARS = 12
 CREDENTIAL_MIN_DISTINCT = 8
 FIXTURE_DIRECTORIES = ("test", "tests", "testing", "fixtures", "examples")
+# Arguments that need not be used: private ones, special names, and conventional receivers.
+UNCHECKED_ARGUMENT = r"^(?:_(?!_).*|_|__.*__|self|object)$"
 COMPLEXITY_MEDIUM = 15
 COMPLEXITY_HIGH = 20
 POSITIONAL_LIMIT = 6

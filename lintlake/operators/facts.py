@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from lintlake import schemas
 from lintlake.functions import values as V
-from lintlake.functions.pyfacts import Watch, file_facts
+from lintlake.functions.syntax import Watch, file_facts
 
 DEFAULT_WATCH = Watch(
     modules=frozenset({"pickle", "_pickle", "yaml"}),
@@ -22,38 +22,48 @@ DEFAULT_WATCH = Watch(
     positional=V.POSITIONAL_LIMIT,
 )
 
-FACT_COLUMNS = ("binds", "calls", "strings", "functions", "open_definitions", "unreachable", "uses")
+FACT_COLUMNS = ("binds", "calls", "strings", "functions", "open_definitions", "exits", "tests", "uses")
 
 
-def extract_facts(files: DataFrame, watch: Watch = DEFAULT_WATCH) -> DataFrame:
-    """Parse ``files(snapshot_id, path, source)`` once; one nested row per file.
+def _shaped(kind: pa.DataType, value: object) -> object:
+    """Tuples as the structs that a type asks for, at any depth."""
+    if value is None:
+        return None
+    if pa.types.is_list(kind):
+        inner = kind.value_type
+        return value if not pa.types.is_nested(inner) else [_shaped(inner, v) for v in value]
+    return {f.name: _shaped(f.type, v) if pa.types.is_nested(f.type) else v for f, v in zip(kind, value)} if pa.types.is_struct(kind) else value
+
+
+def extract_facts(files: DataFrame, watch: Watch = DEFAULT_WATCH, wanted: tuple[str, ...] = FACT_COLUMNS) -> DataFrame:
+    """Parse ``files(snapshot_id, path, source[, problem])`` once; one nested row per file.
 
     Map-only: the source text is read by the task that parses it and is never
-    shuffled. A file that cannot be parsed becomes a row with ``ok = false``.
+    shuffled. A file that cannot be parsed, or comes with a ``problem`` instead
+    of a source, becomes a row with ``ok = false``. Facts that are not
+    ``wanted`` stay empty.
     """
     schema = StructType.fromDDL(schemas.FILE_FACTS)
     arrow = to_arrow_schema(schema, prefers_large_types=False)
 
-    def named(item: pa.DataType, records: list) -> list:
-        if not pa.types.is_struct(item):
-            return records
-        names = [field.name for field in item]
-        return [dict(zip(names, record)) for record in records]
-
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for snapshot, path, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                try:
-                    facts, error = file_facts(source, watch), None
-                except Exception as exc:  # one bad file must not fail its task
-                    facts, error = dict.fromkeys(FACT_COLUMNS, []), type(exc).__name__
-                nested = (named(arrow.field(c).type.value_type, facts[c]) for c in FACT_COLUMNS)
+            for snapshot, path, source, problem in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                facts, error = {}, problem
+                if problem is None:
+                    try:
+                        facts = file_facts(source, watch)
+                    except Exception as exc:  # one bad file must not fail its task
+                        error = type(exc).__name__
+                nested = (_shaped(arrow.field(c).type, facts.get(c, []) if c in wanted else []) for c in FACT_COLUMNS)
                 rows.append((snapshot, path, error is None, error, *nested))
             columns = zip(*rows) if rows else [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow)], schema=arrow)
 
-    return files.select("snapshot_id", "path", "source").mapInArrow(parse, schema)
+    problem = F.col("problem") if "problem" in files.columns else F.lit(None).cast("string")
+    missing = F.coalesce(problem, F.when(F.col("source").isNull(), "unreadable"))
+    return files.select("snapshot_id", "path", "source", missing.alias("problem")).mapInArrow(parse, schema)
 
 
 def parse_status(facts: DataFrame) -> DataFrame:
@@ -85,14 +95,21 @@ def calls(facts: DataFrame) -> DataFrame:
     higher-order expression and needs no join. It happens before the calls are
     exploded, so that filters on a name do not resolve it again.
     """
+    def argument(call: Column, position: int) -> Column:
+        return F.get(F.filter(call["given"], lambda a: a["position"] == position), F.lit(0))
+
+    def loader(call: Column) -> Column:
+        named = F.filter(call["given"], lambda a: a["keyword"] == "Loader")
+        return F.when(F.size(named) > 0, F.get(named, F.lit(0))["name"]).otherwise(argument(call, 1)["name"])
+
     resolved = F.transform(
         "calls",
         lambda call: F.struct(
             call["line"].alias("line"), call["col"].alias("col"),
             _resolve(call["func"], call["visible"]).alias("qualified_name"),
-            call["arg0_kind"].alias("arg0_kind"),
-            _resolve(call["arg0_func"], call["visible"]).alias("arg0_call_name"),
-            _resolve(call["loader"], call["visible"]).alias("loader_name"),
+            F.coalesce(argument(call, 0)["kind"], F.lit("none")).alias("arg0_kind"),
+            _resolve(argument(call, 0)["call"], call["visible"]).alias("arg0_call_name"),
+            _resolve(loader(call), call["visible"]).alias("loader_name"),
             call["n_args"].alias("n_args"), call["scope"].alias("scope"),
             call["anchor"].alias("anchor"), call["snippet"].alias("snippet"),
         ),
@@ -110,8 +127,16 @@ def string_assigns(facts: DataFrame) -> DataFrame:
 
 
 def functions(facts: DataFrame) -> DataFrame:
-    """every function with its parameter count and complexity."""
-    return _exploded(facts, "functions")
+    """every function with its parameter count and complexity.
+
+    A receiver of a method does not count as a parameter. Complexity is one and
+    a step for each branch, but none for the case that catches all.
+    """
+    receiver = F.col("is_method") & ~F.col("is_static") & (F.col("declared") > 0)
+    steps = F.aggregate("branches", F.lit(1), lambda n, b: n + F.when(b["kind"] == "wildcard", -b["n"]).otherwise(b["n"]))
+    return _exploded(facts, "functions").withColumns({
+        "positional": F.col("declared") - F.when(receiver, 1).otherwise(0), "complexity": steps,
+    }).drop("declared", "branches")
 
 
 def open_definitions(facts: DataFrame) -> DataFrame:
@@ -124,13 +149,31 @@ def open_definitions(facts: DataFrame) -> DataFrame:
 
 
 def name_uses(facts: DataFrame) -> DataFrame:
-    """distinct names used per snapshot."""
-    return facts.select("snapshot_id", F.explode("uses").alias("name")).distinct()
+    """names used per snapshot, once for each file that uses them."""
+    return facts.select("snapshot_id", F.explode("uses").alias("name"))
 
 
 def unreachable(facts: DataFrame) -> DataFrame:
-    """code that no path reaches."""
-    return _exploded(facts, "unreachable")
+    """code that no path reaches.
+
+    What follows a statement is dead if each way out of the statement leaves
+    the block for good. A condition that never holds is dead itself, one that
+    always holds leaves its alternative dead, or is an ``if`` for nothing.
+    """
+    leaves = ("return", "raise", "break", "continue", "endless")
+    after = F.filter("exits", lambda e: F.forall(e["ways"], lambda w: w.isin(*leaves)))
+    after = F.transform(after, lambda e: F.struct(F.get(e["spots"], F.lit(0)).alias("spot"), e["kind"].alias("kind"), F.concat(F.lit("that nothing runs after this '"), e["kind"], F.lit("'")).alias("reason")))
+    decided = F.filter("tests", lambda t: ~t["truth"] | (F.size(t["spots"]) > 1) | (t["form"] == "if"))
+
+    def dead(t: Column) -> Column:
+        other = t["truth"] & (F.size(t["spots"]) > 1)
+        kind = F.when(other & (t["form"] != "ternary"), "else").otherwise(t["form"])
+        told = F.when(~t["truth"], "that the condition of this '").when(other, "that the alternative of this '").otherwise("that the condition of this '")
+        ends = F.when(~t["truth"], "' never holds").when(other, "' is never taken").otherwise("' always holds")
+        return F.struct(F.get(t["spots"], F.when(other, 1).otherwise(0)).alias("spot"), kind.alias("kind"), F.concat(told, t["form"], ends).alias("reason"))
+
+    every = F.concat(after, F.transform(decided, dead))
+    return facts.select("snapshot_id", "path", F.explode(every).alias("f")).select("snapshot_id", "path", "f.spot.*", "f.kind", "f.reason")
 
 
 def node_anchors(facts: DataFrame) -> DataFrame:
@@ -152,6 +195,7 @@ def node_anchors(facts: DataFrame) -> DataFrame:
         places("strings", "assignment", True, True),
         places("functions", "function", True, False),
         places("open_definitions", "definition", False, True),
-        places("unreachable", "unreachable", False, True),
     )
-    return facts.select("snapshot_id", "path", F.explode(every).alias("f")).select("snapshot_id", "path", "f.*")
+    listed = facts.select("snapshot_id", "path", F.explode(every).alias("f")).select("snapshot_id", "path", "f.*")
+    dead = unreachable(facts).select("snapshot_id", "path", F.lit("unreachable").alias("node_kind"), "line", F.lit(None).cast("int").alias("col"), "scope", "anchor")
+    return listed.unionByName(dead)

@@ -163,15 +163,18 @@ UNUSED = {"import": ("import", 90), "argument": ("variable", 100)}  # kind: labe
 def unused_definitions(definitions: DataFrame, uses: DataFrame) -> DataFrame:
     """Imports and arguments whose name nothing in the snapshot uses.
 
-    Names are made distinct before they are compared, and the unused ones are
-    written, so that a name defined very often is neither gathered in one task
-    nor keeps Spark from splitting or broadcasting the last join.
+    Only names among the open definitions matter, so these are written first
+    and the uses are reduced to them before they are shuffled. The unused ones
+    are written too, so that a name defined very often is neither gathered in
+    one task nor keeps Spark from splitting or broadcasting the last join.
     """
     codes = F.when(F.col("kind") == "import", _silenced("F401", "V104")).otherwise(_silenced("F841", "V107"))
     package = (F.col("kind") == "import") & ((file_name("path") == "__init__.py") | F.col("explicit_reexport"))
-    kept = definitions.filter(~codes & ~package)
+    kept = definitions.filter(~codes & ~package & ~((F.col("kind") == "argument") & F.col("name").rlike(V.UNCHECKED_ARGUMENT)))
     key = ["snapshot_id", "name"]
-    names = materialize(kept.select(*key).distinct().join(uses, key, "left_anti"), "unused")
+    open_names = materialize(kept.select(*key).distinct(), "open_names")
+    used = uses.join(open_names, key, "left_semi").distinct()
+    names = materialize(open_names.join(used, key, "left_anti"), "unused")
     kind, name = F.col("kind"), F.col("name")
     label = _choose(kind, {k: text for k, (text, _) in UNUSED.items()})
     confidence = F.when(kind == "import", UNUSED["import"][1]).otherwise(UNUSED["argument"][1])
@@ -208,8 +211,7 @@ def unreachable_code(unreachable: DataFrame) -> DataFrame:
         severity=F.lit("medium"),
         title=F.lit("Unreachable branch or statement"),
         message=F.concat(
-            F.lit("Static flow shows "), F.col("reason"),
-            F.lit(" (100% confidence); surrounding statements may still run."),
+            F.lit("The flow of the source shows "), F.col("reason"), F.lit(" (100% confidence). Statements around it may run."),
         ),
         fix_suggestion=F.lit("Check whether the exit or condition before it is intended, then remove it or fix the flow."),
         rule_id=F.concat(F.lit("dead-code.unreachable_code."), F.col("kind")),

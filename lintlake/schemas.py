@@ -31,20 +31,23 @@ REVIEWS = (
     "is_false_positive BOOLEAN, explanation STRING, fix_suggestion STRING"
 )
 
-# One row per parsed file; every rule reads only the columns it needs.
+# One row per parsed file; every rule reads only the columns it needs. ``spots``
+# are places a finding may point at.
+_SPOTS = "ARRAY<STRUCT<line: INT, noqa: STRING, scope: ARRAY<STRING>, anchor: STRING, snippet: STRING>>"
 FILE_FACTS = (
     "snapshot_id BIGINT, path STRING, ok BOOLEAN, error STRING, "
     "binds ARRAY<STRUCT<scope_id: INT, name: STRING, target: STRING>>, "
-    "calls ARRAY<STRUCT<line: INT, col: INT, func: STRING, n_args: INT, arg0_kind: STRING, arg0_func: STRING, "
-    "loader: STRING, visible: ARRAY<INT>, scope: ARRAY<STRING>, anchor: STRING, snippet: STRING>>, "
+    "calls ARRAY<STRUCT<line: INT, col: INT, func: STRING, n_args: INT, "
+    "given: ARRAY<STRUCT<keyword: STRING, position: INT, kind: STRING, name: STRING, call: STRING>>, "
+    "visible: ARRAY<INT>, scope: ARRAY<STRING>, anchor: STRING, snippet: STRING>>, "
     "strings ARRAY<STRUCT<line: INT, col: INT, target_names: ARRAY<STRING>, literal: STRING, scope: ARRAY<STRING>, "
     "anchor: STRING, snippet: STRING>>, "
     "functions ARRAY<STRUCT<line: INT, col: INT, name: STRING, class_name: STRING, qualified: STRING, "
-    "positional: INT, is_method: BOOLEAN, is_static: BOOLEAN, in_local_class: BOOLEAN, complexity: INT, "
-    "scope: ARRAY<STRING>, snippet: STRING>>, "
+    "declared: INT, is_method: BOOLEAN, is_static: BOOLEAN, in_local_class: BOOLEAN, "
+    "branches: ARRAY<STRUCT<kind: STRING, n: INT>>, scope: ARRAY<STRING>, snippet: STRING>>, "
     "open_definitions ARRAY<STRUCT<line: INT, kind: STRING, name: STRING, explicit_reexport: BOOLEAN, noqa: STRING, "
     "scope: ARRAY<STRING>, anchor: STRING, snippet: STRING>>, "
-    "unreachable ARRAY<STRUCT<line: INT, kind: STRING, reason: STRING, noqa: STRING, scope: ARRAY<STRING>, "
-    "anchor: STRING, snippet: STRING>>, "
+    f"exits ARRAY<STRUCT<kind: STRING, ways: ARRAY<STRING>, spots: {_SPOTS}>>, "
+    f"tests ARRAY<STRUCT<form: STRING, truth: BOOLEAN, spots: {_SPOTS}>>, "
     "uses ARRAY<STRING>"
 )
