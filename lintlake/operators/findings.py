@@ -191,5 +191,5 @@ def to_issues(findings: DataFrame) -> DataFrame:
         "scan_id", "fingerprint", "comparison_key",
         F.struct("rule_id", "cyclomatic_complexity", "confidence").alias("analyzer_metadata"),
         "category", "severity", "title", "message", "file_path", "line", "snippet",
-        F.lit(None).cast("string").alias("ai_explanation"), "fix_suggestion",
+        F.col("ai_explanation") if "ai_explanation" in findings.columns else F.lit(None).cast("string").alias("ai_explanation"), "fix_suggestion",
     )

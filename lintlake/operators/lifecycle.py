@@ -63,13 +63,14 @@ def expire_stale(scans: DataFrame, now: datetime | Column, owner_id: int | None
 def latest_states(events: DataFrame) -> DataFrame:
     """State of each scan from ``events(scan_id, event_id, ts, status)``.
 
-    The first terminal event decides; before one the latest event does.
+    A scan only moves forward: the first terminal event decides, else it runs
+    since its first running event, else it waits since its first queued one. A
+    message that is delivered again changes nothing.
     """
     at = F.struct("ts", "event_id")
-    terminal = F.col("status").isin("completed", "failed")
     state = F.struct("status", "ts")
-    ended = F.min_by(F.when(terminal, state), F.when(terminal, at))
-    latest = F.max_by(state, at)
-    return events.groupBy("scan_id").agg(
-        F.coalesce(ended, latest).alias("s"), F.count(F.lit(1)).alias("n_events")
-    ).select("scan_id", "s.status", F.col("s.ts").alias("since"), "n_events")
+    steps = (F.col("status").isin("completed", "failed"), F.col("status") == "running", F.lit(True))
+    firsts = [F.min_by(F.when(step, state), F.when(step, at)) for step in steps]
+    return events.groupBy("scan_id").agg(F.coalesce(*firsts).alias("s"), F.count(F.lit(1)).alias("n_events")).select(
+        "scan_id", "s.status", F.col("s.ts").alias("since"), "n_events"
+    )

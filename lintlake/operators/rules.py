@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -231,23 +232,30 @@ RULES: dict[str, Rule] = {
 }
 
 
-def run_rules(facts: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
-    """Findings of all rules. A rule that cannot be planned is logged and left out.
+def plan_rules(facts: DataFrame, rules: dict[str, Rule] = RULES) -> tuple[DataFrame, list[str]]:
+    """Findings of all rules, and the names of those that do not fit the facts.
 
-    ``facts`` is read once per rule, so pass a materialised fact table; each
-    rule reads only its own column of it.
+    Only a rule that Spark cannot plan is left out; a failing job is an error
+    of the whole run and is not hidden. ``facts`` is read once per rule, so
+    pass a materialised fact table; each rule reads only its own column of it.
     """
-    found = None
+    found, failed = None, []
     for name, rule in rules.items():
         try:
             part = rule(facts).select(*FINDING_COLUMNS)
-        except Exception:
-            logger.exception("rule %s failed", name)
+        except AnalysisException:
+            logger.exception("rule %s cannot be planned", name)
+            failed.append(name)
             continue
         found = part if found is None else found.unionByName(part)
     if found is None:
         raise ValueError("no rule could be planned")
-    return found
+    return found, failed
+
+
+def run_rules(facts: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
+    """Findings of all rules that can be planned."""
+    return plan_rules(facts, rules)[0]
 
 
 def finding_guard(findings: DataFrame, limit: int = V.MAX_FINDINGS) -> DataFrame:
@@ -259,8 +267,7 @@ def finding_guard(findings: DataFrame, limit: int = V.MAX_FINDINGS) -> DataFrame
 def within_guard(findings: DataFrame, limit: int = V.MAX_FINDINGS) -> DataFrame:
     """Findings of scans that do not fail; a failing scan keeps none rather than some.
 
-    This bounds every later group that lies within a scan. The failing scans
-    are written first, so that the join is planned knowing how few they are
+    The failing scans are written first, so that the join is planned knowing how few they are
     and does not gather the scan that is too large.
     """
     failed = finding_guard(findings, limit).filter("over_limit").select("scan_id")

@@ -38,10 +38,12 @@ def numbered(df: DataFrame, keys: list[str], by: str, low: str, high: str, rows:
     ``low``, ``high`` and ``rows`` are columns holding the group's smallest and
     largest ``by`` and its row count. A group of more than ``SLICE_ROWS`` rows
     is cut into slices of equal ``by`` width; each slice is numbered alone and
-    shifted by the rows before it. Small groups are one slice.
+    shifted by the rows before it. Small groups are one slice. The cut is taken
+    in floating point, which keeps the order and spans all 64-bit numbers.
     """
-    width = F.expr(f"({high} - {low}) div ceil({rows} / {SLICE_ROWS})") + 1
-    df = df.withColumn("_width", width).withColumn("_slice", F.expr(f"({by} - {low}) div _width")).drop("_width")
+    as_double = lambda c: F.col(c).cast("double")
+    width = (as_double(high) - as_double(low)) / F.ceil(F.col(rows) / SLICE_ROWS) + 1
+    df = df.withColumn("_slice", F.floor((as_double(by) - as_double(low)) / width))
     local = Window.partitionBy(*keys, "_slice").orderBy(by)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     cut = df.filter(F.col(rows) > SLICE_ROWS).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))

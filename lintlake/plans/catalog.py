@@ -169,7 +169,7 @@ def _(spark, folder):
 
 @query("f5_name_uses")
 def _(spark, folder):
-    return facts.name_uses(parsed(spark, folder))
+    return facts.name_uses(parsed(spark, folder)).distinct()
 
 
 @query("f6_unreachable")
@@ -341,7 +341,7 @@ def _(spark, folder):
 
 @query("n8_source_identity")
 def _(spark, folder):
-    _, keyed = findings_of(materialize(parsed(spark, folder), "facts"))
+    _, keyed, _ = findings_of(materialize(parsed(spark, folder), "facts"))
     return place(keyed, "occurrence", F.col("comparison_key").isNotNull().alias("has_key"))
 
 

@@ -414,10 +414,17 @@ FROM (SELECT *, CASE WHEN status = 'running' AND started_at < TIMESTAMP '{NOW}'
  WHEN status = 'queued' AND created_at < TIMESTAMP '{NOW}' - INTERVAL 15 MINUTE THEN 'queued' END AS w FROM scans)""")
 oracle("e4_latest_states", f"""
 SELECT scan_id, status, ts AS since, n_events FROM (SELECT *, count(*) OVER (PARTITION BY scan_id) AS n_events FROM {portable('fx_events')})
-QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY status IN ('completed', 'failed') DESC,
- CASE WHEN status IN ('completed', 'failed') THEN ts END, ts DESC, event_id DESC) = 1""")
+QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY CASE WHEN status IN ('completed', 'failed') THEN 0 WHEN status = 'running' THEN 1 ELSE 2 END, ts, event_id) = 1""")
 oracle("t2_first_deliveries", f"""
 SELECT scan_id, event_id, ts, status FROM {portable('fx_events')} QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY ts, event_id) = 1""")
 oracle("t3_trailing_rate", f"""
 SELECT event_id, user_id, recent, recent > {RATE['limit']} AS over_limit FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts
  RANGE BETWEEN INTERVAL {RATE['seconds']} SECOND PRECEDING AND CURRENT ROW) AS recent FROM events)""")
+oracle("t3_admitted_requests", f"""
+WITH RECURSIVE o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (
+ SELECT event_id, user_id, ts, n, true AS admitted, [ts] AS recent FROM o WHERE n = 1
+ UNION ALL
+ SELECT event_id, user_id, ts, n, len(recent) < {RATE['limit']}, CASE WHEN len(recent) < {RATE['limit']} THEN list_append(recent, ts) ELSE recent END
+ FROM (SELECT o.*, list_filter(r.recent, lambda x: x >= o.ts - INTERVAL {RATE['seconds']} SECOND) AS recent FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1))
+SELECT event_id, user_id, admitted FROM r""")

@@ -13,62 +13,123 @@ from lintlake.operators.facts import extract_facts
 from lintlake.operators.findings import (
     accepted, comparison_keys, deduplicate, mask_known_secrets, normalize_findings, stamp_version, to_issues,
 )
+from lintlake.operators.lifecycle import static_estimate
+from lintlake.operators.reviews import accept_reviews, merge_reviews, review_candidates, validate_reviews
 from lintlake.operators.scoring import health_score
 from lintlake.session import materialize
-from lintlake.sources.files import bounded_inventory, read_source_trees, with_source, workload
+from lintlake.sources.files import bounded_inventory, is_eligible, python_files, read_source_trees, with_source, workload
+
+
+class Limits(NamedTuple):
+    """Optional bounds of a scan; None is none. What a bound leaves out is counted or fails the scan, never lost unseen."""
+
+    max_files: int | None = None
+    max_bytes: int | None = None
+    max_dirs: int | None = None
+    max_findings: int | None = None
+    file_bytes: int = V.MAX_FILE_BYTES
+
+    @property
+    def inventory(self) -> dict[str, int]:
+        """S3 limits; one that is not set is above any count."""
+        if self.max_files is self.max_bytes is self.max_dirs is None:
+            return {}
+        return {k: 2**31 - 2 if getattr(self, k) is None else getattr(self, k) for k in ("max_files", "max_bytes", "max_dirs")}
+
+
+SERVICE_LIMITS = Limits(V.MAX_FILES, V.MAX_SOURCE_BYTES, V.MAX_DIRECTORIES, V.MAX_FINDINGS)
 
 
 class Analysis(NamedTuple):
-    """Results of a batch of snapshots; ``scan_id`` is the snapshot's id."""
+    """Results of a batch of snapshots; ``scan_id`` is the snapshot's id.
+
+    ``coverage`` has for each snapshot its Python files, those parsed, those
+    that could not be, and those that the inventory limits left out.
+    """
 
     workload: DataFrame
     facts: DataFrame
     guard: DataFrame
     findings: DataFrame
+    coverage: DataFrame
+    failed_rules: list[str]
 
 
-def findings_of(facts: DataFrame, rules: dict = rules_.RULES) -> tuple[DataFrame, DataFrame]:
-    """(guard, deduplicated and keyed findings) of materialised facts.
+def findings_of(facts: DataFrame, rules: dict = rules_.RULES, max_findings: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(guard, deduplicated and keyed findings, rules left out) of materialised facts.
 
     Findings are few next to the facts, so they are written once before the
     guard, the secrets and the representatives are drawn from them.
     """
-    raw = materialize(accepted(normalize_findings(rules_.run_rules(facts, rules))), "findings")
-    kept = mask_known_secrets(rules_.within_guard(raw))
-    return rules_.finding_guard(raw), comparison_keys(deduplicate(kept))
+    planned, failed = rules_.plan_rules(facts, rules)
+    raw = materialize(accepted(normalize_findings(planned)), "findings")
+    limit = 2**62 if max_findings is None else max_findings
+    kept = raw if max_findings is None else rules_.within_guard(raw, limit)
+    return rules_.finding_guard(raw, limit), comparison_keys(deduplicate(mask_known_secrets(kept))), failed
+
 
+def coverage_of(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """Python files of each snapshot: all, parsed, failed (too large, unreadable, not parsable) and left out by limits."""
+    every = python_files(files.select("snapshot_id", "path")).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("files"))
+    seen = facts.groupBy("snapshot_id").agg(F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("failed"))
+    both = every.join(seen, "snapshot_id", "left").na.fill(0, ["parsed", "failed"])
+    return both.withColumn("left_out", F.col("files") - F.col("parsed") - F.col("failed"))
 
-def analyze_snapshots(files: DataFrame, rules: dict = rules_.RULES) -> Analysis:
+
+def analyze_snapshots(files: DataFrame, rules: dict = rules_.RULES, limits: Limits = Limits()) -> Analysis:
     """Analyse a table ``files(snapshot_id, path, length, content)``.
 
     The content is read and parsed in the same task and never shuffled; from
     then on only facts and findings move. Inventory and workload read the
-    narrow columns of the same table.
+    narrow columns of the same table. Without ``limits`` every Python file is
+    analysed; a file too large or unreadable is a row of the facts with its
+    problem, and counts as failed in ``coverage``.
     """
-    inventory = bounded_inventory(files)
-    facts = materialize(extract_facts(with_source(inventory)), "facts")
-    guard, findings = findings_of(facts, rules)
-    return Analysis(workload(inventory), facts, guard, findings)
+    inventory = python_files(files)
+    if limits.inventory:
+        inventory = bounded_inventory(files, **limits.inventory)
+    facts = materialize(extract_facts(with_source(inventory, limits.file_bytes)), "facts")
+    guard, findings, failed = findings_of(facts, rules, limits.max_findings)
+    return Analysis(workload(inventory.filter(is_eligible(limits.file_bytes))), facts, guard, findings, coverage_of(files, facts), failed)
 
 
-def analyze_trees(roots: DataFrame, rules: dict = rules_.RULES) -> Analysis:
+def analyze_trees(roots: DataFrame, rules: dict = rules_.RULES, limits: Limits = Limits()) -> Analysis:
     """Analyse the trees of ``roots(snapshot_id, root)``; their files are written as a table first."""
-    return analyze_snapshots(materialize(read_source_trees(roots), "files"), rules)
+    return analyze_snapshots(materialize(read_source_trees(roots, limits.file_bytes), "files"), rules, limits)
+
 
+def reviewed(findings: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Findings with the texts of the reviews that were asked for and are good."""
+    asked = materialize(review_candidates(findings).select("scan_id", "batch_no", "fingerprint"), "asked")
+    return merge_reviews(findings, accept_reviews(validate_reviews(reviews), asked))
 
-def finish_scans(requests: DataFrame, analysis: Analysis, now) -> tuple[DataFrame, DataFrame]:
-    """(scans, issues) as they are stored: completed with a score, or failed without issues."""
+
+def finish_scans(requests: DataFrame, analysis: Analysis, now, reviews: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scans, issues) as they are stored: completed with a score, or failed without issues.
+
+    A completed scan says how many of its files could not be analysed or were
+    left out, and which rules were; its score covers the rest. ``reviews``, if
+    given, are checked (W3), accepted (W4) and merged into the findings (W5)
+    before they are scored. The estimates are those of the static analysis (E1).
+    """
     failed = analysis.guard.filter("over_limit").select("scan_id", F.lit(True).alias("_failed"))
-    scores = health_score(requests, analysis.findings).select("scan_id", "score")
-    ended = requests.drop("score").join(scores, "scan_id", "left").join(failed, "scan_id", "left")
+    findings = analysis.findings if reviews is None else reviewed(analysis.findings, reviews)
+    scores = health_score(requests, findings).select("scan_id", "score")
+    missed = analysis.coverage.select(F.col("snapshot_id").alias("scan_id"), (F.col("failed") + F.col("left_out")).alias("files_missed"))
+    least, most = static_estimate("file_count", "source_bytes", reviews is not None)
+    estimates = analysis.workload.select(F.col("snapshot_id").alias("scan_id"), least.alias("_least"), most.alias("_most"))
+    ended = requests.drop("score", "files_missed", "failed_rules").join(scores, "scan_id", "left").join(failed, "scan_id", "left")
+    ended = ended.join(missed, "scan_id", "left").join(estimates, "scan_id", "left")
     bad = F.col("_failed").isNotNull()
     scans = stamp_version(ended.withColumns({
         "status": F.when(bad, "failed").otherwise("completed"),
         "stage": F.when(bad, "failed").otherwise("complete"),
         "score": F.when(~bad, F.col("score")),
         "error_message": F.when(bad, V.RESOURCE_ERROR),
-        "estimated_min_seconds": F.when(~bad, 0),
-        "estimated_max_seconds": F.when(~bad, 0),
+        "estimated_min_seconds": F.when(~bad, F.coalesce("_least", F.lit(0))),
+        "estimated_max_seconds": F.when(~bad, F.coalesce("_most", F.lit(0))),
+        "files_missed": F.coalesce("files_missed", F.lit(0)),
+        "failed_rules": F.array(*map(F.lit, analysis.failed_rules)).cast("array<string>"),
         "finished_at": F.lit(now).cast("timestamp"),
-    })).drop("_failed")
-    return scans, to_issues(analysis.findings)
+    })).drop("_failed", "_least", "_most")
+    return scans, to_issues(findings)

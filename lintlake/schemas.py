@@ -6,7 +6,7 @@ REPOS = ("repo_id BIGINT, owner_id BIGINT, name STRING, source_url STRING, creat
 SCANS = (
     "scan_id BIGINT, repo_id BIGINT, status STRING, stage STRING, estimated_min_seconds INT, "
     "estimated_max_seconds INT, score INT, analysis_version STRING, source_commit STRING, error_message STRING, "
-    "started_at TIMESTAMP, finished_at TIMESTAMP, created_at TIMESTAMP"
+    "started_at TIMESTAMP, finished_at TIMESTAMP, created_at TIMESTAMP, files_missed BIGINT, failed_rules ARRAY<STRING>"
 )
 
 ISSUES = (

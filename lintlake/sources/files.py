@@ -19,54 +19,71 @@ from lintlake.session import materialize, spread
 KEY = "snapshot_id"
 
 
+READ_BYTES = 32 * 1024 * 1024
+
+
 def list_source_trees(roots: DataFrame) -> DataFrame:
     """Regular files below each root of ``roots(snapshot_id, root)``, symbolic links left out.
 
     Spark's own file listing hides empty files and names that start with an
     underscore, which source trees are full of, so each task walks its roots.
-    Folders must be reachable from the executors.
+    Folders must be reachable from the executors. A folder that cannot be
+    listed is a row too: its path ends in a slash and has no length.
     """
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for snapshot, root in zip(frame[KEY], frame["root"]):
-                for folder, _, names in os.walk(root, followlinks=False):
+                closed: list[OSError] = []
+                for folder, _, names in os.walk(root, followlinks=False, onerror=closed.append):
                     listed = []
                     for name in names:
                         full = os.path.join(folder, name)
-                        info = os.lstat(full)
+                        try:
+                            info = os.lstat(full)
+                        except OSError as error:
+                            closed.append(error)
+                            continue
                         if stat.S_ISREG(info.st_mode):
                             listed.append((snapshot, root, os.path.relpath(full, root), info.st_size))
                     yield pd.DataFrame(listed, columns=[KEY, "root", "path", "length"])
+                lost = [(snapshot, root, os.path.relpath(e.filename, root) + "/" * os.path.isdir(e.filename), None) for e in closed]
+                yield pd.DataFrame(lost, columns=[KEY, "root", "path", "length"]).astype({"length": "Int64"})
 
     return spread(roots.select(KEY, "root")).mapInPandas(walk, f"{KEY} BIGINT, root STRING, path STRING, length BIGINT")
 
 
-def read_source_trees(roots: DataFrame) -> DataFrame:
-    """``(snapshot_id, path, length, content)`` of every file; content only of eligible Python files.
+def read_source_trees(roots: DataFrame, max_bytes: int = V.MAX_FILE_BYTES) -> DataFrame:
+    """``(snapshot_id, path, length, content)`` of every file; content only of Python files up to ``max_bytes``.
 
     The listing is spread over all cores before contents are read, so one
-    large tree does not stay with the task that listed it.
+    large tree does not stay with the task that listed it. Contents leave a
+    task in pieces of bounded size.
     """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            contents = []
-            for root, path, wanted in zip(frame["root"], frame["path"], frame["wanted"]):
+            contents, begin, held = [], 0, 0
+            rows = frame.drop(columns=["root", "wanted"])
+            for i, (root, path, wanted) in enumerate(zip(frame["root"], frame["path"], frame["wanted"])):
                 data = None
                 if wanted:
                     try:
                         with open(os.open(os.path.join(root, path), os.O_RDONLY | os.O_NOFOLLOW), "rb") as handle:
-                            data = handle.read(V.MAX_FILE_BYTES + 1)
+                            data = handle.read(max_bytes + 1)
                     except OSError:
-                        pass  # gone or replaced since it was listed
+                        pass  # gone, replaced or closed: a row without content, which parse_status shows
                 contents.append(data)
-            yield frame.drop(columns=["root", "wanted"]).assign(content=contents)
+                held += len(data or b"")
+                if held >= READ_BYTES:
+                    yield rows.iloc[begin : i + 1].assign(content=contents)
+                    contents, begin, held = [], i + 1, 0
+            yield rows.iloc[begin:].assign(content=contents)
 
     listed = list_source_trees(roots)
     parts = 4 * listed.sparkSession.sparkContext.defaultParallelism
     return (
-        listed.withColumn("wanted", is_eligible())
+        listed.withColumn("wanted", F.coalesce(is_eligible(max_bytes), F.lit(False)))
         .repartition(parts, KEY, "path")
         .mapInPandas(read, schemas.SOURCE_FILES)
     )
@@ -77,15 +94,24 @@ def read_source_tree(spark: SparkSession, root: str, snapshot_id: int = 0) -> Da
     return read_source_trees(spark.createDataFrame([(snapshot_id, root)], f"{KEY} BIGINT, root STRING"))
 
 
-def with_source(files: DataFrame) -> DataFrame:
-    """Replace ``content`` by decoded ``source``; larger files are left out as on reading."""
-    return files.filter(F.length("content") <= V.MAX_FILE_BYTES).select(
-        KEY, "path", source_text("content").alias("source")
-    )
+def with_source(files: DataFrame, max_bytes: int = V.MAX_FILE_BYTES) -> DataFrame:
+    """Decoded ``source``, or the ``problem`` of a file that has none: too_large or unreadable."""
+    size = F.greatest(F.coalesce("length", F.lit(0)), F.coalesce(F.length("content"), F.lit(0)))
+    problem = F.when(size > max_bytes, "too_large").when(F.col("content").isNull(), "unreadable")
+    return files.select(KEY, "path", F.when(problem.isNull(), source_text("content")).alias("source"), problem.alias("problem"))
+
+
+def is_python() -> Column:
+    return file_name("path").endswith(".py") & ~ignored("path")
+
+
+def is_eligible(max_bytes: int = V.MAX_FILE_BYTES) -> Column:
+    return is_python() & (F.col("length") <= max_bytes)
 
 
-def is_eligible() -> Column:
-    return file_name("path").endswith(".py") & ~ignored("path") & (F.col("length") <= V.MAX_FILE_BYTES)
+def python_files(files: DataFrame) -> DataFrame:
+    """Python files outside ignored directories, of any size, and what could not be listed."""
+    return files.filter(is_python() | (F.col("path").endswith("/") & ~ignored("path")))
 
 
 def eligible_files(files: DataFrame) -> DataFrame:

@@ -29,7 +29,8 @@ def _arm(state: GroupState, at_ms: int) -> None:
 def detect_stale(events: DataFrame, delay: str = "1 minute") -> DataFrame:
     """One failed row for each scan that waits or runs too long, by event time.
 
-    ``events(scan_id, ts, status)``. A terminal state, also one given here,
+    ``events(scan_id, ts, status)``. A scan waits since its first queued event
+    and runs since its first running one, however often they are delivered. A terminal state, also one given here,
     is not left: later events of the scan are ignored. State is one short row
     per open scan and is dropped a day after its end.
     """
@@ -51,8 +52,9 @@ def detect_stale(events: DataFrame, delay: str = "1 minute") -> DataFrame:
         for at, new in rows:
             if status == "ended" or (status in LIMITS_MS and at > since + LIMITS_MS[status] and new == "running"):
                 continue  # over, or started only after its time was up
-            if new in LIMITS_MS and not (status == "running" and new == "queued"):
-                status, since = new, at
+            if new in LIMITS_MS:
+                if status is None or (status, new) == ("queued", "running"):  # delivered again, it keeps its first time
+                    status, since = new, at
             elif new not in LIMITS_MS:
                 status, since = "ended", at
         if status is not None:
@@ -66,7 +68,10 @@ def detect_stale(events: DataFrame, delay: str = "1 minute") -> DataFrame:
 
 
 def single_runs(deliveries: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The first delivery of each scan; state is kept only for the watermark delay."""
+    """The first delivery of each scan; state is kept only for the watermark delay.
+
+    A later delivery passes; the job that runs the scans leaves out those that are stored already.
+    """
     return deliveries.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(
         ["scan_id"]
     )

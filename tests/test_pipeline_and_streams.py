@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from lintlake import schemas
 from lintlake.functions import values as V
 from lintlake.operators import skew
-from lintlake.plans.pipeline import analyze_snapshots, analyze_trees, finish_scans
+from lintlake.plans.pipeline import Limits, analyze_snapshots, analyze_trees, finish_scans
 from lintlake.sources import tables as tb
 from lintlake.streaming import lifecycle as sl
 from lintlake.streaming import rates
-from lintlake.streaming.pipeline import analyze_requests
+from lintlake.streaming.pipeline import analyze_requests, write_files
 
 T0 = datetime(2024, 1, 1, 12)
 
@@ -47,6 +47,7 @@ SOURCES = {
 def test_snapshots_to_tables(spark, tmp_path):
     done = analyze_snapshots(files(spark, SOURCES))
     assert {tuple(r) for r in done.workload.select("snapshot_id", "file_count").collect()} == {(1, 3), (2, 2), (3, 1)}
+    assert {tuple(r) for r in done.coverage.select("snapshot_id", "files", "parsed", "failed", "left_out").collect()} == {(1, 3, 2, 1, 0), (2, 2, 2, 0, 0), (3, 1, 1, 0, 0)}
     scans, issues = finish_scans(requests(spark, [1, 2, 3]), done, T0)
     folder = str(tmp_path / "tables")
     for _ in range(2):  # a repeated batch replaces itself
@@ -174,10 +175,16 @@ def test_stale_scans_are_failed_once(spark, tmp_path):
         [(9, at(1700), "running"), (9, at(1800), "completed")],
         [(8, at(9000), "queued")],
         [(8, at(9001), "completed")],
+        # delivered again and again, both still expire
+        [(10, at(10_000), "queued"), (11, at(10_000), "queued"), (11, at(10_010), "running")],
+        [(10, at(10_300), "queued"), (11, at(10_300), "running")],
+        [(10, at(10_700), "queued"), (11, at(10_320), "queued")],
+        [(12, at(13_000), "queued")],
+        [(12, at(13_001), "completed")],
     ]
     got = run(sl.detect_stale(stream(spark, tmp_path, batches, schema, "life")), tmp_path, "t1_stale")
     assert sorted((r.scan_id, r.status, r.error_message) for r in got) == [
-        (1, "failed", V.QUEUE_EXPIRED), (2, "failed", V.STALE_ERROR), (4, "failed", V.STALE_ERROR),
+        (1, "failed", V.QUEUE_EXPIRED), (2, "failed", V.STALE_ERROR), (4, "failed", V.STALE_ERROR), (10, "failed", V.QUEUE_EXPIRED), (11, "failed", V.STALE_ERROR),
     ]
 
 
@@ -219,12 +226,9 @@ def test_streamed_pipeline_equals_batch(spark, tmp_path):
 
 
 @pytest.mark.parametrize("limit, status", [(2, "failed"), (50, "completed")])
-def test_a_scan_over_the_limit_fails_whole(spark, monkeypatch, limit, status):
-    from lintlake.operators import rules
-
-    monkeypatch.setattr(rules.within_guard, "__defaults__", (limit,))
-    monkeypatch.setattr(rules.finding_guard, "__defaults__", (limit,))
-    scans, issues = finish_scans(requests(spark, [1, 3]), analyze_snapshots(files(spark, SOURCES)), T0)
+def test_a_scan_over_the_limit_fails_whole(spark, limit, status):
+    done = analyze_snapshots(files(spark, SOURCES), limits=Limits(max_findings=limit))
+    scans, issues = finish_scans(requests(spark, [1, 3]), done, T0)
     got = {r.scan_id: r for r in scans.collect()}
     assert got[1].status == status and got[3].status == "completed"
     assert issues.filter("scan_id = 1").count() == (0 if status == "failed" else 4)
@@ -239,3 +243,70 @@ def test_trees_from_disk(spark, tmp_path):
     roots = spark.createDataFrame([(s, str(tmp_path / str(s))) for s in (1, 2, 3)], "snapshot_id bigint, root string")
     pick = lambda done: sorted((r.scan_id, r.fingerprint, r.comparison_key) for r in done.findings.collect())
     assert pick(analyze_trees(roots)) == pick(analyze_snapshots(files(spark, SOURCES)))
+
+
+def test_states_only_move_forward(spark):
+    from lintlake.operators.lifecycle import latest_states
+
+    at = lambda s: T0 + timedelta(seconds=s)
+    events = [
+        (1, 1, at(10), "queued"), (1, 2, at(20), "running"), (1, 3, at(30), "queued"), (1, 4, at(40), "running"),
+        (2, 5, at(10), "queued"), (2, 6, at(15), "queued"), (3, 7, at(1), "running"), (3, 8, at(2), "failed"), (3, 9, at(3), "completed"),
+    ]
+    got = {r.scan_id: (r.status, r.since, r.n_events) for r in latest_states(spark.createDataFrame(events, "scan_id bigint, event_id bigint, ts timestamp, status string")).collect()}
+    assert got == {1: ("running", at(20), 4), 2: ("queued", at(10), 2), 3: ("failed", at(2), 3)}
+
+
+def test_ids_of_both_signs_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SLICE_ROWS", 3)
+    ids = [-(2**63), -5, -4, 0, 1, 2, 3, 4, 10**18, 2**63 - 2, 2**63 - 1]
+    df = spark.createDataFrame([(1, i, min(ids), max(ids), len(ids)) for i in ids] + [(2, 7, 7, 7, 1)], "k int, i bigint, lo bigint, hi bigint, n bigint")
+    got = {(r.k, r.i): r.at for r in skew.numbered(df, ["k"], "i", "lo", "hi", "n", "at").collect()}
+    assert got == {**{(1, i): n + 1 for n, i in enumerate(sorted(ids))}, (2, 7): 1}
+
+
+def test_nothing_is_lost_unseen(spark):
+    """Large, unreadable and surplus files are counted; without limits none is cut."""
+    large = "x = 1\n" * 400_000 + "eval(y)\n"
+    rows = [(1, "large.py", len(large), bytearray(large.encode())), (1, "gone.py", 9, None), (1, "closed/", None, None), (1, ".git/closed/", None, None), (1, "a.txt", 3, bytearray(b"abc"))]
+    rows += [(2, f"d{i % 7}/f{i}.py", 8, bytearray(b"eval(x)\n")) for i in range(5_001)]
+    df = spark.createDataFrame(rows, schemas.SOURCE_FILES)
+    done = analyze_snapshots(df)
+    assert {tuple(r) for r in done.coverage.select("snapshot_id", "files", "parsed", "failed", "left_out").collect()} == {(1, 3, 0, 3, 0), (2, 5001, 5001, 0, 0)}
+    problems = {r.path: r.error for r in done.facts.where("NOT ok").collect()}
+    assert problems == {"large.py": "too_large", "gone.py": "unreadable", "closed/": "unreadable"}
+    assert done.findings.count() == 5001
+    assert analyze_snapshots(df, limits=Limits(file_bytes=5_000_000)).findings.where("scan_id = 1").count() == 1
+    cut = analyze_snapshots(df, limits=Limits(max_files=5_000))
+    scans, _ = finish_scans(requests(spark, [1, 2]), cut, T0)
+    assert {r.scan_id: (r.status, r.files_missed) for r in scans.collect()} == {1: ("completed", 3), 2: ("completed", 1)}
+
+
+def test_a_scan_is_stored_once_however_often_it_is_asked_for(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    rows = [requests(spark, [1]).collect(), requests(spark, [2]).collect(), requests(spark, [1, 2]).collect()]
+    src = stream(spark, tmp_path, rows, StructType.fromDDL(schemas.SCANS), "again")
+    write_files(files(spark, SOURCES), str(tmp_path / "files"))
+    folder = str(tmp_path / "out")
+    analyze_requests(src, spark.read.parquet(str(tmp_path / "files")), folder, str(tmp_path / "cp"), now=T0).awaitTermination()
+    stored = tb.read_tables(spark, folder, "scans", schemas.SCANS).collect()
+    assert sorted((r.scan_id, r.batch_id) for r in stored) == [(1, 0), (2, 1)]
+
+
+def test_rescans_and_reviews(spark):
+    """The same sources again change nothing; an added file is new, a removed one resolved; reviews reach the stored issues."""
+    first = {k: v for k, v in SOURCES.items() if k[0] == 1}
+    shift = lambda s, more=None, less=(): {(s, p): t for (_, p), t in first.items() if p not in less} | ({(s, p): t for p, t in (more or {}).items()})
+    sources = {**shift(1), **shift(2), **shift(3, {"extra.py": "eval(z)\n"}), **shift(4, less=("app.py",))}
+    done = analyze_snapshots(files(spark, sources))
+    keys = {}
+    for r in done.findings.collect():
+        keys.setdefault(r.scan_id, set()).add(r.comparison_key)
+    assert keys[1] == keys[2] and len(keys[3] - keys[1]) == 1 and not keys[1] - keys[3] and 4 not in keys
+    one = done.findings.where("scan_id = 1").first()
+    review = (1, 0, 0, one.fingerprint, "high", 0.9, False, "Because it matters.", "Do this instead.")
+    scans, issues = finish_scans(requests(spark, [1]), done, T0, spark.createDataFrame([review], schemas.REVIEWS))
+    told = {r.fingerprint: r.ai_explanation for r in issues.where("scan_id = 1").collect()}
+    assert "Because it matters." in told[one.fingerprint] and sum(v is not None for v in told.values()) == 1
+    assert scans.first().estimated_max_seconds > 45
