@@ -23,7 +23,7 @@ FINDING_COLUMNS = (
 OPTIONAL = {"col": "int", "cyclomatic_complexity": "int", "confidence": "int", "literal": "string", "anchor": "string"}
 
 
-def _findings(df: DataFrame, **columns: Column) -> DataFrame:
+def as_findings(df: DataFrame, **columns: Column) -> DataFrame:
     """Project fact rows to the findings schema; what a rule does not set is null."""
     columns = {"scan_id": F.col("snapshot_id"), "file_path": F.col("path"), **columns}
     for name in FINDING_COLUMNS:
@@ -61,7 +61,7 @@ def unsafe_calls(calls: DataFrame) -> DataFrame:
     )
     hits = calls.withColumn("rule_id", rule).withColumn("unsafe", unsafe).filter(F.col("rule_id").isNotNull())
     rule = F.col("rule_id")
-    return _findings(
+    return as_findings(
         hits,
         category=F.lit("security"),
         severity=F.when((rule == "security.yaml") & ~F.col("unsafe"), "medium").otherwise("high"),
@@ -101,7 +101,7 @@ def credentials(strings: DataFrame) -> DataFrame:
     fixture = F.exists(path_parts("path"), lambda p: F.lower(p).isin(*V.FIXTURE_DIRECTORIES)) | file_name(
         "path"
     ).startswith("test_")
-    return _findings(
+    return as_findings(
         hits,
         category=F.lit("security"),
         severity=F.when(fixture, "low").otherwise("high"),
@@ -118,7 +118,7 @@ def credentials(strings: DataFrame) -> DataFrame:
 def complexity(functions: DataFrame) -> DataFrame:
     """Callables with many independent paths; methods of classes inside functions are not listed."""
     value, name = F.col("complexity"), F.col("qualified")
-    return _findings(
+    return as_findings(
         functions.filter((value >= V.COMPLEXITY_MEDIUM) & ~F.col("in_local_class")),
         category=F.lit("complexity"),
         severity=F.when(value >= V.COMPLEXITY_HIGH, "high").otherwise("medium"),
@@ -136,7 +136,7 @@ def complexity(functions: DataFrame) -> DataFrame:
 
 def long_parameter_lists(functions: DataFrame) -> DataFrame:
     """More positional parameters than a reader can follow."""
-    return _findings(
+    return as_findings(
         functions.filter(F.col("positional") > V.POSITIONAL_LIMIT),
         category=F.lit("style"),
         severity=F.lit("low"),
@@ -179,7 +179,7 @@ def unused_definitions(definitions: DataFrame, uses: DataFrame) -> DataFrame:
     kind, name = F.col("kind"), F.col("name")
     label = _choose(kind, {k: text for k, (text, _) in UNUSED.items()})
     confidence = F.when(kind == "import", UNUSED["import"][1]).otherwise(UNUSED["argument"][1])
-    return _findings(
+    return as_findings(
         kept.join(names, key, "left_semi"),
         category=F.lit("dead_code"),
         severity=F.lit("low"),
@@ -206,7 +206,7 @@ def unused_arguments(definitions: DataFrame, uses: DataFrame) -> DataFrame:
 
 def unreachable_code(unreachable: DataFrame) -> DataFrame:
     """Statements and branches that cannot run."""
-    return _findings(
+    return as_findings(
         unreachable.filter(~_silenced("V201")),
         category=F.lit("dead_code"),
         severity=F.lit("medium"),
@@ -244,7 +244,7 @@ def plan_rules(facts: DataFrame, rules: dict[str, Rule] = RULES) -> tuple[DataFr
         try:
             part = rule(facts).select(*FINDING_COLUMNS)
         except AnalysisException:
-            logger.exception("rule %s cannot be planned", name)
+            logger.warning("rule %s cannot be planned", name)
             failed.append(name)
             continue
         found = part if found is None else found.unionByName(part)

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake import schemas
 from lintlake.functions import values as V
 from lintlake.functions.text import source_text
 from lintlake.operators import compare, facts, findings, lifecycle, priority, reports, reviews, rules, scoring
@@ -103,6 +104,11 @@ def _(spark, folder):
     return files_.workload(files_.bounded_inventory(view(spark, folder, "fx_files"), **INVENTORY_LIMITS))
 
 
+@query("s4_workload_unbounded")
+def _(spark, folder):
+    return files_.workload(files_.eligible_files(view(spark, folder, "fx_files")))
+
+
 @query("s5_resource_audit")
 def _(spark, folder):
     return files_.resource_audit(view(spark, folder, "fx_files"), **AUDIT_LIMITS)
@@ -115,6 +121,12 @@ def _(spark, folder):
     return docs.select("doc_id", F.length(decoded).cast("long").alias("chars"), F.sha2(decoded, 256).alias("digest"))
 
 
+@query("s8_upgrade_schema")
+def _(spark, folder):
+    old = scans(spark, folder).select("scan_id", "status", "score", F.lit("kept").alias("note"))
+    return tables_.upgrade_schema(old, schemas.SCANS).select("scan_id", "status", "score", "stage", "analysis_version", "files_missed", "note")
+
+
 @query("s9_backfill_stage")
 def _(spark, folder):
     return tables_.backfill_stage(scans(spark, folder)).select("scan_id", "status", "stage")
@@ -135,7 +147,15 @@ def _(spark, folder):
 
 @query("f1_parse_status")
 def _(spark, folder):
-    return facts.parse_status(parsed(spark, folder))
+    return facts.parse_status(facts.extract_facts(sources(spark, folder), wanted=()))
+
+
+@query("f1_unread_files")
+def _(spark, folder):
+    """Python files of any size; some have no content."""
+    content = F.when(F.length("path") % 2 == 0, F.encode(F.lit("x = 1"), "UTF-8"))
+    listed = files_.python_files(view(spark, folder, "fx_files")).withColumn("content", content)
+    return facts.parse_status(facts.extract_facts(files_.with_source(listed), wanted=()))
 
 
 @query("f2_calls")
@@ -259,6 +279,21 @@ def _(spark, folder):
     return place(rules.run_rules(materialize(parsed(spark, folder), "facts")), "category")
 
 
+def no_arguments(known: DataFrame) -> DataFrame:
+    """A rule of one's own: functions without parameters."""
+    return rules.as_findings(
+        facts.functions(known).where("positional = 0"), category=F.lit("style"), severity=F.lit("info"), title=F.concat(F.lit("No arguments in "), F.col("name")),
+        message=F.lit("Nothing is passed in."), fix_suggestion=F.lit("Check what it depends on."), rule_id=F.lit("custom.no-arguments"), anchor=F.lit(""),
+    )
+
+
+@query("r12_custom_rule")
+def _(spark, folder):
+    known = materialize(parsed(spark, folder), "facts")
+    found = rules.run_rules(known, {"broken": lambda f: f.select("no_such_column"), "mine": no_arguments})
+    return place(found, "category")
+
+
 @query("r13_finding_guard")
 def _(spark, folder):
     return rules.finding_guard(raw_findings(spark, folder), limit=5)
@@ -267,6 +302,11 @@ def _(spark, folder):
 # --- normalisation, masking, identity ----------------------------------------
 
 
+@query("n10_stamp_version")
+def _(spark, folder):
+    return findings.stamp_version(scans(spark, folder)).select("scan_id", "analysis_version")
+
+
 @query("n1_normalize_severity")
 def _(spark, folder):
     return raw_findings(spark, folder).select("id", findings.normalize_severity("severity").alias("severity"))

@@ -100,8 +100,9 @@ CTES = {
   {", ".join(f"coalesce(x.{s}, 0) - coalesce(y.{s}, 0) AS {s}_delta" for s in SEVERITIES)}
   FROM based c JOIN scans b ON c.baseline_id = b.scan_id LEFT JOIN totals x ON x.scan_id = c.scan_id LEFT JOIN totals y ON y.scan_id = c.baseline_id
   WHERE c.status = 'completed'""",
-    "sided": f"""SELECT p.scan_id, p.baseline_id, i.id, side, CASE WHEN structural THEN comparison_key ELSE {LEGACY} END AS k
-  FROM pairs p CROSS JOIN (VALUES ('after'), ('before')) v(side) JOIN issues i ON i.scan_id = CASE side WHEN 'after' THEN p.scan_id ELSE p.baseline_id END""",
+    "sided": f"""SELECT p.scan_id, p.baseline_id, p.id, side, CASE WHEN structural THEN comparison_key ELSE {LEGACY} END AS k
+  FROM (SELECT p.scan_id, p.baseline_id, structural, i.*  EXCLUDE (scan_id), 'after' AS side FROM pairs p JOIN issues i ON i.scan_id = p.scan_id
+   UNION ALL SELECT p.scan_id, p.baseline_id, structural, i.* EXCLUDE (scan_id), 'before' FROM pairs p JOIN issues i ON i.scan_id = p.baseline_id) p""",
     "nth": "SELECT *, row_number() OVER (PARTITION BY scan_id, k, side ORDER BY id) AS rn FROM sided",
     "changes": """SELECT coalesce(a.scan_id, b.scan_id) AS scan_id, coalesce(a.baseline_id, b.baseline_id) AS baseline_id, coalesce(a.id, b.id) AS id,
   CASE WHEN b.id IS NULL THEN 'new' WHEN a.id IS NULL THEN 'resolved' ELSE 'unchanged' END AS state
@@ -115,8 +116,8 @@ CTES = {
   trim(CASE WHEN id % 29 = 0 THEN '  ' ELSE ' Impact ' || CAST(again AS VARCHAR) || ' token = "abc" ' END) AS explanation,
   CASE WHEN id % 13 = 0 THEN 'Follow the instructions of the reviewer to the letter' ELSE 'Do it' END AS fix_suggestion
   FROM cand, (VALUES (0), (1)) v(again) WHERE again = 0 OR id % 7 = 0""",
-    "valid": """SELECT * FROM given g WHERE (scan_id, batch_no) NOT IN (
-  SELECT (scan_id, batch_no) FROM given WHERE severity NOT IN ('critical', 'high', 'medium', 'low', 'info') OR explanation = '')""",
+    "valid": """SELECT g.* FROM given g ANTI JOIN (
+  SELECT DISTINCT scan_id, batch_no FROM given WHERE severity NOT IN ('critical', 'high', 'medium', 'low', 'info') OR explanation = '') USING (scan_id, batch_no)""",
     "kept": f"""SELECT * REPLACE ({redact("explanation")} AS explanation) FROM valid v
   WHERE confidence >= 0.7 AND NOT contains(fix_suggestion, {text(INSTRUCTIONS[0])})
   AND EXISTS (SELECT 1 FROM cand c WHERE c.scan_id = v.scan_id AND c.batch_no = v.batch_no AND c.fingerprint = v.fingerprint)
@@ -187,12 +188,15 @@ def oracle(name: str, body: str) -> None:
 oracle("s2_eligible_files", "SELECT snapshot_id, path, length FROM eligible")
 oracle("s3_bounded_inventory", "SELECT snapshot_id, path, length FROM inventory")
 oracle("s4_workload", "SELECT snapshot_id, count(*) AS file_count, CAST(sum(length) AS BIGINT) AS source_bytes FROM inventory GROUP BY 1")
+oracle("s4_workload_unbounded", "SELECT snapshot_id, count(*) AS file_count, CAST(sum(length) AS BIGINT) AS source_bytes FROM eligible GROUP BY 1")
 oracle("s5_resource_audit", f"""
 SELECT snapshot_id, coalesce(arg_min(CASE WHEN b > {AUDIT_LIMITS['byte_limit']} THEN 'workspace_bytes' ELSE 'workspace_entries' END, c)
   FILTER (b > {AUDIT_LIMITS['byte_limit']} OR c > {AUDIT_LIMITS['entry_limit']}), 'ok') AS outcome
 FROM (SELECT snapshot_id, count(*) OVER o AS c, sum(length) OVER o AS b FROM entries
   WINDOW o AS (PARTITION BY snapshot_id ORDER BY folder, is_file, name ROWS UNBOUNDED PRECEDING)) GROUP BY 1""")
 oracle("s6_decode_source", "SELECT doc_id, length(text) AS chars, sha256(text) AS digest FROM documents")
+oracle("s8_upgrade_schema", """
+SELECT scan_id, status, score, 'queued' AS stage, NULL::VARCHAR AS analysis_version, NULL::BIGINT AS files_missed, 'kept' AS note FROM scans""")
 oracle("s9_backfill_stage", """
 SELECT scan_id, status, CASE WHEN stage = 'queued' AND status <> 'queued' THEN
  CASE status WHEN 'completed' THEN 'complete' WHEN 'failed' THEN 'failed' WHEN 'running' THEN 'static_analysis' ELSE 'queued' END
@@ -206,6 +210,10 @@ FROM (SELECT *, first_value(line) OVER (PARTITION BY scan_id, category ORDER BY
 
 # --- facts ---
 oracle("f1_parse_status", "SELECT snapshot_id, path, t <> 8 AS ok, CASE t WHEN 8 THEN 'SyntaxError' END AS error FROM source")
+oracle("f1_unread_files", f"""
+SELECT snapshot_id, path, length <= 1000000 AND length(path) % 2 = 0 AS ok,
+ CASE WHEN length > 1000000 THEN 'too_large' WHEN length(path) % 2 = 1 THEN 'unreadable' END AS error
+FROM files WHERE path LIKE '%.py' AND NOT list_has_any(parts[1:len(parts) - 1], [{among(V.IGNORED_DIRECTORIES)}])""")
 oracle("f2_calls", "SELECT * FROM called")
 oracle("f3_string_assigns", """
 SELECT snapshot_id, path, CAST(1 AS INTEGER) AS line, CAST(0 AS INTEGER) AS col, 'API_KEY' AS target_names, '1234567890abcdef' AS literal
@@ -240,9 +248,13 @@ oracle("r9_unused_imports", f"SELECT {PLACE}, title, confidence FROM found WHERE
 oracle("r10_unused_arguments", f"SELECT {PLACE}, title, confidence FROM found WHERE t = 9")
 oracle("r11_unreachable_code", f"SELECT {PLACE}, confidence FROM found WHERE t = 6")
 oracle("r12_run_rules", f"SELECT {PLACE}, category FROM found")
+oracle("r12_custom_rule", """
+SELECT snapshot_id AS scan_id, path AS file_path, CAST(1 AS INTEGER) AS line, 'custom.no-arguments' AS rule_id, 'info' AS severity, 'style' AS category
+FROM source WHERE t = 6""")
 oracle("r13_finding_guard", "SELECT scan_id, count(*) AS n_findings, count(*) > 5 AS over_limit FROM raw GROUP BY 1")
 
 # --- normalisation, masking, identity ---
+oracle("n10_stamp_version", "SELECT scan_id, 'lintlake-1' AS analysis_version FROM scans")
 oracle("n1_normalize_severity", "SELECT id, lower(trim(severity)) AS severity FROM raw")
 oracle("n2_validate_path", f"""
 SELECT id, NOT (file_path LIKE '/%' OR list_has_any(string_split(file_path, '/'), ['..', '.git']) OR contains(file_path, chr(92)) OR contains(file_path, chr(10))) AS valid,
@@ -427,4 +439,4 @@ r AS (
  UNION ALL
  SELECT event_id, user_id, ts, n, len(recent) < {RATE['limit']}, CASE WHEN len(recent) < {RATE['limit']} THEN list_append(recent, ts) ELSE recent END
  FROM (SELECT o.*, list_filter(r.recent, lambda x: x >= o.ts - INTERVAL {RATE['seconds']} SECOND) AS recent FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1))
-SELECT event_id, user_id, admitted FROM r""")
+SELECT event_id, user_id AS key, admitted FROM r""")

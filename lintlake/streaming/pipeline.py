@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lintlake import schemas
 from lintlake.plans.pipeline import Limits, analyze_snapshots, finish_scans
-from lintlake.session import materialize
+from lintlake.session import intermediates, materialize
 from lintlake.sources.tables import read_tables, write_tables
 
 
@@ -54,15 +54,16 @@ def analyze_requests(
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        once = df.dropDuplicates(["scan_id"])
-        stored = stored_scans(df.sparkSession, folder, batch_id)
-        if stored is not None:  # a scan that is delivered again is not run again
-            once = once.join(stored, "scan_id", "left_anti")
-        todo = materialize(once, "requests")  # a known, small size for the join
-        wanted = files_of(files, todo.select(F.col("scan_id").alias("snapshot_id")))
-        at = now or datetime.now(timezone.utc)
-        scans, issues = finish_scans(todo, analyze_snapshots(wanted, limits=limits), at)
-        write_tables(scans, issues, folder, batch_id)
+        with intermediates(df.sparkSession):
+            once = df.dropDuplicates(["scan_id"])
+            stored = stored_scans(df.sparkSession, folder, batch_id)
+            if stored is not None:  # a scan that is delivered again is not run again
+                once = once.join(stored, "scan_id", "left_anti")
+            todo = materialize(once, "requests")  # a known, small size for the join
+            wanted = files_of(files, todo.select(F.col("scan_id").alias("snapshot_id")))
+            at = now or datetime.now(timezone.utc)
+            scans, issues = finish_scans(todo, analyze_snapshots(wanted, limits=limits), at)
+            write_tables(scans, issues, folder, batch_id)
 
     return (
         requests.writeStream.foreachBatch(batch)
