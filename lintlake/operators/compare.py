@@ -95,20 +95,39 @@ def diff_findings(pairs: DataFrame, issues: DataFrame) -> DataFrame:
     Equal keys are matched in the order of their ids: with ``n`` rows on one
     side and ``m`` on the other the first ``min(n, m)`` of each are the same
     findings. Unchanged rows carry the current id, resolved rows that of the
-    baseline. The narrow rows are written once. Counts per key, which combine
-    before the shuffle, name the keys too large for one task; those rows never
-    meet in one, all others are numbered in a window.
+    baseline. The issues are read once: a scan meets the pairs it is a side of,
+    and the legacy key is computed for those that need it. Pairs whose totals
+    show that no key can be too large for one task, nearly always all of them,
+    are settled by one exchange and one sort.
     """
-    narrow = issues.select("scan_id", "id", "comparison_key", legacy_key().alias("_legacy"))
-    sides = pairs.select("scan_id", "baseline_id", "structural")
-    key = F.when(F.col("structural"), F.col("comparison_key")).otherwise(F.col("_legacy")).alias("key")
-    after = narrow.join(sides, "scan_id").select("scan_id", "baseline_id", key, "id", F.lit(True).alias("is_after"))
-    before = narrow.withColumnRenamed("scan_id", "baseline_id").join(sides, "baseline_id").select(
-        "scan_id", "baseline_id", key, "id", F.lit(False).alias("is_after")
-    )
-    rows = materialize(after.unionByName(before), "sides")
+    side = lambda scan, after: F.struct(F.col(scan).alias("member"), F.lit(after).alias("is_after"))
+    total = F.coalesce("total", F.lit(0)) + F.coalesce("baseline_total", F.lit(0)) if "total" in pairs.columns else F.lit(skew.SLICE_ROWS + 1)
+    sides = pairs.select("scan_id", "baseline_id", "structural", (total > skew.SLICE_ROWS).alias("is_large"), F.explode(F.array(side("scan_id", True), side("baseline_id", False))).alias("s"))
+    sides = sides.select("scan_id", "baseline_id", "structural", "is_large", "s.*")
+    key = F.when(F.col("structural"), F.col("comparison_key")).otherwise(legacy_key()).alias("key")
+    rows = issues.withColumnRenamed("scan_id", "member").join(sides, "member").select("scan_id", "baseline_id", "is_large", key, "id", "is_after")
     keys, is_after = ["scan_id", "key"], F.col("is_after")
+    columns = ("scan_id", "baseline_id", "id", "is_after", "matched")
+
+    in_order = F.row_number().over(Window.partitionBy(*keys).orderBy("is_after", "id"))
+    n_before = F.count_if(~is_after).over(Window.partitionBy(*keys))
+    n_both = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    ranked = rows.filter(~F.col("is_large")).withColumn("rank", in_order).withColumns({"n_before": n_before, "n_both": n_both})
+    rank = F.col("rank") - F.when(is_after, F.col("n_before")).otherwise(0)
+    every = ranked.withColumn("matched", rank <= F.least("n_before", F.col("n_both") - F.col("n_before"))).select(*columns)
+    if not sides.filter("is_large").isEmpty():
+        every = every.unionByName(_large_pairs(materialize(rows.filter("is_large").drop("is_large"), "sides"), keys).select(*columns))
+    state = F.when(is_after, F.when(F.col("matched"), "unchanged").otherwise("new")).otherwise("resolved")
+    return every.filter(is_after | ~F.col("matched")).select("scan_id", "baseline_id", "id", state.alias("state"))
 
+
+def _large_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Matches of pairs in which a key may have more rows than one task should sort.
+
+    Counts per key, which combine before the shuffle, name the keys too large
+    for one task; those rows never meet in one, all others are numbered in a window.
+    """
+    is_after = F.col("is_after")
     own = lambda flag: F.when(is_after == flag, F.col("id"))
     groups = rows.groupBy(*keys).agg(
         F.count(own(True)).alias("n_after"), F.count(own(False)).alias("n_before"),
@@ -132,9 +151,7 @@ def diff_findings(pairs: DataFrame, issues: DataFrame) -> DataFrame:
     spread = spread.withColumn("matched", F.col("_rank") <= F.col("_shared"))
 
     columns = ("scan_id", "baseline_id", "id", "is_after", "matched")
-    every = small.select(*columns).unionByName(spread.select(*columns))
-    state = F.when(is_after, F.when(F.col("matched"), "unchanged").otherwise("new")).otherwise("resolved")
-    return every.filter(is_after | ~F.col("matched")).select("scan_id", "baseline_id", "id", state.alias("state"))
+    return small.select(*columns).unionByName(spread.select(*columns))
 
 
 def deltas(pairs: DataFrame) -> DataFrame:
