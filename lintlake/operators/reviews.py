@@ -62,9 +62,9 @@ def review_is_valid() -> Column:
 def validate_reviews(reviews: DataFrame) -> DataFrame:
     """Reviews of batches in which every review is valid; one bad review voids its batch."""
     texts = ("fingerprint", "severity", "explanation", "fix_suggestion")
-    clean = reviews.withColumns({name: _stripped(name) for name in texts}).withColumn("_valid", review_is_valid())
-    void = clean.filter(~F.col("_valid")).select("scan_id", "batch_no").distinct()
-    return clean.join(void, ["scan_id", "batch_no"], "left_anti").drop("_valid")
+    clean = reviews.withColumns({name: _stripped(name) for name in texts})
+    batch = Window.partitionBy("scan_id", "batch_no")
+    return clean.withColumn("_good", F.min(review_is_valid()).over(batch)).filter("_good").drop("_good")
 
 
 def accept_reviews(

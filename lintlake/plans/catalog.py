@@ -630,9 +630,13 @@ def raw_clean(spark: SparkSession, folder: str) -> DataFrame:
     return findings.accepted(findings.normalize_findings(raw_findings(spark, folder)))
 
 
-def given_reviews(spark: SparkSession, folder: str) -> DataFrame:
+def asked_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """The candidates as the narrow table that the review step keeps."""
+    return materialize(candidates(spark, folder).select("scan_id", "batch_no", "rn", "id", "fingerprint", "severity"), "asked")
+
+
+def given_reviews(asked: DataFrame) -> DataFrame:
     """Answers for the candidates: some unknown, repeated, unsure or malformed."""
-    asked = candidates(spark, folder).select("scan_id", "batch_no", "rn", "id", "fingerprint", "severity")
     row = asked.select(
         "scan_id", "batch_no", F.explode(F.when(F.col("id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"),
         "rn", "id",
@@ -663,12 +667,12 @@ def _(spark, folder):
 
 @query("w3_validate_reviews")
 def _(spark, folder):
-    return reviews.validate_reviews(given_reviews(spark, folder))
+    return reviews.validate_reviews(given_reviews(asked_findings(spark, folder)))
 
 
 def accepted_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    good = reviews.validate_reviews(given_reviews(spark, folder))
-    return reviews.accept_reviews(good, candidates(spark, folder), INSTRUCTIONS)
+    asked = asked_findings(spark, folder)
+    return reviews.accept_reviews(reviews.validate_reviews(given_reviews(asked)), asked, INSTRUCTIONS)
 
 
 @query("w4_accept_reviews")
