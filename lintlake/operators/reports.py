@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions import values as V
-from lintlake.functions.text import col, redact, severity_rank
+from lintlake.functions.text import col, severity_rank
+from lintlake.operators.lifecycle import expire_stale
 from lintlake.operators.priority import top_issues
 from lintlake.operators.scoring import file_hotspots
 from lintlake.operators.skew import first_n
@@ -73,11 +76,14 @@ def scan_history(
     status: str | None = None,
     limit: int = 500,
     offset: int = 0,
+    now: datetime | None = None,
 ) -> DataFrame:
     """Q4: one page of each owner's scans, newest first, with the total before paging.
 
-    Totals are counted apart, and issues only for the scans on a page.
+    Totals are counted apart, and issues only for the scans on a page. With
+    ``now``, scans that have waited or run too long by then are shown as failed.
     """
+    scans = scans if now is None else expire_stale(scans, now)
     if not (1 <= limit <= 500 and 0 <= offset <= 1_000_000):
         raise ValueError("limit must be 1..500 and offset 0..1000000")
     owned = scans.join(repos.select("repo_id", "owner_id", F.col("source_url").alias("repo_url")), "repo_id")
@@ -97,12 +103,15 @@ def scan_history(
     return shown
 
 
-def scan_report(scans: DataFrame, repos: DataFrame, issues: DataFrame) -> DataFrame:
+def scan_report(scans: DataFrame, repos: DataFrame, issues: DataFrame, now: datetime | None = None) -> DataFrame:
     """Q5: header of every scan's report: the scan, its counts and its top issues.
 
+    With ``now``, scans that have waited or run too long by then are shown as failed.
+
     The issues (P5) and hotspots (A7) of a report are frames of their own,
     keyed by ``scan_id``; their number has no bound that a nested row could hold.
     """
+    scans = scans if now is None else expire_stale(scans, now)
     url = repos.select("repo_id", F.col("source_url").alias("repo_url"))
     files = file_hotspots(issues).groupBy("scan_id").agg(
         F.sum("finding_count").alias("issue_count"), F.count(F.lit(1)).alias("hotspot_count")

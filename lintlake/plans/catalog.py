@@ -582,6 +582,13 @@ def _(spark, folder):
     )
 
 
+@query("q4_fresh_history")
+def _(spark, folder):
+    """The failed scans, those included that have waited or run too long."""
+    page = reports.scan_history(scans(spark, folder), repos(spark, folder), stored_issues(spark, folder), status="failed", limit=20, now=NOW)
+    return page.select("owner_id", "position", "scan_id", "stage", "finished_at", "total")
+
+
 @query("q5_scan_report")
 def _(spark, folder):
     report = reports.scan_report(scans(spark, folder), repos(spark, folder), stored_issues(spark, folder))
@@ -597,6 +604,11 @@ def _(spark, folder):
     return reports.owned_scans(scans(spark, folder), repos(spark, folder)).select("owner_id", "scan_id", "status")
 
 
+@query("q6_one_owner")
+def _(spark, folder):
+    return reports.owned_scans(scans(spark, folder), repos(spark, folder), owner_id=7).select("scan_id", "status")
+
+
 @query("q7_public_error")
 def _(spark, folder):
     return scans(spark, folder).select("scan_id", reports.public_error("error_message").alias("error_message"))

@@ -370,12 +370,19 @@ SELECT owner_id, CAST(position AS INTEGER) AS position, h.scan_id, source_url AS
  (SELECT count(*) FROM issues i WHERE i.scan_id = h.scan_id) AS issue_count, total
 FROM (SELECT s.*, owner_id, source_url, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, scan_id DESC) AS position, count(*) OVER (PARTITION BY owner_id) AS total
  FROM scans s JOIN repos USING (repo_id) WHERE status = 'completed') h WHERE position > 10 AND position <= 30""")
+oracle("q4_fresh_history", f"""
+SELECT owner_id, CAST(position AS INTEGER) AS position, scan_id, stage, finished_at, total FROM (
+ SELECT scan_id, owner_id, stage, finished_at, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, scan_id DESC) AS position, count(*) OVER (PARTITION BY owner_id) AS total
+ FROM (SELECT * REPLACE (CASE WHEN late THEN 'failed' ELSE status END AS status, CASE WHEN late THEN 'failed' ELSE stage END AS stage, CASE WHEN late THEN TIMESTAMP '{NOW}' ELSE finished_at END AS finished_at)
+  FROM (SELECT *, coalesce((status = 'running' AND started_at < TIMESTAMP '{NOW}' - INTERVAL 330 SECOND) OR (status = 'queued' AND created_at < TIMESTAMP '{NOW}' - INTERVAL 15 MINUTE), false) AS late FROM scans)) s
+ JOIN repos USING (repo_id) WHERE status = 'failed') WHERE position <= 20""")
 oracle("q5_scan_report", f"""
 SELECT s.scan_id, source_url AS repo_url, status, stage, score, {PUBLIC}, source_commit, coalesce(n, 0) AS issue_count, coalesce(h, 0) AS hotspot_count,
  coalesce(top_issue_ids, '') AS top_issue_ids, '1' AS priority_version
 FROM scans s LEFT JOIN repos USING (repo_id) LEFT JOIN (SELECT scan_id, count(*) AS n, count(DISTINCT file_path) AS h FROM issues GROUP BY 1) USING (scan_id)
 LEFT JOIN {TOP} USING (scan_id)""")
 oracle("q6_owned_scans", "SELECT owner_id, scan_id, status FROM scans JOIN repos USING (repo_id)")
+oracle("q6_one_owner", "SELECT scan_id, status FROM scans JOIN repos USING (repo_id) WHERE owner_id = 7")
 oracle("q7_public_error", f"SELECT scan_id, {PUBLIC} FROM scans")
 oracle("q8_display_texts", """
 SELECT scan_id, CASE WHEN ms < 0 THEN NULL WHEN ms < 1000 THEN CAST(ms AS VARCHAR) || 'ms' ELSE printf('%.1f', ms / 1000.0::DOUBLE) || 's' END AS duration,
