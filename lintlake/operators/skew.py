@@ -73,15 +73,19 @@ def carried_last(
 def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str) -> DataFrame:
     """Rows of the same key in the ``seconds`` up to each row, its own time included.
 
-    The time line of a key is cut into slices; rows near the end of a slice
-    are repeated in the next one as context, so no task needs a whole key.
+    Each row counts from its time on and, by a marker, no longer once the span
+    has passed, so the number is a running sum and costs the same however
+    many rows a span holds. The time line of a key is cut into slices, which
+    start from the sums of the slices before; no task needs a whole key.
     """
     size, reach = max(4 * seconds, 3600) * 1_000_000, seconds * 1_000_000
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    sliced = df.withColumn("_us", us).withColumn("_slice", F.expr(f"_us div {size}"))
-    near_end = F.col("_us") - F.col("_slice") * size >= size - reach
-    spans = F.when(near_end, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    copies = sliced.withColumn("_copy", F.explode(spans)).withColumn("_slice", F.col("_slice") + F.col("_copy"))
-    window = Window.partitionBy(key, "_slice").orderBy("_us").rangeBetween(-reach, 0)
-    counted = copies.withColumn(out, F.count(F.lit(1)).over(window))
-    return counted.filter("_copy = 0").drop("_us", "_slice", "_copy")
+    timed = df.withColumns({"_us": F.unix_micros(F.col(ts).cast("timestamp")), "_step": F.lit(1)})
+    over = timed.select(key, (F.col("_us") + reach + 1).alias("_us"), F.lit(-1).alias("_step"))
+    both = timed.unionByName(over, allowMissingColumns=True).withColumn("_slice", F.expr(f"_us div {size}"))
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = both.groupBy(key, "_slice").agg(F.sum("_step").alias("_total"))
+    starts = totals.select(F.col(key).alias("_key"), F.col("_slice").alias("_at"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
+    running = F.sum("_step").over(Window.partitionBy(key, "_slice").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0))
+    counted = both.withColumn(out, running).filter("_step = 1")
+    joined = counted.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_at")))
+    return joined.withColumn(out, F.col(out) + F.col("_start")).select(*df.columns, out)
