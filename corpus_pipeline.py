@@ -63,13 +63,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a smaller document has too go out of the text; a text of which nothing is left goes.
 
-    A cut inside a character takes the whole character.
+    A cut inside a character takes the whole character. Null texts become empty.
     """
-    done = suffix_dedup(docs, keep_text=True).select("doc_id", "text_md5", "n_removed", "kept").dropDuplicates(["doc_id", "text_md5"])
-    whole = _whole(docs)
-    same = F.col("doc.doc_id").eqNullSafe(done["doc_id"]) & (F.md5(F.coalesce("doc.text", F.lit(""))) == done["text_md5"])
-    left = whole.join(done, same).where("n_removed = 0 OR length(kept) > 0")
-    return _with_text(left, docs.columns, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("doc.text")))
+    done = suffix_dedup(docs, carry=True).where("n_removed = 0 OR length(kept) > 0")
+    changed = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return done.select(*[changed.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

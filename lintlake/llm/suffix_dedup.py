@@ -20,12 +20,15 @@ anchors travel, and a bucket holds at most one copy of a run for each batch.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lintlake.llm.common import parts
 
@@ -74,10 +77,15 @@ def _gram(width: int) -> int:
     return min(24, width // 2 // 8 * 8)
 
 
-def _in_order(frame: pd.DataFrame) -> tuple[list, list[bytes]]:
-    """Ids and texts of a batch in an order that every step sees alike."""
-    rows = sorted(zip(frame["doc_id"].tolist(), map(bytes, frame["text"])))
-    return [r[0] for r in rows], [r[1] for r in rows]
+def _in_order(table: pa.Table) -> tuple[list[int], list[bytes], list[int]]:
+    """Ids and texts of a batch in an order that every step sees alike, and the rows they come from."""
+    rows = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), range(table.num_rows)))
+    return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _packed(a: np.ndarray, kind: str) -> bytes:
@@ -88,9 +96,12 @@ def _flat(parts: list[np.ndarray], kind: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
-def _anchors_of_batch(frame: pd.DataFrame, width: int, buckets: int) -> Iterator[pd.DataFrame]:
+KEY_SCHEMA = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("marks", pa.binary())])
+
+
+def _anchors_of_batch(docs: pa.Table, width: int, buckets: int) -> pa.Table:
     """Distinct anchors of a batch by bucket, with a mark where two documents have one."""
-    ids, texts = _in_order(frame)
+    ids, texts, _ = _in_order(docs)
     keys, owners = [], []
     for doc, text in zip(ids, texts):
         own = np.unique(_runs(text, width, _gram(width))[2])
@@ -106,11 +117,8 @@ def _anchors_of_batch(frame: pd.DataFrame, width: int, buckets: int) -> Iterator
     order = np.lexsort((short, bucket))
     bucket, short, shared = bucket[order], short[order], shared[order]
     cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, int)
-    batch = int(frame["batch"].iloc[0])
-    yield pd.DataFrame(
-        [(int(bucket[a]), batch, _packed(short[a:b], "<u4"), _packed(shared[a:b], "u1")) for a, b in zip(cut[:-1], cut[1:])],
-        columns=["bucket", "batch", "keys", "marks"],
-    )
+    batch = docs["batch"][0].as_py()
+    return _table([(int(bucket[a]), batch, _packed(short[a:b], "<u4"), _packed(shared[a:b], "u1")) for a, b in zip(cut[:-1], cut[1:])], KEY_SCHEMA)
 
 
 def _names(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,21 +146,21 @@ def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
 
-RUN_SCHEMA = "bucket long, batch long, docs binary, starts binary, lengths binary, data binary"
+RUN_COLUMNS = "bucket long, batch long, docs binary, starts binary, lengths binary, data binary"
+RUN_SCHEMA = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("docs", "starts", "lengths", "data"))])
 
 
-def _runs_of_batch(docs: pd.DataFrame, wanted: pd.DataFrame, width: int, buckets: int) -> pd.DataFrame:
+def _runs_of_batch(docs: pa.Table, wanted: pa.Table, width: int, buckets: int) -> pa.Table:
     """The runs of a batch under shared anchors.
 
     A run is (document, start in the batch, bytes). Equal runs go out once for
     their smallest document; those of larger documents are covered for sure and
     go out without bytes, to a bucket number of the batch's own.
     """
-    columns = ["bucket", "batch", "docs", "starts", "lengths", "data"]
-    if not len(docs) or not len(wanted):
-        return pd.DataFrame(columns=columns)
-    ids, texts = _in_order(docs)
-    names = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(k, "<u4").astype(np.uint64) for b, k in zip(wanted["bucket"], wanted["keys"])]))
+    if not docs.num_rows or not wanted.num_rows:
+        return _table([], RUN_SCHEMA)
+    ids, texts, _ = _in_order(docs)
+    names = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(k, "<u4").astype(np.uint64) for b, k in zip(wanted["bucket"].to_pylist(), wanted["keys"].to_pylist())]))
     owner: dict[bytes, int] = {}
     out: dict[int, list[tuple[int, int, bytes]]] = {}
     done: list[tuple[int, int, int]] = []
@@ -168,14 +176,14 @@ def _runs_of_batch(docs: pd.DataFrame, wanted: pd.DataFrame, width: int, buckets
             else:
                 done.append((doc, base + s, len(run)))
         base += len(text) + 1
-    batch = int(docs["batch"].iloc[0])
+    batch, packer = docs["batch"][0].as_py(), zstandard.ZstdCompressor(1)
     rows = [
-        (b, batch, _packed([r[0] for r in runs], "<i8"), _packed([r[1] for r in runs], "<u4"), _packed([len(r[2]) for r in runs], "<u4"), b"".join(r[2] for r in runs))
+        (b, batch, _packed([r[0] for r in runs], "<i8"), _packed([r[1] for r in runs], "<u4"), _packed([len(r[2]) for r in runs], "<u4"), packer.compress(b"".join(r[2] for r in runs)))
         for b, runs in out.items()
     ]
     if done:
         rows.append((buckets + batch, batch, b"", _packed([r[1] for r in done], "<u4"), _packed([r[2] for r in done], "<u4"), None))
-    return pd.DataFrame(rows, columns=columns)
+    return _table(rows, RUN_SCHEMA)
 
 
 class IndexFamily:
@@ -225,7 +233,8 @@ def _covered_runs(frame: pd.DataFrame, width: int, batch_bytes: int) -> pd.DataF
     runs: dict[bytes, int] = {}
     which = np.empty(len(docs), np.int64)
     i = 0
-    for data, own in zip(frame["data"], lengths):
+    unpacker = zstandard.ZstdDecompressor()
+    for data, own in zip(map(unpacker.decompress, frame["data"]), lengths):
         at = 0
         for n in own.tolist():
             which[i] = runs.setdefault(data[at : at + n], len(runs))
@@ -276,20 +285,18 @@ def _covered_runs(frame: pd.DataFrame, width: int, batch_bytes: int) -> pd.DataF
     )
 
 
-def _rest(docs: pd.DataFrame, covered: pd.DataFrame, texts_too: bool) -> pd.DataFrame:
-    """Each document of a batch without its covered bytes."""
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_md5", "kept"]
-    if not len(docs):
-        return pd.DataFrame(columns=columns)
-    ids, texts = _in_order(docs)
-    start = _flat([np.frombuffer(x, "<u4") for x in covered["starts"]], "<u4").astype(np.int64)
-    end = start + _flat([np.frombuffer(x, "<u4") for x in covered["lengths"]], "<u4").astype(np.int64)
+def _rest(docs: pa.Table, covered: pa.Table, schema: pa.Schema, texts_too: bool) -> pa.Table:
+    """Each document of a batch without its covered bytes, and what else its row had."""
+    if not docs.num_rows:
+        return _table([], schema)
+    ids, texts, origin = _in_order(docs)
+    start = _flat([np.frombuffer(x, "<u4") for x in covered["starts"].to_pylist()], "<u4").astype(np.int64)
+    end = start + _flat([np.frombuffer(x, "<u4") for x in covered["lengths"].to_pylist()], "<u4").astype(np.int64)
     order = np.argsort(start, kind="stable")
     start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
     new = np.concatenate(([True], start[1:] > end[:-1])) if len(start) else np.empty(0, bool)
     start, end = start[new], end[np.append(np.flatnonzero(new)[1:], len(end)) - 1] if len(end) else end
-    base, rows = 0, []
-    lo = 0
+    base, lo, rows = 0, 0, []
     starts, ends = start.tolist(), end.tolist()
     for doc, text in zip(ids, texts):
         stop, pieces, at, spans, removed = base + len(text), [], 0, 0, 0
@@ -300,13 +307,19 @@ def _rest(docs: pd.DataFrame, covered: pd.DataFrame, texts_too: bool) -> pd.Data
             spans += 1
             lo += 1
         pieces.append(text[at:])
-        kept = b"".join(pieces)
-        rows.append((doc, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), hashlib.md5(text).hexdigest(), "".join(p.decode("utf-8", "ignore") for p in pieces) if texts_too else None))
+        digest = hashlib.sha256(b"".join(pieces)).hexdigest()
+        left = "".join(p.decode("utf-8", "ignore") for p in pieces) if texts_too else None
+        rows.append((doc, len(text), removed, spans, digest, hashlib.md5(text).hexdigest(), left))
         base = stop + 1
-    return pd.DataFrame(rows, columns=columns)
+    own = _table(rows, pa.schema(list(schema)[:7]))
+    kept = docs.select([f.name for f in list(schema)[7:]]).take(pa.array(origin, pa.int64()))
+    return pa.table([*own.columns, *kept.columns], schema=schema)
 
 
-def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_bytes: int = 50, keep_text: bool = True) -> DataFrame:
+RESULT = StructType([StructField(n, LongType() if n in ("doc_id", "n_bytes", "n_removed", "n_spans") else StringType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_md5", "kept")])
+
+
+def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_bytes: int = 50, keep_text: bool = True, carry: bool = False) -> DataFrame:
     """Documents without the bytes of every string of ``min_bytes`` that a smaller doc_id has too.
 
     Result: doc_id, n_bytes, n_removed, n_spans (maximal removed stretches),
@@ -316,26 +329,28 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     empty, texts under ``min_bytes`` stay whole; rows with equal ids are
     documents of which neither is smaller; a null id is the smallest of all and
     stays null. An empty table gives an empty result. Only the two named columns
-    are read. ``min_bytes`` is 16 at least.
+    are read, unless ``carry`` asks for the others too: they come back as the
+    fields of ``carried``, whatever they are called, so that the text need not
+    be joined to them. ``min_bytes`` is 16 at least.
     """
     if min_bytes < 16:
         raise ValueError("min_bytes is 16 at least")
     least = -(2**63)
-    picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+    others = [c for c in docs.columns if c not in (id_column, text)] if carry else []
+    names = [f"c{i}" for i in range(len(others))]
+    key = F.coalesce(F.col(id_column).cast("long"), F.lit(least)).alias("doc_id")
+    picked = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"), *[F.col(c).alias(n) for c, n in zip(others, names)])
     batches = parts(picked, F.octet_length("text") + 32, BATCH_BYTES)
     buckets = parts(picked, F.octet_length("text"), BUCKET_BYTES)
-    picked = picked.withColumn("doc_id", F.coalesce("doc_id", F.lit(least)))
     dealt = picked.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
 
-    def anchors(frame: pd.DataFrame) -> pd.DataFrame:
-        return next(_anchors_of_batch(frame, min_bytes, buckets))
-
-    found = dealt.groupBy("batch").applyInPandas(anchors, "bucket long, batch long, keys binary, marks binary")
+    by_batch = dealt.groupBy("batch")
+    found = by_batch.applyInArrow(lambda t: _anchors_of_batch(t, min_bytes, buckets), "bucket long, batch long, keys binary, marks binary")
     shared = found.groupBy("bucket").applyInPandas(_shared_anchors, "batch long, bucket long, keys binary")
-    runs = dealt.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(lambda a, b: _runs_of_batch(a, b, min_bytes, buckets), RUN_SCHEMA)
+    runs = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(lambda a, b: _runs_of_batch(a, b, min_bytes, buckets), RUN_COLUMNS)
     covered = runs.groupBy("bucket").applyInPandas(lambda f: _covered_runs(f, min_bytes, BUCKET_BYTES // 16), "batch long, starts binary, lengths binary")
-    done = dealt.groupBy("batch").cogroup(covered.groupBy("batch")).applyInPandas(
-        lambda a, b: _rest(a, b, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_md5 string, kept string"
-    )
-    done = done.withColumn("doc_id", F.nullif("doc_id", F.lit(least)))
-    return done if keep_text else done.drop("kept")
+    schema = StructType([*RESULT.fields, *[StructField(n, docs.schema[c].dataType) for c, n in zip(others, names)]])
+    arrow = to_arrow_schema(schema, prefers_large_types=False)
+    done = by_batch.cogroup(covered.groupBy("batch")).applyInArrow(lambda a, b: _rest(a, b, arrow, keep_text), schema)
+    result = [F.nullif("doc_id", F.lit(least)).alias("doc_id"), *[F.col(c) for c in RESULT.names[1:] if c != "kept" or keep_text]]
+    return done.select(*result, F.struct(*[F.col(n).alias(c) for c, n in zip(others, names)]).alias("carried")) if carry else done.select(*result)

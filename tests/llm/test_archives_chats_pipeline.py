@@ -81,6 +81,42 @@ def test_perspectives(spark):
     assert rotate_perspectives(df.limit(0)).count() == 0
 
 
+def test_near_copies_and_repeats_equal_brute_force(spark, corpus, tmp_path):
+    from test_dedup_and_join import jaccard_brute
+
+    rows = corpus.select("doc_id", "text").collect()
+    stay = corpus_pipeline.near_copies(spark, corpus, str(tmp_path)).select("doc_id", "text").collect()
+    first = {i for i, (c, _) in jaccard_brute([(r.doc_id, r.text) for r in rows]).items() if i == c}
+    assert {(r.doc_id, r.text) for r in stay if r.doc_id is not None} == {(r.doc_id, r.text) for r in rows if r.doc_id in first}
+    assert Counter(r.text for r in stay if r.doc_id is None) == Counter(r.text for r in rows if r.doc_id is None)
+
+    ids = lambda i: -(2**63) if i is None else i
+    left, seen = Counter(), {}
+    for r in sorted(rows, key=lambda r: ids(r.doc_id)):
+        b = (r.text or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if seen.setdefault(b[p : p + 50], ids(r.doc_id)) < ids(r.doc_id):
+                gone[p : p + 50] = b"\x01" * 50
+        kept = ""
+        for m in re.finditer(b"\x00+", bytes(gone)):
+            kept += b[m.start() : m.end()].decode("utf-8", "ignore")
+        if kept or not any(gone):
+            left[r.doc_id, kept] += 1
+    got = corpus_pipeline.repeats(spark, corpus, str(tmp_path)).select("doc_id", "text", "n_chars").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == left and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_the_pipeline_is_its_stages(spark, corpus, tmp_path):
+    corpus.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+    pieces = lambda df: Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in df.collect())
+    assert pieces(corpus_pipeline.run(spark, str(tmp_path))) == pieces(docs)
+
+
 def test_pipeline_stages(spark, corpus, empty, tmp_path):
     docs, counts = corpus, []
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):

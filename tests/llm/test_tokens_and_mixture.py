@@ -165,6 +165,41 @@ def test_quality_counts_equal_brute_force(corpus, texts, empty):
     assert quality_rules(empty).count() == 0
 
 
+def histograms(text):
+    from lintlake.llm.quality import REFERENCE_WORDS
+
+    classes = [r"[a-z]", r"[A-Z]", r"[0-9]", r"[ \t-\r]", r"[.,;:'\"!?()-]"]
+    chars = [len(re.findall(c, text)) for c in classes]
+    beyond = sum(ord(c) > 127 for c in text)
+    chars += [len(text) - sum(chars) - beyond, beyond]
+    words = Counter(re.findall(r"[^\x20\x09-\x0D]+", text.lower()))
+    n = len(re.findall(r"[^\x20\x09-\x0D]+", text))
+    return np.array(chars, float), {k: np.array([words[w] for w in v] + [n - sum(words[w] for w in v)], float) for k, v in REFERENCE_WORDS.items()}
+
+
+def shannon(p, q):
+    p, q = p / max(p.sum(), 1), q / max(q.sum(), 1)
+    side = lambda a, b: sum(x * np.log2(2 * x / (x + y)) for x, y in zip(a, b) if x > 0)
+    return max(0.0, (side(p, q) + side(q, p)) / 2) ** 0.5
+
+
+def test_quality_distances_and_verdicts_equal_brute_force(corpus):
+    rows = [(r.doc_id, r.text or "", r.lang) for r in corpus.select("doc_id", "text", "lang").collect()]
+    own = [histograms(t) for _, t, _ in rows]
+    references = {k: (sum(c for (c, _), r in zip(own, rows) if r[2] == k), sum(w[k] for (_, w), r in zip(own, rows) if r[2] == k)) for k in ("de", "en")}
+    want = Counter()
+    for (i, t, _), (chars, words) in zip(rows, own):
+        n, failed = base_counts(t)[0], base_counts(t)[-1]
+        far = False
+        if n:
+            by_chars = min(shannon(chars, c) for c, _ in references.values())
+            by_words = min(shannon(words[k], w) for k, (_, w) in references.items())
+            far = by_chars > (0.28 if n >= 100 else 0.5) or (n >= 100 and by_words > 0.3)
+        want[i, n, not failed and not far] += 1
+    got = quality_rules(corpus).collect()
+    assert Counter((r.doc_id, r.n_words, r.kept) for r in got) == want
+
+
 def test_quality_verdicts_follow_divergence(spark):
     clean = "It was the best of times and it was the worst of times for the people that lived in this part of the town. "
     rows = [(i, f"{clean * 1} " + " ".join(f"word{i}x{k} of the and" for k in range(40)), "en") for i in range(60)]
