@@ -34,8 +34,14 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.xxhash64(t)))
 
 
+def _subset(term: Column, lexicon: Lexicon) -> Column:
+    """The subset of a term, drawn by a second hash."""
+    share = (F.pmod(F.xxhash64(term, F.lit(77)), F.lit(1 << 52)) + 1) / (1 << 52)
+    return F.least(F.floor(-F.log2(share) * lexicon.groups), F.lit(lexicon.groups**2 - 1)).cast("long")
+
+
 def band(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """One row, ``lexicon``: the terms in the band.
+    """One row, ``lexicon``: the terms in the band, in the order of their subsets and names.
 
     Document frequencies cover all documents; they are summed in the tasks
     before the shuffle, and only the terms in the band are gathered.
@@ -43,28 +49,31 @@ def band(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     total = texts.agg(F.count("*").alias("n")).scalar()
     counts = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").count()
     inside = counts.where((F.col("count") >= total * lexicon.low) & (F.col("count") <= total * lexicon.high))
-    return inside.agg(F.collect_list("term").alias("lexicon"))
+    in_order = F.array_sort(F.collect_list(F.struct(_subset(F.col("term"), lexicon).alias("subset"), "term")))
+    return inside.agg(F.transform(in_order, lambda x: x["term"]).alias("lexicon"))
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, words: Column, lexicon: Lexicon) -> DataFrame:
     """Adds the hash of each subset's sorted distinct terms in the text, 0 where it has none.
 
-    The subset of a term is drawn by a second hash. Terms are parted by group of
-    subsets first, and then by subset inside the group. A text without any term in the band has one hash, of
-    the whole text.
+    What text and lexicon share comes in the order of the lexicon, so it is
+    sorted; only the terms of the text are put into a set for that. It is
+    parted by group of subsets first, and then by subset inside the group. A
+    text without any term in the band has one hash, of the whole text.
     """
     g = lexicon.groups
-    own = df.withColumn("_inside", F.array_intersect(_terms(F.col(text)), words))
-    drawn = F.transform("_inside", lambda s: F.struct(F.least(F.floor(-F.log2((F.pmod(F.xxhash64(s, F.lit(77)), F.lit(1 << 52)) + 1) / (1 << 52)) * g), F.lit(g * g - 1)).cast("int").alias("subset"), s.alias("term")))
+    own = df.withColumn("_inside", F.array_intersect(words, _terms(F.col(text))))
+    # the subset in front of the lower 48 bits of the term's name
+    drawn = F.transform("_inside", lambda s: F.shiftleft(_subset(s, lexicon), 48).bitwiseOR(s.bitwiseAND((1 << 48) - 1)))
 
     def hash_of(part: Column) -> Column:
-        return F.when(F.size(part) > 0, F.xxhash64(F.transform(part, lambda x: x["term"])).bitwiseOR(1)).otherwise(F.lit(0).cast("long"))
+        return F.when(F.size(part) > 0, F.xxhash64(part).bitwiseOR(1)).otherwise(F.lit(0).cast("long"))
 
-    def inner(group: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda j: hash_of(F.filter(group, lambda x: x["subset"] % g == j)))
+    def inner(group: Column, k: Column) -> Column:
+        return F.transform(F.sequence(k * g, k * g + (g - 1)), lambda j: hash_of(F.filter(group, lambda x: F.shiftright(x, 48) == j)))
 
-    groups = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda k: F.filter(F.col("_drawn"), lambda x: F.floor(x["subset"] / g).cast("int") == k))
-    own = own.withColumn("_drawn", F.array_sort(drawn)).withColumn("_hashes", F.flatten(F.transform(groups, inner)))
+    groups = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda k: F.filter(F.col("_drawn"), lambda x: (F.shiftright(x, 48) >= k * g) & (F.shiftright(x, 48) < k * g + g)))
+    own = own.withColumn("_drawn", drawn).withColumn("_hashes", F.flatten(F.transform(groups, inner)))
     whole = F.array(F.xxhash64(text, F.lit(5)).bitwiseOR(1))
     return own.withColumn(name, F.when(F.size("_inside") > 0, F.col("_hashes")).otherwise(whole)).drop("_inside", "_drawn", "_hashes")
 
