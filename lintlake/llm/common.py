@@ -84,8 +84,8 @@ class WordHashes:
         return _mixed(out), n
 
 
-def in_chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``size`` bytes; a longer text is a range of its own."""
+def in_chunks(texts: list[bytes] | list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes or characters; a longer text is a range of its own."""
     start = total = 0
     for i, t in enumerate(texts):
         if total and total + len(t) > size:

@@ -122,17 +122,16 @@ def _counts(path: str, texts: list[str]) -> list[np.ndarray]:
 def _digest(frames: Iterator[pd.DataFrame], path: str, limit: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         texts = frame["text"].tolist()
-        sizes = [t.encode() for t in texts]
-        for lo, hi in in_chunks(sizes):
+        for lo, hi in in_chunks(texts):
             totals = [int(c[-1]) if len(c) else 0 for c in _counts(path, texts[lo:hi])]
-            n = [len(t) for t in sizes[lo:hi]]
+            n = [len(t.encode()) for t in texts[lo:hi]]
             yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[lo:hi], "n_bytes": n, "n_tokens": totals, "over_limit": [x > limit for x in totals]})
 
 
 def _tables(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
     for frame in frames:
         texts = frame["text"].tolist()
-        for lo, hi in in_chunks([t.encode() for t in texts]):
+        for lo, hi in in_chunks(texts):
             part = texts[lo:hi]
             whole = path.endswith(".model") or not _is_word_level(path)
             ends = [[len(t)] for t in part] if whole else [word_tokens(path).ends(t) for t in part]
