@@ -21,11 +21,19 @@ class Lexicon(NamedTuple):
     numbers. There are ``groups`` times ``groups`` random subsets; each has
     2^(-1/groups) of the share of the one before, so that short texts have terms
     in the first and long ones few enough in the last to outlive an edit.
+    Copies of a text are one document here. Where less than ``covered`` of a
+    text's terms are in the band, as in a rare language or among many near
+    copies, the text goes by all its terms instead, runs of other characters too.
     """
 
     low: float = 0.005
     high: float = 0.2
     groups: int = 8
+    covered: float = 0.2
+
+
+#: Bits of the filter for texts that may have copies: one megabyte, whatever the corpus.
+FILTER_BITS = 1 << 23
 
 
 def _terms(text: Column) -> Column:
@@ -34,20 +42,45 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.xxhash64(t)))
 
 
+def _all_terms(text: Column) -> Column:
+    """Distinct terms of a text and its runs of other characters between white space."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}\s]+)"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda t: F.xxhash64(t)))
+
+
 def _subset(term: Column, lexicon: Lexicon) -> Column:
     """The subset of a term, drawn by a second hash."""
     share = (F.pmod(F.xxhash64(term, F.lit(77)), F.lit(1 << 52)) + 1) / (1 << 52)
     return F.least(F.floor(-F.log2(share) * lexicon.groups), F.lit(lexicon.groups**2 - 1)).cast("long")
 
 
+def _once(texts: DataFrame) -> tuple[DataFrame, Column]:
+    """Each distinct text once, and their number.
+
+    Texts are named by hashes, and only those that a filter of fixed size takes
+    for repeated are exchanged; the others stay where they are. What the filter
+    takes wrongly is exchanged for nothing, but counted right.
+    """
+    bit = F.pmod(F.col("name"), F.lit(FILTER_BITS))
+    named = texts.select("text", F.xxhash64("text").alias("name"))
+    names = materialize(named.groupBy("name").count(), "names")
+    marks = names.where("count > 1").select(F.floor(bit / 64).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bits"))
+    marks = marks.groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    every = texts.sparkSession.range(FILTER_BITS // 64).select(F.col("id").alias("at")).join(marks, "at", "left")
+    in_order = F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    repeated = materialize(every.agg(F.transform(in_order, lambda x: x["bits"]).alias("bits")), "repeated").scalar()
+    hit = F.call_function("shiftrightunsigned", F.get(repeated, F.floor(bit / 64).cast("int")), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return named.where(~hit).select("text").unionAll(named.where(hit).select("text").distinct()), names.agg(F.count("*").alias("n")).scalar()
+
+
 def band(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """One row, ``lexicon``: the terms in the band, in the order of their subsets and names.
 
-    Document frequencies cover all documents; they are summed in the tasks
-    before the shuffle, and only the terms in the band are gathered.
+    Document frequencies cover all documents, copies once; they are summed in
+    the tasks before the shuffle, and only the terms in the band are gathered.
     """
-    total = texts.agg(F.count("*").alias("n")).scalar()
-    counts = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").count()
+    once, total = _once(texts)
+    counts = once.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").count()
     inside = counts.where((F.col("count") >= total * lexicon.low) & (F.col("count") <= total * lexicon.high))
     in_order = F.array_sort(F.collect_list(F.struct(_subset(F.col("term"), lexicon).alias("subset"), "term")))
     return inside.agg(F.transform(in_order, lambda x: x["term"]).alias("lexicon"))
@@ -59,12 +92,18 @@ def with_fingerprint(df: DataFrame, text: str, name: str, words: Column, lexicon
     What text and lexicon share comes in the order of the lexicon, so it is
     sorted; only the terms of the text are put into a set for that. It is
     parted by group of subsets first, and then by subset inside the group. A
-    text without any term in the band has one hash, of the whole text.
+    text with too few of its terms in the band has the hashes of all its terms,
+    and a blank one a single hash.
     """
     g = lexicon.groups
-    own = df.withColumn("_inside", F.array_intersect(words, _terms(F.col(text))))
+    own = df.withColumn("_all", _all_terms(F.col(text))).withColumn("_inside", F.array_intersect(words, F.col("_all")))
+
     # the subset in front of the lower 48 bits of the term's name
-    drawn = F.transform("_inside", lambda s: F.shiftleft(_subset(s, lexicon), 48).bitwiseOR(s.bitwiseAND((1 << 48) - 1)))
+    def named(terms: str) -> Column:
+        return F.transform(terms, lambda s: F.shiftleft(_subset(s, lexicon), 48).bitwiseOR(s.bitwiseAND((1 << 48) - 1)))
+
+    enough = (F.size("_inside") > 0) & (F.size("_inside") >= F.size("_all") * lexicon.covered)
+    drawn = F.when(enough, named("_inside")).otherwise(F.sort_array(named("_all")))
 
     def hash_of(part: Column) -> Column:
         return F.when(F.size(part) > 0, F.xxhash64(part).bitwiseOR(1)).otherwise(F.lit(0).cast("long"))
@@ -74,14 +113,14 @@ def with_fingerprint(df: DataFrame, text: str, name: str, words: Column, lexicon
 
     groups = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda k: F.filter(F.col("_drawn"), lambda x: (F.shiftright(x, 48) >= k * g) & (F.shiftright(x, 48) < k * g + g)))
     own = own.withColumn("_drawn", drawn).withColumn("_hashes", F.flatten(F.transform(groups, inner)))
-    whole = F.array(F.xxhash64(text, F.lit(5)).bitwiseOR(1))
-    return own.withColumn(name, F.when(F.size("_inside") > 0, F.col("_hashes")).otherwise(whole)).drop("_inside", "_drawn", "_hashes")
+    blank = F.array(F.lit(1).cast("long"))
+    return own.withColumn(name, F.when(F.size("_all") > 0, F.col("_hashes")).otherwise(blank)).drop("_all", "_inside", "_drawn", "_hashes")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of the subsets with the same terms among those where either text has a term, from 0 to 1.
 
-    A text without terms in the band is like an equal text only.
+    Blank texts are like each other only.
     """
     pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     either = F.size(F.filter(pairs, lambda p: (p["x"] != 0) | (p["y"] != 0)))

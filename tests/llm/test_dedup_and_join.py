@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 from lintlake.llm.common import classes
-from lintlake.llm.fingerprints import fingerprints
+from lintlake.llm.fingerprints import Lexicon, _once, band, fingerprints
 from lintlake.llm.jaccard import Forest, ngram_join
 from lintlake.llm.suffix_dedup import IndexFamily, suffix_dedup
 
@@ -138,3 +138,28 @@ def test_fingerprints(corpus, texts, empty):
     long = [r for r in rows if r.n_chars > 300 and r.doc_id is not None and r.doc_id < 40]
     assert sum(r.near_edited for r in long) > 4 * sum(r.near_next for r in long)
     assert fingerprints(empty).count() == 0
+
+
+def test_fingerprints_of_many_copies_and_of_rare_languages(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(800)]
+    rare = ["".join(rng.choices("клмнопрст", k=6)) for _ in range(400)]
+    prose = lambda w, n=120: " ".join(rng.choices(w, k=n))
+    copy = prose(words)
+    near = [" ".join(w if rng.random() > 0.02 else rng.choice(rare) for w in copy.split()) for _ in range(2)]
+    usual = lambda: " ".join(f"{w} {''.join(rng.choices('uvwxyz', k=9))}" for w in rng.choices(words, k=60))
+    rows = [prose(words) for _ in range(400)] + [copy] * 300 + near + [prose(rare)] + [usual()] + [" ".join(str(rng.randrange(10**6)) for _ in range(100)), usual()]
+    got = {r.doc_id: r for r in fingerprints(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)).collect()}
+    assert all(len(r.fingerprint) == 64 * 16 for r in got.values())
+    assert got[699].near_next > 0.2  # a copy and its near copy
+    assert got[702].near_edited > 0.1 and got[704].near_edited > 0.1  # the only text of its language, and one without letters
+    assert got[702].near_next == 0
+
+
+def test_copies_count_once_in_the_band(spark):
+    rows = [(f"common own{i}",) for i in range(30)] + [("common copied text",)] * 50 + [(None,)] * 9
+    texts = spark.createDataFrame(rows, "text string").selectExpr("coalesce(text, '') AS text").repartition(4)
+    once, total = _once(texts)
+    assert sorted(r.text for r in once.collect()) == sorted({t or "" for (t,) in rows})
+    assert spark.range(1).select(total).first()[0] == 32
+    assert len(band(texts, Lexicon(low=0.02, high=0.2)).first().lexicon) == 2  # "copied" and "text"
