@@ -15,11 +15,16 @@ The plan, each arrow one shuffle:
 
 The document exchange of 1 is used again in 3 and 5. Only runs under shared
 anchors travel, and a bucket holds at most one copy of a run for each batch.
+At the edges of a passage that many documents have, runs take in text of their
+own and differ. So an anchor with more strings than a bucket should hold is hot:
+its runs are taken apart and each string goes to one of the anchor's own buckets
+by a hash of itself. Equal strings still meet, and no bucket outgrows its size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -100,19 +105,25 @@ KEY_SCHEMA = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("keys",
 
 
 def _anchors_of_batch(docs: pa.Table, width: int, buckets: int) -> pa.Table:
-    """Distinct anchors of a batch by bucket, with a mark where two documents have one."""
+    """Distinct anchors of a batch by bucket, each with a mark.
+
+    A mark has the power of two that is not below the anchor's number of runs,
+    and 128 more where two documents have the anchor.
+    """
     ids, texts, _ = _in_order(docs)
-    keys, owners = [], []
+    keys, owners, runs = [], [], []
     for doc, text in zip(ids, texts):
-        own = np.unique(_runs(text, width, _gram(width))[2])
+        own, times = np.unique(_runs(text, width, _gram(width))[2], return_counts=True)
         keys.append(own)
+        runs.append(times)
         owners.append(np.full(len(own), doc, np.int64))
     key, owner = _flat(keys, "u8"), _flat(owners, "i8")
     order = np.argsort(key, kind="stable")
-    key, owner = key[order], owner[order]
+    key, owner, run = key[order], owner[order], _flat(runs, "i8")[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
     last = np.append(first[1:], len(key)) - 1 if len(key) else first
-    key, shared = key[first], owner[first] != owner[last]
+    power = np.ceil(np.log2(np.add.reduceat(run, first))).astype(np.uint8) if len(key) else np.empty(0, np.uint8)
+    key, shared = key[first], power | ((owner[first] != owner[last]).astype(np.uint8) << np.uint8(7))
     bucket, short = _names(key, buckets)
     order = np.lexsort((short, bucket))
     bucket, short, shared = bucket[order], short[order], shared[order]
@@ -126,17 +137,25 @@ def _names(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _shared_anchors(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each batch of a bucket: its anchors that two documents have, anywhere."""
+def _shared_anchors(frame: pd.DataFrame, width: int, bucket_bytes: int) -> pd.DataFrame:
+    """For each batch of a bucket: its anchors that two documents have, anywhere, and the hot ones with their numbers of buckets."""
     keys = [np.frombuffer(x, "<u4") for x in frame["keys"]]
     marks = [np.frombuffer(x, "u1") for x in frame["marks"]]
-    key, count = np.concatenate(keys), np.concatenate(marks).astype(np.int64) + 1
+    key, mark = np.concatenate(keys), np.concatenate(marks).astype(np.int64)
     order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
+    key, mark = key[order], mark[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    found = key[first][np.add.reduceat(count, first) > 1]
+    shared = np.add.reduceat((mark >> 7) + 1, first) > 1
+    found = key[first][shared]
+    # strings of all its runs, each of ``width`` bytes, over what a bucket should hold
+    splits = -(-np.add.reduceat(np.int64(1) << (mark & 127), first)[shared] * (width - _gram(width) + 1) * width // bucket_bytes)
+    hot, splits = found[splits > 1], splits[splits > 1]
     kept = [k[_member(k, found)] for k in keys]
-    return pd.DataFrame({"batch": frame["batch"], "bucket": frame["bucket"], "keys": [_packed(k, "<u4") for k in kept]})
+    own = [_member(hot, np.sort(k)) for k in kept]
+    return pd.DataFrame({
+        "batch": frame["batch"], "bucket": frame["bucket"], "keys": [_packed(k, "<u4") for k in kept],
+        "hot": [_packed(hot[o], "<u4") for o in own], "splits": [_packed(splits[o], "<u4") for o in own],
+    })
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -146,6 +165,11 @@ def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
 
+def _split(anchor: int, string: bytes, splits: int) -> int:
+    """The bucket of a string under a hot anchor; below zero, where no other buckets are."""
+    return -1 - (anchor * 0x9E3779B97F4A7C15 + zlib.crc32(string) % splits) % (1 << 62)
+
+
 RUN_COLUMNS = "bucket long, batch long, docs binary, starts binary, lengths binary, data binary"
 RUN_SCHEMA = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("docs", "starts", "lengths", "data"))])
 
@@ -155,12 +179,16 @@ def _runs_of_batch(docs: pa.Table, wanted: pa.Table, width: int, buckets: int) -
 
     A run is (document, start in the batch, bytes). Equal runs go out once for
     their smallest document; those of larger documents are covered for sure and
-    go out without bytes, to a bucket number of the batch's own.
+    go out without bytes, to a bucket number of the batch's own. Under a hot
+    anchor a string is a run of its own.
     """
     if not docs.num_rows or not wanted.num_rows:
         return _table([], RUN_SCHEMA)
     ids, texts, _ = _in_order(docs)
     names = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(k, "<u4").astype(np.uint64) for b, k in zip(wanted["bucket"].to_pylist(), wanted["keys"].to_pylist())]))
+    hot: dict[int, int] = {}
+    for b, k, n in zip(wanted["bucket"].to_pylist(), wanted["hot"].to_pylist(), wanted["splits"].to_pylist()):
+        hot.update(zip(((np.uint64(b) << np.uint64(32)) | np.frombuffer(k, "<u4").astype(np.uint64)).tolist(), np.frombuffer(n, "<u4").tolist()))
     owner: dict[bytes, int] = {}
     out: dict[int, list[tuple[int, int, bytes]]] = {}
     done: list[tuple[int, int, int]] = []
@@ -168,13 +196,21 @@ def _runs_of_batch(docs: pa.Table, wanted: pa.Table, width: int, buckets: int) -
     for doc, text in zip(ids, texts):
         start, end, anchor = _runs(text, width, _gram(width))
         bucket, short = _names(anchor, buckets)
-        hit = np.flatnonzero(_member((bucket.astype(np.uint64) << np.uint64(32)) | short, names))
-        for b, s, e in zip(bucket[hit].tolist(), start[hit].tolist(), end[hit].tolist()):
+        name = (bucket.astype(np.uint64) << np.uint64(32)) | short
+        hit = np.flatnonzero(_member(name, names))
+        for a, b, s, e in zip(name[hit].tolist(), bucket[hit].tolist(), start[hit].tolist(), end[hit].tolist()):
             run = text[s : e + width - 1]
-            if owner.setdefault(run, doc) == doc:
+            if owner.setdefault(run, doc) != doc:
+                done.append((doc, base + s, len(run)))
+            elif a not in hot:
                 out.setdefault(b, []).append((doc, base + s, run))
             else:
-                done.append((doc, base + s, len(run)))
+                for k in range(s, e):
+                    string = text[k : k + width]
+                    if owner.setdefault(string, doc) == doc:
+                        out.setdefault(_split(a, string, hot[a]), []).append((doc, base + k, string))
+                    else:
+                        done.append((doc, base + k, width))
         base += len(text) + 1
     batch, packer = docs["batch"][0].as_py(), zstandard.ZstdCompressor(1)
     rows = [
@@ -342,11 +378,12 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     picked = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"), *[F.col(c).alias(n) for c, n in zip(others, names)])
     batches = parts(picked, F.octet_length("text") + 32, BATCH_BYTES)
     buckets = parts(picked, F.octet_length("text"), BUCKET_BYTES)
+    bucket_bytes = BUCKET_BYTES
     dealt = picked.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
 
     by_batch = dealt.groupBy("batch")
     found = by_batch.applyInArrow(lambda t: _anchors_of_batch(t, min_bytes, buckets), "bucket long, batch long, keys binary, marks binary")
-    shared = found.groupBy("bucket").applyInPandas(_shared_anchors, "batch long, bucket long, keys binary")
+    shared = found.groupBy("bucket").applyInPandas(lambda f: _shared_anchors(f, min_bytes, bucket_bytes), "batch long, bucket long, keys binary, hot binary, splits binary")
     runs = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(lambda a, b: _runs_of_batch(a, b, min_bytes, buckets), RUN_COLUMNS)
     covered = runs.groupBy("bucket").applyInPandas(lambda f: _covered_runs(f, min_bytes, BUCKET_BYTES // 16), "batch long, starts binary, lengths binary")
     schema = StructType([*RESULT.fields, *[StructField(n, docs.schema[c].dataType) for c, n in zip(others, names)]])

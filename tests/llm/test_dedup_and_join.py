@@ -5,9 +5,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from lintlake.llm.common import classes
 from lintlake.llm.fingerprints import Lexicon, _once, band, fingerprints
 from lintlake.llm.jaccard import Forest, ngram_join
+from lintlake.llm import suffix_dedup as operator
 from lintlake.llm.suffix_dedup import IndexFamily, suffix_dedup
 
 
@@ -163,3 +166,27 @@ def test_copies_count_once_in_the_band(spark):
     assert sorted(r.text for r in once.collect()) == sorted({t or "" for (t,) in rows})
     assert spark.range(1).select(total).first()[0] == 32
     assert len(band(texts, Lexicon(low=0.02, high=0.2)).first().lexicon) == 2  # "copied" and "text"
+
+
+def test_hot_anchors_are_divided_and_equal_strings_still_meet(spark, monkeypatch):
+    """One passage with own text around it: no group of runs outgrows a bucket, and the result is that of brute force."""
+    rng = random.Random(9)
+    own = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=60))
+    passage = own() + own()
+    rows = [(i, own() + passage + own()) for i in range(400)] + [(400 + i, t) for i, t in enumerate([own() + passage[:70], passage + passage])]
+    monkeypatch.setattr(operator, "BUCKET_BYTES", 1 << 14)
+    monkeypatch.setattr(operator, "BATCH_BYTES", 1 << 15)
+    table = pa.table({"doc_id": [i for i, _ in rows], "text": [t.encode() for _, t in rows], "batch": [i // 60 for i, _ in rows]})
+    batches = [table.slice(k, 60) for k in range(0, len(rows), 60)]
+    found = pd.concat([operator._anchors_of_batch(b, 50, 7).to_pandas() for b in batches])
+
+    def largest(bucket_bytes):
+        shared = pd.concat([operator._shared_anchors(f.reset_index(drop=True), 50, bucket_bytes) for _, f in found.groupby("bucket")])
+        runs = pd.concat([operator._runs_of_batch(b, pa.Table.from_pandas(shared[shared.batch == b["batch"][0].as_py()]), 50, 7).to_pandas() for b in batches])
+        runs = runs[runs["data"].notna()]
+        return max(runs["lengths"].map(lambda x: np.frombuffer(x, "<u4").sum()).groupby(runs["bucket"]).sum())
+
+    assert largest(1 << 14) <= 1 << 14 < largest(1 << 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(docs).collect()}
+    assert got == {w[0]: w[1:5] for w in without_repeats(rows, 50)}
