@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import WordHashes, in_chunks
 from lintlake.session import materialize
 
-# Frequent function words, the bins of the word histogram. Any language can be added.
+# Frequent function words, the bins of the word histogram. Those of other languages are counted in the table.
 REFERENCE_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im nicht dem ein eine als".split(),
     "en": "the of and to a in is that it for was on with as be by are this at from".split(),
@@ -33,7 +34,8 @@ class Limits(NamedTuple):
     Distances are square roots of divergences to base 2, from 0 to 1. Short
     texts differ from any reference by chance, so ``loose_chars`` holds below
     ``sure_words`` words, nothing below ``min_words``, and the word histogram
-    counts from ``sure_words`` on only.
+    counts from ``sure_words`` on only. A language that is not given needs
+    ``min_documents`` documents for a reference.
     """
 
     min_words: int = 20
@@ -41,6 +43,7 @@ class Limits(NamedTuple):
     chars: float = 0.28
     loose_chars: float = 0.5
     words: float = 0.3
+    min_documents: int = 20
 
 
 def _class_table() -> np.ndarray:
@@ -83,6 +86,46 @@ def _repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def other_languages(docs: DataFrame, text: str = "text", lang: str = "lang", languages: dict[str, list[str]] = REFERENCE_WORDS, min_documents: int = Limits().min_documents, n_words: int = 20) -> dict[str, list[str]]:
+    """The most frequent words of each further language that ``min_documents`` documents say they are in.
+
+    Counts cover all documents of the language and are summed in the tasks
+    before the shuffle; the texts are read only if there is such a language.
+    Only the languages and their words reach the driver.
+    """
+    picked = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").cast("binary").alias("text")).where(F.col("lang").isNotNull() & ~F.col("lang").isin(*languages))
+    names = [r.lang for r in picked.groupBy("lang").count().where(F.col("count") >= min_documents).collect()]
+    if not names:
+        return {}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = [b"" if t is None else bytes(t) for t in frame["text"]]
+            for lo, hi in in_chunks(texts):
+                counts: dict[str, Counter] = defaultdict(Counter)
+                for code, t in zip(frame["lang"].iloc[lo:hi], texts[lo:hi]):
+                    counts[code].update(t.decode("utf-8", "replace").lower().encode().split())
+                rows = [(code, w.decode(), n) for code, own in counts.items() for w, n in own.items()]
+                yield pd.DataFrame(rows, columns=["lang", "word", "n"])
+
+    counts = picked.where(F.col("lang").isin(*names)).mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    found: dict[str, list[str]] = {name: [] for name in names}
+    for r in counts.withColumn("rank", rank).where(F.col("rank") <= n_words).orderBy("lang", "rank").collect():
+        found[r.lang].append(r.word)
+    return found
+
+
+def _places(languages: dict[str, list[str]]) -> Column:
+    """Where in ``common`` the counts of a language begin, from 1 on, and how many there are."""
+    start, entries = 1, []
+    for code in sorted(languages):
+        n = len(languages[code]) + 1
+        entries += [F.lit(code), F.struct(F.lit(start).alias("at"), F.lit(n).alias("n"))]
+        start += n
+    return F.create_map(*entries)
+
+
 def measure(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", languages: dict[str, list[str]] = REFERENCE_WORDS) -> DataFrame:
     """Counts and histograms of every whole text.
 
@@ -145,15 +188,11 @@ def references(measured: DataFrame, languages: dict[str, list[str]] = REFERENCE_
     Sums over all documents that say they are in it; the sums are combined in
     the tasks before the shuffle, and there are as many rows as languages.
     """
-    width = CLASSES + sum(len(w) + 1 for w in languages.values())
-    both = measured.where(F.col("lang").isin(*languages)).select("lang", F.concat("chars", "common").alias("bins"))
-    sums = both.groupBy("lang").agg(F.array(*[F.sum(F.col("bins")[k]) for k in range(width)]).alias("bins"))
-    start, picks = CLASSES + 1, None
-    for code in sorted(languages):
-        own = F.slice("bins", start, len(languages[code]) + 1)
-        picks = F.when(F.col("lang") == code, own) if picks is None else picks.when(F.col("lang") == code, own)
-        start += len(languages[code]) + 1
-    return sums.select("lang", _shares(F.slice("bins", 1, CLASSES)).alias("chars"), _shares(picks).alias("words"))
+    width = CLASSES + max(len(w) + 1 for w in languages.values())
+    both = measured.where(F.col("lang").isin(*languages)).withColumn("place", _places(languages)[F.col("lang")])
+    both = both.select("lang", "place", F.concat("chars", F.slice("common", F.col("place.at"), F.col("place.n"))).alias("bins"))
+    sums = both.groupBy("lang", "place").agg(F.array(*[F.coalesce(F.sum(F.get("bins", F.lit(k))), F.lit(0)) for k in range(width)]).alias("bins"))
+    return sums.select("lang", "place", _shares(F.slice("bins", 1, CLASSES)).alias("chars"), _shares(F.slice("bins", F.lit(CLASSES + 1), F.col("place.n"))).alias("words"))
 
 
 def _shares(counts: Column) -> Column:
@@ -175,29 +214,26 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), languages: dict[st
     """Verdict on every document: doc_id, text_md5, base counts, distances, base_failed, kept.
 
     The references are the histograms of all documents of a language, gathered
-    from the same table. A document is held against each language and the
-    nearest counts, so a wrong or missing ``lang`` does no harm. ``char_distance``
-    and ``word_distance`` are null if there are no references or no words, and
-    then reject nothing; an empty table gives an empty result. The measured
-    table is written once, as the references and the verdicts both read it; the
-    references have a row for each language in ``languages`` and are broadcast.
+    from the same table: of those in ``languages``, and of every other that has
+    enough documents, with its most frequent words. A document is held against
+    each reference and the nearest counts, so a missing ``lang``, or one of
+    another reference, does no harm where its true language has a reference.
+    ``char_distance`` and ``word_distance`` are null if there are no references,
+    if the document's own ``lang`` has none, or if there are no words, and then
+    reject nothing; an empty table gives an empty result. The measured table is
+    written once, as the references and the verdicts both read it; the
+    references have a row for each language and are broadcast.
     """
+    languages = {**languages, **other_languages(docs, lang=lang, languages=languages, min_documents=limits.min_documents)}
     measured = materialize(measure(docs, lang=lang, languages=languages), "measured")
-    all_references = references(measured, languages).agg(F.collect_list(F.struct("lang", "chars", "words")).alias("refs"))
+    all_references = references(measured, languages).agg(F.collect_list(F.struct("lang", "place", "chars", "words")).alias("refs"))
     scored = measured.withColumn("refs", all_references.scalar())
-    start, own = CLASSES, None
-    starts = {}
-    for code in sorted(languages):
-        starts[code] = (start - CLASSES + 1, len(languages[code]) + 1)
-        start += len(languages[code]) + 1
+    known = F.col("lang").isNull() | F.array_contains(F.transform("refs", lambda r: r["lang"]), F.col("lang"))
+    has_words = (F.col("n_words") > 0) & known
 
     def words_of(ref: Column) -> Column:
-        pick = F.lit(None)
-        for code, (at, n) in starts.items():
-            pick = F.when(ref["lang"] == code, F.slice("common", at, n)).otherwise(pick)
-        return pick
+        return F.slice("common", ref["place"]["at"], ref["place"]["n"])
 
-    has_words = F.col("n_words") > 0
     scored = scored.select(
         "doc_id", "text_md5", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.when(has_words, F.array_min(F.transform("refs", lambda r: distance(_shares(F.col("chars")), r["chars"])))).alias("char_distance"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.mixing import apportion, mix, targets
 from lintlake.llm.packing import fullest, pack_documents, plan
-from lintlake.llm.quality import quality_rules
+from lintlake.llm.quality import other_languages, quality_rules
 from lintlake.llm.sharding import jump_hash, shard_documents
 from lintlake.llm.tokens import default_tokenizer, fit, prefix_table, token_counts, tokens_up_to, word_tokens
 
@@ -211,6 +211,25 @@ def test_quality_verdicts_follow_divergence(spark):
     assert lone.char_distance is None
 
 
+def test_other_languages_have_references_or_pass(spark):
+    rng = np.random.default_rng(4)
+    english = "the of and to a in is that it for was on with as be by are this at from".split()
+    russian = "и в не на я что он с как а то это по но они мы все она так его".split()
+
+    def prose(common, letters):
+        rare = ["".join(rng.choice(list(letters), 6)) for _ in range(80)]
+        return " ".join(rng.permutation([*rng.choice(common, 70), *rare]).tolist()).capitalize() + "."
+
+    rows = [(i, prose(english, "abcdefghij"), "en") for i in range(60)] + [(100 + i, prose(russian, "клмнопрст"), "ru") for i in range(30)]
+    rows += [(200, prose(russian, "клмнопрст"), None), (201, prose(["και", "το", "να"], "αβγδεζηθ"), "el"), (202, prose(english, "abcdefghij"), "ru"), (203, " ".join(f"BUY{k}!! NOW!!" for k in range(80)), "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert [i for i, r in got.items() if not r.kept] == [203]
+    assert got[201].char_distance is None and got[200].char_distance < 0.28
+    words = other_languages(docs)
+    assert set(words) == {"ru"} and set(words["ru"]) == set(russian)
+
+
 def test_apportionment_is_by_highest_quotients():
     rng = np.random.default_rng(2)
     for _ in range(200):
