@@ -1,4 +1,4 @@
-"""Operator 3: join of near copies by the Jaccard likeness of their word n-grams, with a MinHash LSH forest."""
+"""Operator 3: join of near copies by the Jaccard likeness of their word n-grams, with MinHash LSH in fixed bands."""
 
 from __future__ import annotations
 
@@ -19,12 +19,12 @@ BLOCK_SHINGLES = 1 << 18
 
 
 class Forest(NamedTuple):
-    """Prefix tries of MinHash signatures.
+    """Bands of MinHash signatures, in place of the prefix tries of an LSH forest.
 
-    Each tree holds the signatures by prefixes of up to ``max_depth`` hashes. A
-    pair of likeness s meets at depth d in one of the trees with probability
-    1 - (1 - s^d)^trees. Matched prefixes are shortened, from the full depth
-    on, until a pair at the threshold meets with probability ``recall``.
+    A pair of likeness s meets in one of ``trees`` bands of d hashes with
+    probability 1 - (1 - s^d)^trees. ``depth`` is the largest d up to
+    ``max_depth`` with which a pair at the threshold meets with probability
+    ``recall``; it is the same for all documents, whatever the data.
     """
 
     trees: int = 20
