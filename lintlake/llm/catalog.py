@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.llm.bpe import bpe_digest
 from lintlake.llm.chat import rotate_perspectives
 from lintlake.llm.common import read
 from lintlake.llm.fingerprints import fingerprints
+from lintlake.llm.infill import infill_digest
 from lintlake.llm.jaccard import ngram_join
 from lintlake.llm.mixing import mix
 from lintlake.llm.packing import pack_documents
 from lintlake.llm.quality import quality_rules
+from lintlake.llm.runs import runs_digest
 from lintlake.llm.sharding import shard_documents
 from lintlake.llm.suffix_dedup import suffix_dedup
 from lintlake.llm.tokens import token_counts
@@ -62,6 +65,18 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints(read(spark, folder, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs_digest(read(spark, folder, "documents"))
+
+
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_digest(read(spark, folder, "documents"))
+
+
+def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
+    return infill_digest(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
@@ -73,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_bpe": op12_bpe,
+    "op13_infill": op13_infill,
 }
 
 ORACLES: dict[str, str] = {
@@ -151,4 +169,51 @@ ORACLES: dict[str, str] = {
             CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM d""",
+    "op11_periodic_runs": r"""
+        WITH RECURSIVE step AS (
+            SELECT n AS i, n AS c, 0 AS k FROM range(256) t(n)
+            UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+        tab AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+        d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(coalesce(doc_id::VARCHAR, ''), '.'), lambda x: ascii(x)::BIGINT)),
+                    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h
+            FROM documents, tab),
+        cut AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+        v AS MATERIALIZED (
+            SELECT doc_id, n, CASE WHEN a IS NULL THEN w
+                ELSE list_transform(range(0, n), lambda i: w[(CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END) + 1]) END AS v
+            FROM cut),
+        q AS (SELECT doc_id, n, v, unnest(range(1, n // 4 + 1)) AS q FROM v),
+        c AS MATERIALIZED (
+            SELECT DISTINCT doc_id, q
+            FROM (SELECT *, unnest(range(0, n - 3 * q, q)) AS x FROM q) WHERE v[x + 1] = v[x + q + 1] AND v[x + 1] = v[x + 2 * q + 1] AND v[x + 1] = v[x + 3 * q + 1]),
+        m AS (SELECT doc_id, q, i FROM (SELECT c.doc_id, q, v, unnest(range(0, n - q)) AS i FROM c JOIN v USING (doc_id)) WHERE v[i + 1] = v[i + q + 1]),
+        s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+        r AS MATERIALIZED (
+            SELECT doc_id, start, length, min(q) AS period
+            FROM (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, island) WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+        own AS (SELECT doc_id, unnest(v) AS word, unnest(range(0, n)) AS i FROM v),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM own ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+        best AS (SELECT doc_id, arg_max(struct_pack(start, length, period), (length, -start, -period)) AS b, count(*) AS n_runs,
+            string_agg(start::VARCHAR || ',' || length::VARCHAR || ',' || period::VARCHAR || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id)
+        SELECT v.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, b.length AS length, b.period AS period, 1000 * b.length // b.period AS exponent_milli,
+            sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+        FROM v LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_infill": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+                sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        k AS (
+            SELECT doc_id, t, u, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS y,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+                    WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (
+            SELECT doc_id, t, n, form, array_to_string(u[1 : least(x, y)], '') AS pre, array_to_string(u[least(x, y) + 1 : greatest(x, y)], '') AS mid,
+                array_to_string(u[greatest(x, y) + 1 : n], '') AS suf FROM k)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM p""",
 }
