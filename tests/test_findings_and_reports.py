@@ -36,35 +36,46 @@ def score(spark, scans):
     return {r.scan_id: r.score for r in scoring.health_score(ids, found).collect()}
 
 
-def test_scores(spark):
-    single = {i: [{"severity": s}] for i, s in enumerate(("info", "low", "medium", "high", "critical"))}
-    cases = {
-        **single, 10: [], 11: [{}] * 500, 12: [{"line": n} for n in range(5000)],
-        13: [{"line": n} for n in range(1, 100)], 14: [{"line": n} for n in range(1, 100)] + [{"severity": "critical", "line": 101}],
-        20: [{"severity": "high", "line": 1}, {"severity": "high", "line": 2}] + [{"severity": "medium", "line": n} for n in range(10, 17)]
-        + [{"line": n} for n in range(20, 36)],
-        21: [{"severity": "high", "line": n} for n in range(147)] + [{"severity": "medium", "line": n} for n in range(200, 298)]
-        + [{"line": n} for n in range(300, 474)],
-    }
-    cases |= {100 + k: [{"severity": "high", "line": n} for n in range(k)] for k in range(1, 40)}
+def plain_score(found):
+    """The score by its definition, from rows that are distinct findings."""
+    rank = {s: i for i, s in enumerate(V.SEVERITIES)}
+    distinct = {(r["line"], r["file_path"]): r["severity"] for r in found}
+    total = 0.0
+    for severity, (weight, cap) in V.SCORE_POLICY.items():
+        n = sum(rank[s] <= rank[severity] for s in distinct.values())
+        total += cap * (1 - (1 - weight / cap) ** n)
+    return max(0, min(100, 100 - int(total + 0.5)))
+
+
+def some_findings(rng, n):
+    weights = [rng.random() ** 3 + 0.001 for _ in V.SEVERITIES]
+    return [{"severity": rng.choices(V.SEVERITIES, weights)[0], "line": k, "file_path": f"f{k % 3}.py"} for k in range(n)]
+
+
+def test_scores_follow_the_definition(spark):
+    rng = random.Random(17)
+    cases = {n: some_findings(rng, size) for n, size in enumerate([0, 1, 2, 3, 5, 8, 13, 30, 100, 400, 3000] * 3)}
+    fixed = {100 + i: [{"severity": s}] for i, s in enumerate(("info", "low", "medium", "high", "critical"))}
+    copies = {200: cases[9] * 4}
+    got = score(spark, {**cases, **fixed, **copies})
+    assert {n: got[n] for n in cases} == {n: plain_score(found) for n, found in cases.items()}
+    assert [got[100 + i] for i in range(5)] == [99, 98, 95, 90, 82]  # fixed values of the policy
+    assert got[200] == got[9] and got[0] == 100
+
+
+def test_a_worse_finding_never_improves_a_score(spark):
+    rng = random.Random(23)
+    cases, pairs = {}, []
+    for n in range(40):
+        found = some_findings(rng, rng.choice([1, 4, 20, 150]))
+        at = rng.randrange(len(found))
+        rank = V.SEVERITIES.index(found[at]["severity"])
+        worse = [{**r, "severity": V.SEVERITIES[rng.randint(0, rank)]} if k == at else r for k, r in enumerate(found)]
+        more = found + [{"severity": rng.choice(V.SEVERITIES), "line": -1, "file_path": "new.py"}]
+        cases |= {10 * n: found, 10 * n + 1: worse, 10 * n + 2: more}
+        pairs += [(10 * n, 10 * n + 1), (10 * n, 10 * n + 2)]
     got = score(spark, cases)
-    assert [got[i] for i in range(5)] == [99, 98, 95, 90, 82]
-    assert (got[10], got[11], got[12]) == (100, 98, 90)
-    assert got[14] < got[13] and (got[20], got[21]) == (68, 40)
-    chain = [got[100 + k] for k in range(1, 40)]
-    assert chain == sorted(chain, reverse=True)
-
-
-def test_upgrading_never_improves_a_score(spark):
-    names = ["info", "low", "medium", "high", "critical"]
-    cases = {
-        10 * i + j: [{"severity": s, "line": n} for n in range(1, 200)] + [{"severity": up, "line": 201}]
-        for i, s in enumerate(names) for j, up in enumerate(names)
-    }
-    got = score(spark, cases)
-    for i in range(5):
-        row = [got[10 * i + j] for j in range(5)]
-        assert row == sorted(row, reverse=True)
+    assert all(got[after] <= got[before] for before, after in pairs)
 
 
 def test_deduplication_ignores_wording_and_order(spark):
@@ -94,35 +105,50 @@ def test_severity_and_path_rejects(spark):
     assert sorted(r.reject_reason for r in fi.rejected(df).collect()) == ["path", "severity"]
 
 
-def test_priority(spark):
-    rows = [
-        {"severity": "high", "category": "security"}, {"severity": "high", "category": "maintainability"},
-        {"severity": "high", "category": "security", "file_path": "tests/test_app.py"},
-        {"severity": "high", "category": "complexity", "cyclomatic_complexity": 20},
-        {"severity": "high", "category": "complexity", "cyclomatic_complexity": 30},
-        {"severity": "medium", "category": "dead_code", "confidence": 100},
-        {"severity": "medium", "category": "dead_code", "confidence": 90}, {"severity": "medium", "category": "dead_code", "confidence": 89},
-        {"severity": "info", "file_path": "Docs/a.py"}, {"severity": "low", "file_path": "src/Test_a.py"},
-    ]
-    got = {r.id: r for r in priority.prioritized(raw(spark, rows)).collect()}
-    assert [got[i].priority_score for i in range(10)] == [60, 45, 52, 50, 55, 33, 29, 25, 0, 8]
-    assert [got[i].priority for i in (0, 1, 5, 8)] == ["p2", "p3", "p3", "p4"]
-    assert len(got[0].priority_reasons) == 2 and len(got[2].priority_reasons) == 3
+def plain_priority(r):
+    parts = r["file_path"].split("/")
+    lines = [V.PRIORITY_POINTS[r["severity"]]]
+    if r["category"] == "security":
+        lines.append(15)
+    if r["category"] == "complexity" and (r["cyclomatic_complexity"] or 0) >= 20:
+        lines.append(10 if r["cyclomatic_complexity"] >= 30 else 5)
+    if (r["confidence"] or 0) >= 90:
+        lines.append(8 if r["confidence"] == 100 else 4)
+    if any(p.lower() in V.PRIORITY_CONTEXT_PARTS for p in parts) or parts[-1].startswith("test_"):
+        lines.append(-8)
+    total = max(0, min(100, sum(lines)))
+    return total, "p1" if total >= 75 else "p2" if total >= 50 else "p3" if total >= 25 else "p4", len(lines)
 
 
-def test_hotspots_cap_minor_findings(spark):
-    rows = [{"id": n, "file_path": "noisy.py"} for n in range(1, 501)]
-    rows += [
-        {"id": 501, "severity": "medium", "category": "complexity", "file_path": "meaningful.py"},
-        {"id": 502, "severity": "high", "category": "security", "file_path": "security.py"},
-    ]
-    random.Random(1).shuffle(rows)
-    df = raw(spark, rows)
-    spots = scoring.ranked_hotspots(df).collect()
-    assert [s.file_path for s in spots] == ["security.py", "meaningful.py", "noisy.py"]
-    assert (spots[2].weight, spots[2].finding_count, spots[2].low) == (2.0, 500, 500)
-    top = priority.top_issues(df).first().top_issue_ids
-    assert top[0] == 502 and len(top) == 5 and top[1:] == [501, 1, 2, 3]
+def random_issues(rng, n, files):
+    return [{
+        "id": k, "severity": rng.choice(V.SEVERITIES), "category": rng.choice(["security", "complexity", "dead_code", "style"]), "file_path": rng.choice(files),
+        "cyclomatic_complexity": rng.choice([None, 0, 19, 20, 29, 30, 99]), "confidence": rng.choice([None, 0, 89, 90, 99, 100]), "line": rng.choice([None, 1, 2, 70]),
+    } for k in range(n)]
+
+
+FILES = ["app.py", "lib/core.py", "tests/core.py", "lib/Tests/a.py", "Docs/guide.py", "test_app.py", "lib/test_core.py", "Test_x.py", "latest/attest.py", "fixtures/x/y.py"]
+
+
+def test_priority_follows_the_definition(spark):
+    rows = random_issues(random.Random(29), 1500, FILES)
+    got = {r.id: (r.priority_score, r.priority, len(r.priority_reasons)) for r in priority.prioritized(raw(spark, rows)).collect()}
+    assert got == {r["id"]: plain_priority(r) for r in rows}
+    best = sorted(rows, key=lambda r: (-plain_priority(r)[0], r["file_path"], r["line"] or 0, r["id"]))[:5]
+    assert priority.top_issues(raw(spark, rows)).first().top_issue_ids == [r["id"] for r in best]
+
+
+def test_hotspots_follow_the_definition(spark):
+    rng = random.Random(31)
+    rows = random_issues(rng, 400, FILES) + [{**r, "id": 1000 + r["id"], "severity": rng.choice(["low", "info"]), "file_path": "minor.py"} for r in random_issues(rng, 900, FILES)]
+    want = []
+    for path in {r["file_path"] for r in rows}:
+        own = [r for r in rows if r["file_path"] == path]
+        serious = sum(V.HOTSPOT_POINTS.get(r["severity"], 0) * (1.5 if r["category"] == "security" else 1) for r in own)
+        low, info = (sum(r["severity"] == s for r in own) for s in ("low", "info"))
+        want.append((-round(serious + min(2.0, 0.25 * low) + min(0.25, 0.05 * info), 2), path, len(own)))
+    got = [(-s.weight, s.file_path, s.finding_count) for s in scoring.ranked_hotspots(raw(spark, rows)).collect()]
+    assert got == sorted(want) and got[-1][1:] == ("minor.py", 900)
 
 
 def compared(spark, scans, issues):
@@ -141,34 +167,41 @@ def compared(spark, scans, issues):
     return sdf, repos, idf
 
 
-def test_comparison_multisets_and_zero_scores(spark):
-    sdf, repos, idf = compared(
-        spark, [(1, 0, "v"), (2, 10, "v"), (3, None, "v")],
-        [(1, 1, "stable", "high", "t", "m"), (2, 1, "stable", "high", "t", "m"), (3, 1, "removed", "high", "t", "m"),
-         (4, 2, "stable", "high", "t", "m"), (5, 2, "added", "medium", "t", "m")],
-    )
+@pytest.mark.parametrize("structural", [True, False])
+def test_comparisons_follow_the_definition(spark, structural):
+    """A chain of scans with random scores, some unknown or zero; keys or, without them, places and titles decide."""
+    rng = random.Random(37 + structural)
+    scans = [(n, rng.choice([None, 0, 0, 55, 100]), "v1" if structural else rng.choice([None, "v1", "v2"])) for n in range(1, 7)]
+    spell = lambda t: rng.choice([t, t.upper(), t.replace(" ", "  "), f" {t}\t"])
+    issues, group = [], {}
+    for i in range(240):
+        scan, key = rng.randint(1, 6), f"kind {rng.randint(0, 14)}"
+        issues.append((i, scan, key if structural else None, rng.choice(V.SEVERITIES), key if structural else spell(key), f"message {i}"))
+        group[i] = key
+    sdf, repos, idf = compared(spark, scans, issues)
     report = {r.scan_id: r for r in compare.comparison_report(sdf, repos, idf).collect()}
-    assert not report[1].available and report[1].reason
-    r = report[2]
-    assert (r.baseline_id, r.identity_mode, r.score_delta, r.total_delta, r.high_delta, r.medium_delta) == (1, "structural-v1", 10, -1, -2, 1)
-    assert (r.new_count, r.unchanged_count, r.resolved_count, r.warnings) == (1, 1, 2, [])
-    assert report[3].score_delta is None and report[3].resolved_count == 2
-    pairs = compare.scan_pairs(sdf, repos, idf)
-    states = {(c.scan_id, c.id): c.state for c in compare.diff_findings(pairs, idf).collect()}
-    assert {k: v for k, v in states.items() if k[0] == 2} == {(2, 5): "new", (2, 4): "unchanged", (2, 2): "resolved", (2, 3): "resolved"}
-    shown = compare.comparison_issues(compare.diff_findings(pairs, idf), idf).collect()
-    assert {(s.id, s.source_scan_id) for s in shown if s.scan_id == 2 and s.comparison_state == "resolved"} == {(2, 1), (3, 1)}
+    states = {(c.scan_id, c.id): c.state for c in compare.diff_findings(compare.scan_pairs(sdf, repos, idf), idf).collect()}
+    assert not report[1].available and report[1].reason and set(report) == {n for n, *_ in scans}
+    for (base, old, old_version), (scan, new, version) in zip(scans, scans[1:]):
+        before, after = ([i for i, s, *_ in issues if s == n] for n in (base, scan))
+        want = {}
+        for key in set(group.values()):
+            a, b = ([i for i in side if group[i] == key] for side in (before, after))
+            shared = min(len(a), len(b))
+            want |= dict.fromkeys(b[:shared], "unchanged") | dict.fromkeys(b[shared:], "new") | dict.fromkeys(a[shared:], "resolved")
+        assert {i: s for (n, i), s in states.items() if n == scan} == want
+        r, counts, severity = report[scan], Counter(want.values()), {i: s for i, _, _, s, *_ in issues}
+        assert (r.baseline_id, r.new_count, r.unchanged_count, r.resolved_count) == (base, counts["new"], counts["unchanged"], counts["resolved"])
+        assert r.score_delta == (None if None in (old, new) else new - old) and r.total_delta == len(after) - len(before)
+        for s in V.SEVERITIES:
+            assert r[f"{s}_delta"] == sum(severity[i] == s for i in after) - sum(severity[i] == s for i in before)
+        assert r.identity_mode == ("structural-v1" if structural else "legacy-location")
+        assert len(r.warnings) == (not structural) + (old_version != version or version is None)
+    shown = compare.comparison_issues(compare.diff_findings(compare.scan_pairs(sdf, repos, idf), idf), idf).collect()
+    assert {(s.scan_id, s.id): s.source_scan_id for s in shown} == {(n, i): n - (state == "resolved") for (n, i), state in states.items()}
     assert all(s.priority_reasons for s in shown)
 
 
-def test_legacy_comparison_ignores_messages_and_warns(spark):
-    sdf, repos, idf = compared(
-        spark, [(1, 1, None), (2, 1, "v")], [(1, 1, None, "high", "An  issue", "Old"), (2, 2, "k", "high", "an issue", "Different")]
-    )
-    r = next(r for r in compare.comparison_report(sdf, repos, idf).collect() if r.scan_id == 2)
-    assert (r.identity_mode, r.unchanged_count, len(r.warnings)) == ("legacy-location", 1, 2)
-
-
 def test_hot_groups_match_a_plain_multiset_diff(spark, monkeypatch):
     """One key holds most rows and is cut into slices; the result is that of the definition."""
     from lintlake.operators import skew
