@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import values as V
 from lintlake.functions.text import col
+from lintlake.operators.timelines import OpenScans, replayed
+
+#: Seconds that a scan may wait and run.
+WAITS = {"queued": V.STALE_QUEUED_SECONDS, "running": V.STALE_RUNNING_SECONDS}
 
 
 def static_estimate(file_count: Column | str, source_bytes: Column | str, ai_enabled: Column | bool) -> tuple[Column, Column]:
@@ -74,3 +78,52 @@ def latest_states(events: DataFrame) -> DataFrame:
     return events.groupBy("scan_id").agg(F.coalesce(*firsts).alias("s"), F.count(F.lit(1)).alias("n_events")).select(
         "scan_id", "s.status", F.col("s.ts").alias("since"), "n_events"
     )
+
+
+def expired_scans(events: DataFrame, until: Column | datetime | None = None, waits: dict[str, int] = WAITS) -> DataFrame:
+    """T1 in batch: scans that waited or ran too long, from ``events(scan_id, ts, status)``.
+
+    A scan waits since its first queued event and runs since its first running
+    one; each may last as long as ``waits`` says. It expires a millisecond
+    after that time unless an event of its own has moved it on by then; what
+    comes later changes nothing, nor does anything after its end. Only times
+    that are over at ``until`` count, by default all.
+
+    Whether and when is settled by the first event of each kind, so a scan is
+    three minimums, which combine before the shuffle, however many events it has.
+    """
+    ts = F.col("ts").cast("timestamp")
+    first = lambda *kinds: F.min(F.when(F.col("status").isin(*kinds), ts))
+    ended = F.min(F.when(~F.col("status").isin("queued", "running"), ts))
+    lines = events.groupBy("scan_id").agg(first("queued").alias("queued"), first("running").alias("running"), ended.alias("ended"))
+    span = lambda seconds: F.make_dt_interval(secs=F.lit(seconds))
+    waited = F.col("queued") + span(waits["queued"])
+    # a scan that runs before it has been queued never waits; one that starts too late has expired before
+    starts = F.col("running").isNotNull() & (F.col("queued").isNull() | (F.col("running") <= waited))
+    deadline = F.when(starts, F.col("running") + span(waits["running"])).otherwise(waited)
+    lines = lines.withColumns({"deadline": deadline, "was": F.when(starts, "running").otherwise("queued")})
+    over = F.col("deadline").isNotNull() & (F.col("ended").isNull() | (F.col("ended") > F.col("deadline")))
+    if until is not None:
+        over = over & (F.col("deadline") < (until if isinstance(until, Column) else F.lit(until)))
+    message = F.when(F.col("was") == "running", V.STALE_ERROR).otherwise(V.QUEUE_EXPIRED)
+    at = F.col("deadline") + F.expr("INTERVAL '0.001' SECOND")
+    return lines.where(over).select("scan_id", F.lit("failed").alias("status"), message.alias("error_message"), at.alias("expired_at"))
+
+
+def admitted_submissions(
+    events: DataFrame, limit: int = V.ACTIVE_LIMIT, waits: dict[str, int] = WAITS, slice_rows: int | None = None
+) -> DataFrame:
+    """T4 in batch: owner_id, scan_id, event_id, ts and ``admitted`` of every submission in ``events(owner_id, scan_id, event_id, ts, status)``.
+
+    A queued event asks for admission and gets it while fewer than ``limit``
+    scans of the owner wait or run; those over their time in ``waits`` are freed
+    first. An owner's events are cut into slices that run at once, and again
+    only where they began with other open scans than the slice before has left.
+    """
+    timed = events.select(
+        "owner_id", "scan_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "status",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"), F.coalesce(F.col("scan_id").cast("string"), F.lit("")).alias("_scan"),
+    )
+    machine = OpenScans(limit, {status: seconds * 1_000_000 for status, seconds in waits.items()})
+    done = replayed(timed, ["owner_id"], ["_us", "event_id"], machine, slice_rows)
+    return done.where("status = 'queued'").select("owner_id", "scan_id", "event_id", "ts", "admitted")

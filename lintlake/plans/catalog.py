@@ -19,6 +19,8 @@ from lintlake.sources import files as files_
 from lintlake.sources import tables as tables_
 from lintlake.streaming import lifecycle as stream_life
 from lintlake.streaming import rates
+from lintlake.streaming.pipeline import analyze_requests
+from lintlake.streaming.replay import deliver, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +29,9 @@ INVENTORY_LIMITS = {"max_files": 20, "max_bytes": 60_000, "max_dirs": 6}
 AUDIT_LIMITS = {"byte_limit": 150_000, "entry_limit": 90}
 NOW = datetime(1998, 1, 1)
 RATE = {"seconds": 6 * 3600, "limit": 3}
+# Seconds that a scan may wait and run, on the scale of the events table.
+SCAN_WAITS = {"queued": 6 * 86400, "running": 3 * 86400}
+OWNER_WAITS = {"queued": 8 * 3600, "running": 5 * 3600}
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -735,6 +740,69 @@ def _(spark, folder):
     return stream_life.first_deliveries(view(spark, folder, "fx_events")).select("scan_id", "event_id", "ts", "status")
 
 
+@query("t1_expired_scans")
+def _(spark, folder):
+    events = view(spark, folder, "fx_events")
+    done = lifecycle.expired_scans(events, stream_life.watermark(events), SCAN_WAITS)
+    return done.withColumn("expired_at", F.col("expired_at").cast("timestamp_ntz"))
+
+
+@query("t1_stale_stream")
+def _(spark, folder):
+    """The same by the stream, restarted in the middle of the table."""
+    done = replay(view(spark, folder, "fx_events"), lambda s: stream_life.detect_stale(s, waits=SCAN_WAITS, remember=400 * 86400)).rows
+    return done.withColumn("expired_at", F.col("expired_at").cast("timestamp_ntz"))
+
+
+@query("t2_delivery_stream")
+def _(spark, folder):
+    done = replay(view(spark, folder, "fx_events"), lambda s: stream_life.single_runs(s, remember=400 * 86400)).rows
+    return done.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("t4_admitted_submissions")
+def _(spark, folder):
+    return lifecycle.admitted_submissions(view(spark, folder, "fx_events"), waits=OWNER_WAITS).drop("ts")
+
+
+@query("t4_admission_stream")
+def _(spark, folder):
+    done = replay(view(spark, folder, "fx_events"), lambda s: stream_life.admit_submissions(s, waits=OWNER_WAITS))
+    return done.rows.drop("ts")
+
+
+@query("t4_open_scans")
+def _(spark, folder):
+    """The open scans that the stream's state holds at the end, read from the state store."""
+    events = view(spark, folder, "fx_events")
+    done = replay(events, lambda s: stream_life.admit_submissions(s, waits=OWNER_WAITS))
+    state = stream_life.state_table(spark, done.checkpoint, "open")
+    held = state.select(
+        "key.owner_id", F.col("user_map_key.scan_id").cast("long").alias("scan_id"), "user_map_value.status",
+        F.timestamp_micros("user_map_value.since").cast("timestamp_ntz").alias("since"),
+    )
+    wait = F.when(F.col("status") == "queued", OWNER_WAITS["queued"]).otherwise(OWNER_WAITS["running"])
+    until = F.lit(stream_life.watermark(events)).cast("timestamp_ntz")
+    return held.where(F.col("since") + F.make_dt_interval(secs=wait) >= until)
+
+
+@query("t5_request_stream")
+def _(spark, folder):
+    """Scans of all source snapshots, requested one after the other, and what is stored of them."""
+    known = view(spark, folder, "fx_source")
+    files = known.select("snapshot_id", "path", F.octet_length("source").cast("long").alias("length"), F.encode("source", "UTF-8").alias("content"))
+    files = materialize(files, "files")
+    asked = files.select("snapshot_id").distinct().select(
+        F.col("snapshot_id").alias("scan_id"), (F.col("snapshot_id") % 3).alias("repo_id"), F.lit("running").alias("status"), F.lit("static_analysis").alias("stage"),
+        F.timestamp_seconds(F.col("snapshot_id") * 60).alias("created_at"),
+    )
+    asked = tables_.upgrade_schema(asked, schemas.SCANS)
+    base = deliver(asked, lambda requests, at: analyze_requests(requests, files, f"{at}/tables", f"{at}/checkpoint", NOW), ts="created_at")
+    stored = tables_.read_tables(spark, f"{base}/tables", "scans", schemas.SCANS).select("scan_id", "status")
+    found = tables_.read_tables(spark, f"{base}/tables", "issues", schemas.ISSUES)
+    return found.join(stored, "scan_id").select("scan_id", "status", "file_path", "line", F.col("analyzer_metadata.rule_id").alias("rule_id"), "severity")
+
+
 @query("t3_trailing_rate")
 def _(spark, folder):
     labelled = rates.label_rates(table(spark, folder, "events"), "user_id", **RATE)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from lintlake.functions import values as V
 from lintlake.operators import compare
-from lintlake.plans.catalog import AUDIT_LIMITS, INSTRUCTIONS, INVENTORY_LIMITS, NOW, RATE
+from lintlake.plans.catalog import AUDIT_LIMITS, INSTRUCTIONS, INVENTORY_LIMITS, NOW, OWNER_WAITS, RATE, SCAN_WAITS
 from lintlake.plans.fixtures import portable
 
 ORACLES: dict[str, str] = {}
@@ -436,6 +436,52 @@ SELECT scan_id, status, ts AS since, n_events FROM (SELECT *, count(*) OVER (PAR
 QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY CASE WHEN status IN ('completed', 'failed') THEN 0 WHEN status = 'running' THEN 1 ELSE 2 END, ts, event_id) = 1""")
 oracle("t2_first_deliveries", f"""
 SELECT scan_id, event_id, ts, status FROM {portable('fx_events')} QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY ts, event_id) = 1""")
+oracle("t2_delivery_stream", ORACLES["t2_first_deliveries"])
+
+
+# A clock for each scan, event after event: what state it is in, since when, and whether its time was over.
+CLOCK = f"""
+WITH RECURSIVE o AS MATERIALIZED (
+ SELECT scan_id, ts, status, row_number() OVER (PARTITION BY scan_id ORDER BY ts, CASE WHEN status IN ('queued', 'running') THEN 1 ELSE 0 END, status) AS n FROM {portable('fx_events')}),
+clock AS (
+ SELECT DISTINCT scan_id, 0::BIGINT AS n, NULL::VARCHAR AS state, NULL::TIMESTAMP AS since, false AS over, false AS ended FROM o
+ UNION ALL
+ SELECT scan_id, n, CASE WHEN over OR ended OR late OR done THEN state WHEN state IS NULL OR (state = 'queued' AND status = 'running') THEN status ELSE state END,
+  CASE WHEN over OR ended OR late OR done THEN since WHEN state IS NULL OR (state = 'queued' AND status = 'running') THEN ts ELSE since END,
+  over OR (NOT ended AND late), ended OR (NOT over AND NOT late AND done)
+ FROM (SELECT c.scan_id, o.n, c.state, c.since, c.over, c.ended, o.ts, o.status, o.status NOT IN ('queued', 'running') AS done,
+   coalesce(o.ts > c.since + CASE c.state WHEN 'queued' THEN INTERVAL {SCAN_WAITS['queued']} SECOND ELSE INTERVAL {SCAN_WAITS['running']} SECOND END, false) AS late
+  FROM clock c JOIN o ON o.scan_id = c.scan_id AND o.n = c.n + 1)),
+final AS (SELECT scan_id, arg_max(state, n) AS state, arg_max(since, n) AS since, arg_max(ended, n) AS ended FROM clock GROUP BY scan_id),
+due AS (SELECT *, since + CASE state WHEN 'queued' THEN INTERVAL {SCAN_WAITS['queued']} SECOND ELSE INTERVAL {SCAN_WAITS['running']} SECOND END AS due FROM final)
+SELECT scan_id, 'failed' AS status, CASE state WHEN 'running' THEN {text(V.STALE_ERROR)} ELSE {text(V.QUEUE_EXPIRED)} END AS error_message, due + INTERVAL 1 MILLISECOND AS expired_at
+FROM due WHERE state IS NOT NULL AND NOT ended AND due < (SELECT max(ts) - INTERVAL 1 MINUTE FROM o)"""
+oracle("t1_expired_scans", CLOCK)
+oracle("t1_stale_stream", CLOCK)
+
+# Submissions of an owner one after the other, with the list of scans that are open before each.
+OPEN = f"""
+WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY ts, event_id) AS n FROM {portable('fx_events')}),
+walk AS (
+ SELECT DISTINCT owner_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS scan_id, NULL::VARCHAR AS status, false AS admitted,
+  []::STRUCT(scan BIGINT, status VARCHAR, since TIMESTAMP)[] AS open FROM o
+ UNION ALL
+ SELECT owner_id, n, event_id, scan_id, status, len(alive) < 2,
+  CASE WHEN status = 'queued' AND len(alive) >= 2 THEN alive
+   WHEN status = 'queued' OR (status = 'running' AND len(mine) > 0) THEN list_append(others, struct_pack(scan := scan_id, status := status, since := ts))
+   WHEN status = 'running' THEN alive ELSE others END
+ FROM (SELECT *, list_filter(alive, lambda x: x.scan = scan_id) AS mine, list_filter(alive, lambda x: x.scan <> scan_id) AS others
+  FROM (SELECT o.owner_id, o.n, o.event_id, o.scan_id, o.status, o.ts,
+    list_filter(w.open, lambda x: x.since + CASE x.status WHEN 'queued' THEN INTERVAL {OWNER_WAITS['queued']} SECOND ELSE INTERVAL {OWNER_WAITS['running']} SECOND END >= o.ts) AS alive
+   FROM walk w JOIN o ON o.owner_id = w.owner_id AND o.n = w.n + 1)))"""
+ADMITTED = OPEN + " SELECT owner_id, scan_id, event_id, admitted FROM walk WHERE n > 0 AND status = 'queued'"
+oracle("t4_admitted_submissions", ADMITTED)
+oracle("t4_admission_stream", ADMITTED)
+oracle("t4_open_scans", OPEN + f"""
+SELECT owner_id, x.scan AS scan_id, x.status AS status, x.since AS since
+FROM (SELECT owner_id, unnest(arg_max(open, n)) AS x FROM walk GROUP BY owner_id)
+WHERE x.since + CASE x.status WHEN 'queued' THEN INTERVAL {OWNER_WAITS['queued']} SECOND ELSE INTERVAL {OWNER_WAITS['running']} SECOND END >= (SELECT max(ts) - INTERVAL 1 MINUTE FROM o)""")
+oracle("t5_request_stream", "SELECT scan_id, 'completed' AS status, file_path, line, rule_id, severity FROM found")
 oracle("t3_trailing_rate", f"""
 SELECT event_id, user_id, recent, recent > {RATE['limit']} AS over_limit FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts
  RANGE BETWEEN INTERVAL {RATE['seconds']} SECOND PRECEDING AND CURRENT ROW) AS recent FROM events)""")

@@ -7,13 +7,13 @@ import stat
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake import schemas
 from lintlake.functions import values as V
 from lintlake.functions.text import directory_keys, file_name, ignored, path_parts, source_text, walk_key
-from lintlake.operators.skew import first_n
+from lintlake.operators.timelines import prefix_sums
 from lintlake.session import materialize, spread
 
 KEY = "snapshot_id"
@@ -128,8 +128,8 @@ def inventory_cuts(
     """Where the walk of a snapshot stops: ``(snapshot_id, cut)``, only for those that reach a limit.
 
     Totals, which combine before the shuffle, find the few snapshots that can
-    reach a limit. Only their rows are ordered, and only as many per snapshot
-    as the limit allows.
+    reach a limit. Only their rows are ordered, in slices, so one snapshot may
+    hold all files and a limit may have any size.
     """
     files = files.select(KEY, "path", "length")
     python, entered = eligible_files(files), files.filter(~ignored("path"))
@@ -143,16 +143,15 @@ def inventory_cuts(
     suspects = counted.select(KEY, F.coalesce(heavy, F.lit(False)).alias("heavy"), wide.alias("wide")).filter("heavy OR wide")
     suspects = materialize(suspects, "suspects")
 
+    if suspects.isEmpty():
+        return suspects.select(KEY, F.lit(None).cast("array<string>").alias("cut"))
     ordered = python.join(suspects.filter("heavy"), KEY, "left_semi").select(KEY, walk_key("path").alias("cut"), "length")
-    ordered = first_n(ordered, [KEY], [F.col("cut")], max_files + 1)
-    so_far = Window.partitionBy(KEY).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    file_cut = ordered.withColumn("bytes", F.sum("length").over(so_far)).filter(
-        (F.col("rn") > max_files) | (F.col("bytes") > max_bytes)
-    )
+    ordered = prefix_sums(ordered, [KEY], [F.col("cut")], {"files": F.lit(1), "bytes": F.col("length")})
+    file_cut = ordered.filter((F.col("files") > max_files) | (F.col("bytes") > max_bytes))
 
     folders = entered.join(suspects.filter("wide"), KEY, "left_semi").select(KEY, F.explode(directory_keys("path")).alias("cut"))
-    folders = first_n(folders.distinct(), [KEY], [F.col("cut")], max_dirs + 1)
-    folder_cut = folders.filter(F.col("rn") > max_dirs)
+    folders = prefix_sums(folders.distinct(), [KEY], [F.col("cut")], {"folders": F.lit(1)})
+    folder_cut = folders.filter(F.col("folders") > max_dirs)
 
     cuts = file_cut.select(KEY, "cut").unionByName(folder_cut.select(KEY, "cut"))
     return cuts.groupBy(KEY).agg(F.min("cut").alias("cut"))
@@ -218,17 +217,9 @@ def resource_audit(
         F.lit(0).cast("long").alias("length"),
     )
     entries = as_files.unionByName(as_folders)
-    walked = first_n(entries, [KEY], [F.col("parent"), F.col("is_file"), F.col("name")], entry_limit + 1)
-    so_far = Window.partitionBy(KEY).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    breached = (
-        walked.withColumn("bytes", F.sum("length").over(so_far))
-        .groupBy(KEY)
-        .agg(F.max("bytes").alias("bytes"), F.max("rn").alias("rn"))
-        .select(
-            KEY,
-            F.when(F.col("bytes") > byte_limit, "workspace_bytes")
-            .when(F.col("rn") > entry_limit, "workspace_entries")
-            .alias("reason"),
-        )
-    )
+    order = [F.col("parent"), F.col("is_file"), F.col("name")]
+    walked = prefix_sums(entries, [KEY], order, {"entries": F.lit(1), "bytes": F.col("length")})
+    # The first entry at which a limit is passed; on the same one bytes come first.
+    over = F.when(F.col("bytes") > byte_limit, "workspace_bytes").when(F.col("entries") > entry_limit, "workspace_entries")
+    breached = walked.filter(over.isNotNull()).groupBy(KEY).agg(F.min_by(over, "entries").alias("reason"))
     return totals.select(KEY).join(breached, KEY, "left").select(KEY, F.coalesce("reason", F.lit("ok")).alias("outcome"))

@@ -11,71 +11,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lintlake.functions import values as V
-from lintlake.operators.skew import carried_last, trailing_count
-from lintlake.session import materialize
+from lintlake.operators.skew import trailing_count
+from lintlake.operators.timelines import SlidingLimit, replayed
 
 LABEL_SCHEMA = "event_id BIGINT, key BIGINT, ts TIMESTAMP, admitted BOOLEAN"
 
 
-def _decide(recent: deque, now: int, limit: int, reach: int) -> bool:
-    """Admit unless ``limit`` admitted requests are at most ``reach`` old; rejected ones do not count."""
-    while recent and recent[0] < now - reach:
-        recent.popleft()
-    if len(recent) >= limit:
-        return False
-    recent.append(now)
-    return True
-
-
 def label_rates(events: DataFrame, key: str, seconds: int = V.RATE_SECONDS, limit: int = V.RATE_LIMIT) -> DataFrame:
     """Requests of the key in the trailing span, and whether they exceed the limit."""
     counted = trailing_count(events, key, "ts", seconds, "recent")
     return counted.withColumn("over_limit", F.col("recent") > limit)
 
 
-def admit_requests(events: DataFrame, key: str, seconds: int = V.RATE_SECONDS, limit: int = V.RATE_LIMIT) -> DataFrame:
+def admit_requests(
+    events: DataFrame, key: str, seconds: int = V.RATE_SECONDS, limit: int = V.RATE_LIMIT, slice_rows: int | None = None
+) -> DataFrame:
     """Which requests a sliding limit lets through, in batch.
 
-    A request whose trailing count stays within the limit is always admitted,
-    so keys that never exceed it are settled by the sliced window alone. For
-    the others a decision depends on earlier ones, but only back to the last
-    request that had none before it in the span: there the key's time line is
-    cut. The rows of a stretch pass through in time order holding at most
-    ``limit`` times, never a whole key.
+    A decision depends on the admitted requests before it. The time line of a
+    key is cut into slices that run at once and again where they began in
+    another state than the slice before has left (see ``replayed``), so a key
+    without any pause uses all cores.
     """
-    keyed = events.select("event_id", F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    labelled = materialize(label_rates(keyed, "key", seconds, limit), "rates")
-    busy = materialize(labelled.filter("over_limit").select("key").distinct(), "busy")
-    settled = labelled.join(busy, "key", "left_anti").select("event_id", "key", "ts", F.lit(True).alias("admitted"))
-    reach = seconds * 1_000_000
-
-    def pass_through(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, recent = None, deque()
-        for frame in frames:
-            admitted = []
-            for k, start, us in zip(frame["key"], frame["start"], frame["us"]):
-                if (k, start) != current:
-                    current, recent = (k, start), deque()
-                admitted.append(_decide(recent, us, limit, reach))
-            yield frame.assign(admitted=admitted)[["event_id", "key", "ts", "admitted"]]
-
-    timed = labelled.join(busy, "key", "left_semi").withColumns({"us": F.unix_micros("ts"), "day": F.to_date("ts")})
-    alone = F.when(F.col("recent") == 1, F.col("us"))
-    cut = carried_last(timed, ["key"], "day", ["us", "event_id"], alone, "start")
-    contested = (
-        cut.select("event_id", "key", "ts", "us", F.coalesce(alone, F.col("start"), F.lit(0)).alias("start"))
-        .repartition("key", "start")
-        .sortWithinPartitions("key", "start", "us", "event_id")
-        .mapInPandas(pass_through, LABEL_SCHEMA)
-    )
-    return settled.unionByName(contested)
+    keyed = events.select("event_id", F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("ts")).withColumn("_us", F.unix_micros("ts"))
+    done = replayed(keyed, ["key"], ["_us", "event_id"], SlidingLimit(limit, seconds * 1_000_000), slice_rows)
+    return done.select("event_id", "key", "ts", "admitted")
 
 
 def admit_stream(
     events: DataFrame, key: str, seconds: int = V.RATE_SECONDS, limit: int = V.RATE_LIMIT, delay: str = "1 minute"
 ) -> DataFrame:
     """The same decision on a stream; state is at most ``limit`` times per key and expires."""
-    reach = seconds * 1_000_000
+    machine, reach = SlidingLimit(limit, seconds * 1_000_000), seconds * 1_000_000
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -84,7 +51,7 @@ def admit_stream(
         recent = deque(state.get[0] if state.exists else ())
         batch = pd.concat(list(frames)).sort_values(["ts", "event_id"], ignore_index=True)
         micros = [int(ts.value // 1000) for ts in batch["ts"]]
-        batch["admitted"] = [_decide(recent, us, limit, reach) for us in micros]
+        batch["admitted"] = [machine.decide(recent, us) for us in micros]
         state.update((list(recent),))
         state.setTimeoutTimestamp(max((micros[-1] + reach) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield batch[["event_id", "key", "ts", "admitted"]]

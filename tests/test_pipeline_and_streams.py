@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from lintlake import schemas
 from lintlake.functions import values as V
-from lintlake.operators import skew
+from lintlake.operators import lifecycle, skew, timelines
 from lintlake.plans.pipeline import Limits, analyze_snapshots, analyze_trees, finish_scans
 from lintlake.sources import tables as tb
 from lintlake.streaming import lifecycle as sl
 from lintlake.streaming import rates
 from lintlake.streaming.pipeline import analyze_requests, write_files
+from lintlake.streaming.replay import replay
 
 T0 = datetime(2024, 1, 1, 12)
 
@@ -190,8 +191,8 @@ def test_stale_scans_are_failed_once(spark, tmp_path):
 
 def test_deliveries_run_once(spark, tmp_path):
     at = lambda s: T0 + timedelta(seconds=s)
-    schema = "scan_id bigint, event_id bigint, ts timestamp"
-    batches = [[(1, 1, at(0)), (2, 2, at(1))], [(1, 3, at(30)), (3, 4, at(31)), (3, 5, at(32))]]
+    schema = "scan_id bigint, event_id bigint, ts timestamp, status string"
+    batches = [[(1, 1, at(0), "queued"), (2, 2, at(1), "queued")], [(1, 3, at(30), "queued"), (3, 4, at(31), "queued"), (3, 5, at(32), "queued")]]
     got = run(sl.single_runs(stream(spark, tmp_path, batches, schema, "dup")), tmp_path, "t2_single")
     assert sorted(r.scan_id for r in got) == [1, 2, 3]
     every = spark.createDataFrame([r for b in batches for r in b], schema)
@@ -200,14 +201,123 @@ def test_deliveries_run_once(spark, tmp_path):
 
 def test_submissions_are_limited_per_owner(spark, tmp_path):
     at = lambda s: T0 + timedelta(seconds=s)
-    schema = "owner_id bigint, scan_id bigint, ts timestamp, status string"
-    batches = [
-        [(7, 1, at(0), "queued"), (7, 2, at(1), "queued"), (7, 3, at(2), "queued"), (8, 4, at(2), "queued")],
-        [(7, 1, at(5), "running"), (7, 1, at(9), "completed"), (7, 5, at(10), "queued"), (7, 6, at(11), "queued")],
-        [(7, 7, at(902), "queued"), (7, 8, at(903), "queued")],  # 2 has expired, 5 has not
+    schema = "owner_id bigint, scan_id bigint, event_id bigint, ts timestamp, status string"
+    told = [
+        [(7, 1, 0, "queued"), (7, 2, 1, "queued"), (7, 3, 2, "queued"), (8, 4, 2, "queued")],
+        [(7, 1, 5, "running"), (7, 1, 9, "completed"), (7, 5, 10, "queued"), (7, 6, 11, "queued")],
+        [(7, 7, 902, "queued"), (7, 8, 903, "queued")],  # 2 has expired, 5 has not
     ]
+    batches = [[(o, s, 100 * n + k, at(t), status) for k, (o, s, t, status) in enumerate(b)] for n, b in enumerate(told)]
     got = {r.scan_id: r.admitted for r in run(sl.admit_submissions(stream(spark, tmp_path, batches, schema, "sub")), tmp_path, "t4_sub")}
-    assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False, 7: True, 8: False}
+    want = {1: True, 2: True, 3: False, 4: True, 5: True, 6: False, 7: True, 8: False}
+    assert got == want
+    every = spark.createDataFrame([r for b in batches for r in b], schema)
+    assert {r.scan_id: r.admitted for r in lifecycle.admitted_submissions(every).collect()} == want
+
+
+LIFE = "owner_id bigint, scan_id bigint, event_id bigint, ts timestamp, status string"
+
+
+def life_events(seed, n, owners, seconds):
+    rng = random.Random(seed)
+    kinds = ["queued", "queued", "running", "running", "completed", "failed"]
+    return [(rng.choice(owners), rng.randint(0, n // 6), i, T0 + timedelta(seconds=rng.randint(0, seconds)), rng.choice(kinds)) for i in range(n)]
+
+
+def plainly_admitted(events, limit, waits):
+    open_, out = defaultdict(dict), {}
+    for owner, scan, i, at, status in sorted(events, key=lambda e: (e[3], e[2])):
+        scans = open_[owner]
+        for other in [s for s, (state, since) in scans.items() if at - since > timedelta(seconds=waits[state])]:
+            del scans[other]
+        if status == "queued":
+            out[i] = len(scans) < limit
+            if out[i]:
+                scans[scan] = ("queued", at)
+        elif scan in scans:
+            if status == "running":
+                scans[scan] = ("running", at)
+            else:
+                del scans[scan]
+    return out, open_
+
+
+def plainly_expired(events, waits):
+    """A clock for each scan: an event moves it on only before its time is up."""
+    out = {}
+    for scan in {e[1] for e in events}:
+        state = since = None
+        for at, status in sorted((e[3], e[4]) for e in events if e[1] == scan):
+            if state and at - since > timedelta(seconds=waits[state]):
+                break
+            if status not in waits:
+                state = None
+                break
+            if state is None or (state, status) == ("queued", "running"):
+                state, since = status, at
+        if state:
+            out[scan] = (state, since + timedelta(seconds=waits[state]))
+    return out
+
+
+@pytest.mark.parametrize("rows", [40, 5000])
+def test_batch_admission_of_submissions_equals_the_definition(spark, rows):
+    waits = {"queued": 900, "running": 330}
+    events = life_events(8, 900, [1, 1, 1, 1, 2, 3], 40_000) + [(4, n % 5, 5000 + n, T0 + timedelta(seconds=200 * n), "queued") for n in range(150)]
+    want, _ = plainly_admitted(events, 2, waits)
+    got = {r.event_id: r.admitted for r in lifecycle.admitted_submissions(spark.createDataFrame(events, LIFE), slice_rows=rows).collect()}
+    assert got == want and set(got.values()) == {True, False}
+
+
+@pytest.mark.parametrize("rows", [60])
+def test_a_key_without_a_pause_is_cut_anywhere(spark, rows):
+    """An even pace far above the limit, where what was admitted is never forgotten, and a random one."""
+    rng = random.Random(rows)
+    even = [(n, 1, T0 + timedelta(seconds=3 * n)) for n in range(400)]
+    rough = [(1000 + n, 2, T0 + timedelta(seconds=s)) for n, s in enumerate(sorted(rng.randint(0, 1500) for _ in range(400)))]
+    rough += [(5000 + n, None, at) for n, (_, _, at) in enumerate(rough[:90])]
+    df = spark.createDataFrame(even + rough, "event_id bigint, who bigint, ts timestamp")
+    got = {r.event_id: r.admitted for r in rates.admit_requests(df, "who", 60, 5, slice_rows=rows).collect()}
+    assert got == admitted(even + rough, 60, 5)
+
+
+def test_prefix_sums_equal_the_definition(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), [str(rng.randint(0, 9)), f"{i:03}"], rng.randint(-5, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, k string, place array<string>, v int")
+    got = {r.id: (r.n, r.total) for r in timelines.prefix_sums(df, ["k"], [F.col("place")], {"n": F.lit(1), "total": F.col("v")}, 16).collect()}
+    for i, k, place, _ in rows:
+        upto = [v for _, q, p, v in rows if q == k and p <= place]
+        assert got[i] == (len(upto), sum(upto))
+
+
+def test_expired_scans_equal_the_definition(spark):
+    waits = {"queued": 900, "running": 330}
+    events = life_events(9, 1200, [1], 6_000)
+    df = spark.createDataFrame(events, LIFE)
+    told = {V.STALE_ERROR: "running", V.QUEUE_EXPIRED: "queued"}
+    got = {r.scan_id: (told[r.error_message], r.expired_at - timedelta(milliseconds=1)) for r in lifecycle.expired_scans(df, waits=waits).collect()}
+    want = plainly_expired(events, waits)
+    assert got == want and {s for s, _ in want.values()} == {"queued", "running"}
+    some = {r.scan_id for r in lifecycle.expired_scans(df, T0 + timedelta(seconds=3000), waits).collect()}
+    assert some == {s for s, (_, due) in want.items() if due < T0 + timedelta(seconds=3000)}
+
+
+def test_replayed_streams_equal_their_batch_twins(spark):
+    waits = {"queued": 900, "running": 330}
+    events = life_events(10, 500, [1, 2, 3], 30_000)
+    df = spark.createDataFrame(events, LIFE)
+    done = replay(df, lambda s: sl.admit_submissions(s, waits=waits), portions=3)
+    want, _ = plainly_admitted(events, 2, waits)
+    assert {r.event_id: r.admitted for r in done.rows.collect()} == want
+    last = max(e[3] for e in events) - timedelta(minutes=1)
+    expired = replay(df, lambda s: sl.detect_stale(s, waits=waits))
+    batch = lifecycle.expired_scans(df, last, waits)
+    assert sorted(map(tuple, expired.rows.collect())) == sorted(map(tuple, batch.collect()))
+    kept = sl.state_table(spark, expired.checkpoint, "firsts").select("key.scan_id", "value.settled").collect()
+    assert not {r.scan_id for r in kept if not r.settled} & {r.scan_id for r in expired.rows.collect()}
+    single = replay(df, lambda s: sl.single_runs(s, remember=10**6))
+    assert sorted((r.scan_id, r.event_id) for r in single.rows.collect()) == sorted((r.scan_id, r.event_id) for r in sl.first_deliveries(df).collect())
 
 
 def test_streamed_pipeline_equals_batch(spark, tmp_path):
