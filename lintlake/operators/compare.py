@@ -10,6 +10,7 @@ from lintlake.functions.text import col
 from lintlake.operators import skew
 from lintlake.operators.findings import legacy_key
 from lintlake.operators.priority import issue_payload
+from lintlake.operators.timelines import sliced
 from lintlake.session import materialize
 
 NO_BASELINE = "There is no earlier completed scan of this repository."
@@ -39,20 +40,18 @@ def repository_identity(repos: DataFrame) -> DataFrame:
 def previous_completed_scan(scans: DataFrame, repos: DataFrame) -> DataFrame:
     """For every scan the completed scan of the same owner and repository just before it.
 
-    One repository may hold a large share of all scans, so its time line is
-    ordered day by day; the last completed scan of earlier days is carried
-    over. The baseline's columns travel with it and need no second join.
+    One repository may hold a large share of all scans, also with one date, so
+    its time line is cut into slices of a bounded number of rows; the last
+    completed scan of earlier slices is carried over. The baseline's columns
+    travel with it and need no second join.
     """
     keyed = repos.select("repo_id", "owner_id", repository_key("source_url").alias("repo_key"))
-    timed = (
-        scans.join(keyed, "repo_id")
-        .filter(F.col("repo_key").isNotNull())
-        .withColumn("day", F.to_date("created_at"))
-    )
+    timed = scans.join(keyed, "repo_id").filter(F.col("repo_key").isNotNull())
     wanted = [c for c in ("score", "analysis_version", "source_commit") if c in scans.columns]
     completed = F.when(F.col("status") == "completed", F.struct("scan_id", *wanted))
-    line = ["owner_id", "repo_key"]
-    joined = skew.carried_last(timed, line, "day", ["created_at", "scan_id"], completed, "baseline")
+    line, order = ["owner_id", "repo_key"], ["created_at", "scan_id"]
+    timed = materialize(sliced(timed, line, order), "slices")
+    joined = skew.carried_last(timed, ["_group"], "_slice", order, completed, "baseline")
     return joined.select(
         *scans.columns, *line, F.col("baseline.scan_id").alias("baseline_id"),
         *(F.col(f"baseline.{c}").alias(f"baseline_{c}") for c in wanted),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -13,6 +15,7 @@ from pyspark.sql.types import StructType
 from lintlake import schemas
 from lintlake.functions import values as V
 from lintlake.functions.syntax import Watch, file_facts
+from lintlake.session import materialize
 
 DEFAULT_WATCH = Watch(
     modules=frozenset({"pickle", "_pickle", "yaml"}),
@@ -22,6 +25,9 @@ DEFAULT_WATCH = Watch(
     positional=V.POSITIONAL_LIMIT,
 )
 
+#: Facts of another version are not taken from a store.
+PARSER_VERSION = 1
+KNOWN_FACTS = schemas.FILE_FACTS.removeprefix("snapshot_id BIGINT, path STRING, ")
 FACT_COLUMNS = ("binds", "calls", "strings", "functions", "open_definitions", "exits", "tests", "uses")
 
 
@@ -66,6 +72,37 @@ def extract_facts(files: DataFrame, watch: Watch = DEFAULT_WATCH, wanted: tuple[
     return files.select("snapshot_id", "path", "source", missing.alias("problem")).mapInArrow(parse, schema)
 
 
+def content_facts(files: DataFrame, folder: str, watch: Watch = DEFAULT_WATCH) -> tuple[DataFrame, DataFrame]:
+    """(facts, parsed): the facts of ``files(snapshot_id, path, source[, problem])`` by their content, and what had to be parsed.
+
+    Facts depend on nothing but the source and the watch list, so those of
+    earlier scans lie in ``folder`` by a digest of both. Of contents that are
+    not there yet one file each is parsed and its facts are added; all others,
+    copies in one snapshot too, take them by a join of digests. Sources are
+    hashed where they are read, and only those to be parsed travel further.
+    A repeated batch adds the same facts again, which changes nothing.
+    """
+    problem = F.col("problem") if "problem" in files.columns else F.lit(None).cast("string")
+    made = hashlib.sha256(repr((PARSER_VERSION, [sorted(v) if isinstance(v, frozenset) else v for v in watch])).encode()).hexdigest()
+    digest = F.sha2(F.concat_ws("|", F.lit(made), F.coalesce(problem, F.lit("")), F.coalesce("source", F.lit("-"))), 256)
+    hashed = files.withColumn("digest", digest)
+    places = materialize(hashed.select("snapshot_id", "path", "digest"), "places")
+    try:
+        known = files.sparkSession.read.schema(f"digest string, {KNOWN_FACTS}").parquet(f"{folder}/facts").dropDuplicates(["digest"])
+        missing = places.join(known.select("digest"), "digest", "left_anti")
+    except AnalysisException:  # the first scan
+        known, missing = None, places
+    todo = missing.groupBy("digest").agg(F.min(F.struct("snapshot_id", "path")).alias("at")).select("digest", "at.*")
+    todo = materialize(todo, "unknown")
+    picked = files.join(todo.drop("digest"), ["snapshot_id", "path"], "left_semi")
+    fresh = materialize(extract_facts(picked, watch).join(todo, ["snapshot_id", "path"]).drop("snapshot_id", "path"), "fresh")
+    if not todo.isEmpty():
+        fresh.write.mode("append").parquet(f"{folder}/facts")
+    every = fresh if known is None else known.unionByName(fresh)
+    columns = [f.name for f in StructType.fromDDL(schemas.FILE_FACTS).fields]
+    return places.join(every, "digest").select(*columns), todo.select("snapshot_id", "path")
+
+
 def parse_status(facts: DataFrame) -> DataFrame:
     """which files could be parsed, and why not."""
     return facts.select("snapshot_id", "path", "ok", "error")

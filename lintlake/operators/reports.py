@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import values as V
 from lintlake.functions.text import col, severity_rank
+from lintlake.operators import timelines
 from lintlake.operators.lifecycle import expire_stale
 from lintlake.operators.priority import top_issues
 from lintlake.operators.scoring import file_hotspots
-from lintlake.operators.skew import first_n
+from lintlake.operators.skew import PUSHED_LIMIT, first_n
 
 ALL = "all"
 
@@ -80,7 +81,9 @@ def scan_history(
 ) -> DataFrame:
     """Q4: one page of each owner's scans, newest first, with the total before paging.
 
-    Totals are counted apart, and issues only for the scans on a page. With
+    Totals are counted apart, and issues only for the scans on a page. An early
+    page is limited on the map side; of a late one only the ranges of an
+    owner's time line that it touches are sorted. With
     ``now``, scans that have waited or run too long by then are shown as failed.
     """
     scans = scans if now is None else expire_stale(scans, now)
@@ -92,8 +95,11 @@ def scan_history(
     if status is not None:
         owned = owned.filter(F.col("status") == status)
     totals = owned.groupBy("owner_id").agg(F.count(F.lit(1)).alias("total"))
-    page = first_n(owned, ["owner_id"], [F.desc("created_at"), F.desc("scan_id")], offset + limit, "position")
-    page = page.filter(F.col("position") > offset)
+    order = [F.desc("created_at"), F.desc("scan_id")]
+    if offset + limit <= PUSHED_LIMIT:
+        page = first_n(owned, ["owner_id"], order, offset + limit, "position").filter(F.col("position") > offset)
+    else:
+        page = timelines.page(owned, ["owner_id"], order, offset, limit, "position")
     counted = issues.join(page.select("scan_id"), "scan_id", "left_semi").groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("issue_count")
     )

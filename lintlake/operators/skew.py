@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintlake.operators.timelines import page
+
 # Spark itself drops rows beyond the limit before the shuffle up to this size.
 PUSHED_LIMIT = 1_000
-SALTS = 64
 SLICE_ROWS = 100_000
 
 
@@ -20,15 +21,12 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, out: st
     """The first ``n`` rows of every group, numbered from 1 in ``out``.
 
     ``order`` must be total. Up to ``PUSHED_LIMIT`` the optimiser limits each
-    group on the map side; above it the same is done in two steps, first per
-    salted part of a group, then over what is left of it.
+    group on the map side; above it the group is cut into ranges that are
+    counted, and only the first of them are numbered.
     """
-    whole = Window.partitionBy(*keys).orderBy(*order)
     if n > PUSHED_LIMIT:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
-        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = df.withColumn("_salt", salt).withColumn(out, F.row_number().over(part))
-        df = df.filter(F.col(out) <= n).drop("_salt")
+        return page(df, keys, order, 0, n, out)
+    whole = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(whole)).filter(F.col(out) <= n)
 
 

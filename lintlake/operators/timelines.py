@@ -95,7 +95,7 @@ class OpenScans:
         return json.dumps(sorted([scan, *rest] for scan, rest in scans.items())) if scans else ""
 
 
-def sliced(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None) -> DataFrame:
+def sliced(df: DataFrame, keys: list[str], order: list[str | Column], rows: int | None = None) -> DataFrame:
     """Adds ``_group``, a name of the keys (null is a key like others), and ``_slice``; sorted inside a slice.
 
     The slices of a group follow each other in ``order`` and hold about
@@ -220,3 +220,19 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict[
     carried = totals.select(*SLICED, *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums))
     running = placed.withColumns({n: F.sum(f"_v_{n}").over(inside) for n in sums}).join(carried, list(SLICED))
     return running.select(*df.columns, *((F.col(n) + F.col(f"_c_{n}")).alias(n) for n in sums))
+
+
+def page(df: DataFrame, keys: list[str], order: list[Column], offset: int, limit: int, out: str) -> DataFrame:
+    """Rows ``offset`` + 1 to ``offset`` + ``limit`` of every key in ``order``, numbered in ``out``.
+
+    ``order`` is total. Slices are counted, and only those that the page
+    touches are numbered, so a deep page costs no more than the first one.
+    """
+    placed = materialize(sliced(df, keys, order), "slices")
+    counts = placed.groupBy(*SLICED).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    touched = counts.where((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_n") > offset)).drop("_n")
+    inside = Window.partitionBy(*SLICED).orderBy(*order)
+    found = placed.join(touched, list(SLICED)).withColumn(out, (F.row_number().over(inside) + F.col("_before")).cast("int"))
+    return found.where((F.col(out) > offset) & (F.col(out) <= offset + limit)).select(*df.columns, out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 from lintlake import schemas
 from lintlake.functions import values as V
 from lintlake.functions.text import source_text
-from lintlake.operators import compare, facts, findings, lifecycle, priority, reports, reviews, rules, scoring
+from lintlake.operators import compare, facts, findings, lifecycle, priority, reports, reviews, rules, scoring, table_rules
 from lintlake.plans.fixtures import table, view
 from lintlake.plans.pipeline import findings_of
-from lintlake.session import materialize, tune
+from lintlake.session import materialize, shared_folder, tune
 from lintlake.sources import files as files_
 from lintlake.sources import tables as tables_
 from lintlake.streaming import lifecycle as stream_life
@@ -299,6 +300,17 @@ def _(spark, folder):
     return place(found, "category")
 
 
+@query("r12_sql_rule")
+def _(spark, folder):
+    """The same from SQL: a rule as a table function over ordered partitions of the calls."""
+    table_rules.register(spark, "repeated_calls", table_rules.RepeatedCalls)
+    called = materialize(facts.calls(parsed(spark, folder)), "calls")
+    found = spark.sql(
+        "SELECT * FROM repeated_calls(TABLE(SELECT * FROM {called}) PARTITION BY (snapshot_id, qualified_name) ORDER BY (path, line, col), allowed => 2)", called=called
+    )
+    return place(found, "category", "title", "message")
+
+
 @query("r13_finding_guard")
 def _(spark, folder):
     return rules.finding_guard(raw_findings(spark, folder), limit=5)
@@ -587,6 +599,14 @@ def _(spark, folder):
     )
 
 
+@query("q4_deep_history")
+def _(spark, folder):
+    """A late page of one owner who has all scans."""
+    owned = repos(spark, folder).withColumn("owner_id", F.lit(0).cast("long"))
+    page = reports.scan_history(scans(spark, folder), owned, stored_issues(spark, folder), limit=500, offset=9_000)
+    return page.select("owner_id", "position", "scan_id", "status", "issue_count", "total")
+
+
 @query("q4_fresh_history")
 def _(spark, folder):
     """The failed scans, those included that have waited or run too long."""
@@ -786,6 +806,24 @@ def _(spark, folder):
     return held.where(F.col("since") + F.make_dt_interval(secs=wait) >= until)
 
 
+@query("t5_rescan")
+def _(spark, folder):
+    """All source snapshots, and again with one file in ten changed: the findings, and which files were parsed again."""
+    first = sources(spark, folder)
+    changed = F.col("path").endswith("0.py")
+    again = first.select(
+        (F.col("snapshot_id") + 1_000_000).alias("snapshot_id"), "path",
+        F.when(changed, F.concat("source", F.lit("\n# changed in "), "path", F.lit("\n"))).otherwise(F.col("source")).alias("source"),
+    )
+    store = f"{shared_folder(spark)}/lintlake-{spark.sparkContext.applicationId}/known-{uuid.uuid4().hex}"
+    facts.content_facts(first, store)
+    known, parsed_again = facts.content_facts(again, store)
+    _, found, _ = findings_of(materialize(known, "facts"))
+    mark = parsed_again.select(F.col("snapshot_id").alias("scan_id"), F.col("path").alias("file_path"), F.lit(True).alias("parsed_again"))
+    marked = found.join(mark, ["scan_id", "file_path"], "left").withColumn("parsed_again", F.coalesce("parsed_again", F.lit(False)))
+    return place(marked, "category", "parsed_again")
+
+
 @query("t5_request_stream")
 def _(spark, folder):
     """Scans of all source snapshots, requested one after the other, and what is stored of them."""

@@ -179,8 +179,13 @@ def needed(body: str) -> list[str]:
 
 
 def oracle(name: str, body: str) -> None:
+    """A text with the tables that it uses before it; what more than one place reads is computed once."""
+    import re
+
     ctes = needed(body)
-    prefix = "WITH " + ",\n".join(f"{c} AS ({CTES[c]})" for c in ctes) + "\n" if ctes else ""
+    whole = "\n".join([body, *(CTES[c] for c in ctes)])
+    several = {c for c in ctes if len(re.findall(rf"\b(?:FROM|JOIN)\s+{c}\b", whole)) > 1}
+    prefix = "WITH " + ",\n".join(f"{c} AS {'MATERIALIZED ' * (c in several)}({CTES[c]})" for c in ctes) + "\n" if ctes else ""
     ORACLES[name] = prefix + body.strip()
 
 
@@ -251,6 +256,10 @@ oracle("r12_run_rules", f"SELECT {PLACE}, category FROM found")
 oracle("r12_custom_rule", """
 SELECT snapshot_id AS scan_id, path AS file_path, CAST(1 AS INTEGER) AS line, 'custom.no-arguments' AS rule_id, 'info' AS severity, 'style' AS category
 FROM source WHERE t = 6""")
+oracle("r12_sql_rule", """
+SELECT snapshot_id AS scan_id, path AS file_path, line, 'custom.repeated-call' AS rule_id, 'info' AS severity, 'style' AS category,
+ 'Repeated call of ' || qualified_name AS title, 'Call number ' || CAST(k AS VARCHAR) || '.' AS message
+FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, qualified_name ORDER BY path, line, col) AS k FROM called WHERE qualified_name IS NOT NULL) WHERE k > 2""")
 oracle("r13_finding_guard", "SELECT scan_id, count(*) AS n_findings, count(*) > 5 AS over_limit FROM raw GROUP BY 1")
 
 # --- normalisation, masking, identity ---
@@ -370,6 +379,10 @@ SELECT owner_id, CAST(position AS INTEGER) AS position, h.scan_id, source_url AS
  (SELECT count(*) FROM issues i WHERE i.scan_id = h.scan_id) AS issue_count, total
 FROM (SELECT s.*, owner_id, source_url, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, scan_id DESC) AS position, count(*) OVER (PARTITION BY owner_id) AS total
  FROM scans s JOIN repos USING (repo_id) WHERE status = 'completed') h WHERE position > 10 AND position <= 30""")
+oracle("q4_deep_history", """
+SELECT CAST(0 AS BIGINT) AS owner_id, CAST(position AS INTEGER) AS position, h.scan_id, status, coalesce(n, 0) AS issue_count, total
+FROM (SELECT s.*, row_number() OVER (ORDER BY created_at DESC, scan_id DESC) AS position, count(*) OVER () AS total FROM scans s JOIN repos USING (repo_id)) h
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM issues GROUP BY 1) i ON i.scan_id = h.scan_id WHERE position > 9000 AND position <= 9500""")
 oracle("q4_fresh_history", f"""
 SELECT owner_id, CAST(position AS INTEGER) AS position, scan_id, stage, finished_at, total FROM (
  SELECT scan_id, owner_id, stage, finished_at, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, scan_id DESC) AS position, count(*) OVER (PARTITION BY owner_id) AS total
@@ -481,6 +494,7 @@ oracle("t4_open_scans", OPEN + f"""
 SELECT owner_id, x.scan AS scan_id, x.status AS status, x.since AS since
 FROM (SELECT owner_id, unnest(arg_max(open, n)) AS x FROM walk GROUP BY owner_id)
 WHERE x.since + CASE x.status WHEN 'queued' THEN INTERVAL {OWNER_WAITS['queued']} SECOND ELSE INTERVAL {OWNER_WAITS['running']} SECOND END >= (SELECT max(ts) - INTERVAL 1 MINUTE FROM o)""")
+oracle("t5_rescan", "SELECT scan_id + 1000000 AS scan_id, file_path, line, rule_id, severity, category, file_path LIKE '%0.py' AS parsed_again FROM found")
 oracle("t5_request_stream", "SELECT scan_id, 'completed' AS status, file_path, line, rule_id, severity FROM found")
 oracle("t3_trailing_rate", f"""
 SELECT event_id, user_id, recent, recent > {RATE['limit']} AS over_limit FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import values as V
 from lintlake.operators import rules as rules_
-from lintlake.operators.facts import extract_facts
+from lintlake.operators.facts import content_facts, extract_facts
 from lintlake.operators.findings import (
     accepted, comparison_keys, deduplicate, mask_known_secrets, normalize_findings, stamp_version, to_issues,
 )
@@ -76,19 +76,21 @@ def coverage_of(files: DataFrame, facts: DataFrame) -> DataFrame:
     return both.withColumn("left_out", F.col("files") - F.col("parsed") - F.col("failed"))
 
 
-def analyze_snapshots(files: DataFrame, rules: dict = rules_.RULES, limits: Limits = Limits()) -> Analysis:
+def analyze_snapshots(files: DataFrame, rules: dict = rules_.RULES, limits: Limits = Limits(), known: str | None = None) -> Analysis:
     """Analyse a table ``files(snapshot_id, path, length, content)``.
 
     The content is read and parsed in the same task and never shuffled; from
     then on only facts and findings move. Inventory and workload read the
     narrow columns of the same table. Without ``limits`` every Python file is
     analysed; a file too large or unreadable is a row of the facts with its
-    problem, and counts as failed in ``coverage``.
+    problem, and counts as failed in ``coverage``. With a folder of ``known``
+    facts only contents that no scan with that folder has seen are parsed.
     """
     inventory = python_files(files)
     if limits.inventory:
         inventory = bounded_inventory(files, **limits.inventory)
-    facts = materialize(extract_facts(with_source(inventory, limits.file_bytes)), "facts")
+    readable = with_source(inventory, limits.file_bytes)
+    facts = materialize(extract_facts(readable) if known is None else content_facts(readable, known)[0], "facts")
     guard, findings, failed = findings_of(facts, rules, limits.max_findings)
     return Analysis(workload(inventory.filter(is_eligible(limits.file_bytes))), facts, guard, findings, coverage_of(files, facts), failed)
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from lintlake import schemas
 from lintlake.functions import values as V
-from lintlake.operators import lifecycle, skew, timelines
+from lintlake.operators import lifecycle, skew, table_rules, timelines
+from lintlake.operators.facts import DEFAULT_WATCH, content_facts, extract_facts
 from lintlake.plans.pipeline import Limits, analyze_snapshots, analyze_trees, finish_scans
 from lintlake.sources import tables as tb
+from lintlake.sources.files import python_files, with_source
 from lintlake.streaming import lifecycle as sl
 from lintlake.streaming import rates
 from lintlake.streaming.pipeline import analyze_requests, write_files
@@ -420,3 +422,37 @@ def test_rescans_and_reviews(spark):
     told = {r.fingerprint: r.ai_explanation for r in issues.where("scan_id = 1").collect()}
     assert "Because it matters." in told[one.fingerprint] and sum(v is not None for v in told.values()) == 1
     assert scans.first().estimated_max_seconds > 45
+
+
+def test_unchanged_contents_are_not_parsed_again(spark, tmp_path):
+    folder, shift = str(tmp_path / "known"), lambda n: {(s + n, p): t for (s, p), t in SOURCES.items()}
+    full = extract_facts(with_source(python_files(files(spark, SOURCES))))
+    pick = lambda df, n=0: sorted(str((r.snapshot_id - n, *r[1:])) for r in df.collect())
+    first, parsed = content_facts(with_source(python_files(files(spark, SOURCES))), folder)
+    assert pick(first) == pick(full)
+    assert parsed.count() == len({t for (_, p), t in SOURCES.items() if "node_modules" not in p})
+    again, parsed = content_facts(with_source(python_files(files(spark, shift(10)))), folder)
+    assert parsed.count() == 0 and pick(again, 10) == pick(full)
+    changed = shift(20) | {(21, "app.py"): "eval(x)\n", (21, "copy.py"): "eval(x)\n"}
+    third, parsed = content_facts(with_source(python_files(files(spark, changed))), folder)
+    assert [(r.snapshot_id, r.path) for r in parsed.collect()] == [(21, "app.py")]
+    assert pick(third) == pick(extract_facts(with_source(python_files(files(spark, changed)))))
+    other, parsed = content_facts(with_source(python_files(files(spark, SOURCES))), folder, DEFAULT_WATCH._replace(modules=frozenset({"os"})))
+    assert parsed.count() > 0  # another watch list has facts of its own
+    done = analyze_snapshots(files(spark, shift(30)), known=folder)
+    found = lambda d, n=0: sorted((r.scan_id - n, r.fingerprint, r.comparison_key) for r in d.findings.collect())
+    assert found(done, 30) == found(analyze_snapshots(files(spark, SOURCES)))
+
+
+def test_rules_as_table_functions(spark):
+    rows = [(1, f"{p}.py", n, 0, name) for n, name in enumerate(["a.f", "a.f", None, "a.g", "a.f"]) for p in "ba"]
+    calls = spark.createDataFrame(rows, "snapshot_id bigint, path string, line int, col int, qualified_name string")
+    table_rules.register(spark, "again_called", table_rules.RepeatedCalls)
+    asked = "SELECT * FROM again_called(TABLE(SELECT * FROM {calls}) PARTITION BY snapshot_id ORDER BY (path, line)"
+    found = spark.sql(f"{asked}, allowed => 4)", calls=calls)
+    assert found.columns == table_rules.COLUMNS
+    assert [(r.file_path, r.line, r.rule_id, r.message) for r in found.orderBy("line").collect()] == [("b.py", 1, "custom.repeated-call", "Call number 5."), ("b.py", 4, "custom.repeated-call", "Call number 6.")]
+    assert spark.sql(f"{asked})", calls=calls).count() == 6
+    for bad in ("SELECT * FROM again_called(TABLE(SELECT 1 AS x))", f"{asked}, other => 1)"):
+        with pytest.raises(Exception, match="needs the columns|has no setting"):
+            spark.sql(bad, calls=calls).collect()
