@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions import values as V
-from lintlake.functions.text import bound, col, hashed, lines, mask_steps, path_parts, redact, severity_rank, snippet
+from lintlake.functions.text import bound, col, hashed, lines, mask_steps, path_parts, redact, severity_rank
 
 
 def normalize_severity(severity: Column | str) -> Column:
@@ -83,23 +83,25 @@ def mask_known_secrets(findings: DataFrame) -> DataFrame:
 def attach_snippet(findings: DataFrame, files: DataFrame, radius: int = V.SNIPPET_RADIUS) -> DataFrame:
     """Numbered source lines around each finding, from ``files(snapshot_id, path, source)``.
 
-    The wanted lines of a file are gathered first (at most one per source
-    line), so the text meets one row per file and not one per finding.
+    Lines (F8) and findings meet in bins of lines, each finding in the one or
+    two that its lines lie in, so only lines travel, cut to their shown length,
+    and one with a finding in another part of its file is dropped where it
+    meets it. A finding without a line, or with none of the source near it,
+    has no snippet.
     """
-    wanted = (
-        findings.filter(F.col("line").isNotNull())
-        .groupBy(F.col("scan_id").alias("snapshot_id"), F.col("file_path").alias("path"))
-        .agg(F.collect_set("line").alias("wanted"))
+    width = 2 * radius + 1
+    cell = lambda at: F.floor(at / width)
+    shown = source_lines(files).select(
+        F.col("snapshot_id").alias("scan_id"), F.col("path").alias("file_path"), "line_no",
+        F.substring("text", 1, V.SNIPPET_LINE_CHARS).alias("text"), cell(F.col("line_no")).alias("bin"),
     )
-    cut = (
-        files.join(wanted, ["snapshot_id", "path"])
-        .select(F.col("snapshot_id").alias("scan_id"), F.col("path").alias("file_path"), lines("source").alias("l"), "wanted")
-        .select("scan_id", "file_path", F.explode(F.transform(
-            "wanted", lambda n: F.struct(n.alias("line"), snippet("l", n, radius).alias("snippet"))
-        )).alias("s"))
-        .select("scan_id", "file_path", "s.line", "s.snippet")
-    )
-    return findings.drop("snippet").join(cut, ["scan_id", "file_path", "line"], "left")
+    at = ["scan_id", "file_path", "line"]
+    wanted = findings.filter(F.col("line").isNotNull()).select(*at).distinct()
+    wanted = wanted.withColumn("bin", F.explode(F.array_distinct(F.array(cell(F.col("line") - radius), cell(F.col("line") + radius)))))
+    near = shown.join(wanted, ["scan_id", "file_path", "bin"]).filter(F.abs(F.col("line_no") - F.col("line")) <= radius)
+    cut = near.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("near"))
+    numbered = F.transform("near", lambda r: F.format_string("%4d | %s", r["line_no"], r["text"]))
+    return findings.drop("snippet").join(cut.select(*at, redact(F.array_join(numbered, "\n")).alias("snippet")), at, "left")
 
 
 def source_lines(files: DataFrame) -> DataFrame:

@@ -143,3 +143,19 @@ def test_read_source_tree(spark, tree):
 def test_resource_audit_limits_are_exclusive(spark, paths, bytes_, entries, want):
     files = spark.createDataFrame([(1, p, n) for p, n in paths], "snapshot_id bigint, path string, length bigint")
     assert fl.resource_audit(files, bytes_, entries).first().outcome == want
+
+
+def test_snippets_by_bins_equal_those_of_whole_files(spark):
+    rng = random.Random(41)
+    line = lambda: rng.choice(["", "x = 1", "password = 'abc'", "long " * 150, "é\tü", "token = \"a", "b\""])
+    files = [(s, f"f{k}.py", "\n".join(line() for _ in range(rng.choice([0, 1, 3, 30, 200]))) + rng.choice(["", "\n"])) for s in (1, 2) for k in range(5)]
+    found = [(i, rng.choice([1, 2]), f"f{rng.randint(0, 4)}.py", rng.choice([None, 1, 2, 3, rng.randint(1, 200), rng.randint(1, 30)])) for i in range(300)]
+    df = spark.createDataFrame(files, "snapshot_id bigint, path string, source string")
+    fdf = spark.createDataFrame(found, "id int, scan_id bigint, file_path string, line int").withColumn("snippet", F.lit("old"))
+    done = fi.attach_snippet(fdf, df)
+    whole = fdf.join(df.withColumnsRenamed({"snapshot_id": "scan_id", "path": "file_path"}), ["scan_id", "file_path"])
+    want = {r.id: r.s or None for r in whole.select("id", tx.snippet(tx.lines("source"), "line").alias("s")).collect()}
+    assert {r.id: r.snippet or None for r in done.collect()} == want and any(v and "redacted" in v for v in want.values())
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    joined = [row for row in plan.split("\n") if "Join" in row]
+    assert joined and not any("source" in row for row in joined)
