@@ -101,7 +101,8 @@ def mix(
     times the size; ``parts`` lists them as (start, words) of each copy.
 
     Null texts have no words and are never taken. Null ids and repeated rows
-    are documents like others. An empty table gives an empty result. Only the
+    are documents like others; the order inside a shard is by a hash of the
+    whole row and the number of its copy, so it does not depend on partitions. An empty table gives an empty result. Only the
     three named columns are read. The table of sources (one row each) and the
     shards of one source (one row for about a million words) are small tables
     that one task holds; documents are never gathered beyond one shard.
@@ -111,6 +112,8 @@ def mix(
         F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_md5"),
     )
+    # equal rows are counted first and told apart by a number, so that ids and texts which repeat, or no ids, spread like others
+    own = own.groupBy(*own.columns).agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
     own = materialize(own.withColumn("key", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))), "sizes")
 
     sums = own.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
@@ -118,14 +121,14 @@ def mix(
     shards = F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("rows") / SHARD_ROWS), F.lit(1))
     wanted = materialize(wanted.select("key", "source_size", "target", "quota", shards.alias("shards")), "sources")
 
-    place = F.xxhash64("doc_id", F.lit(seed))
+    place = F.xxhash64("doc_id", "text_md5", "copy", F.lit(seed))
     dealt = own.join(wanted, "key").withColumn("order", place).withColumn("shard", F.pmod(F.xxhash64("order"), F.col("shards")))
     cells = dealt.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.min("quota").alias("quota"))
     cells = cells.groupBy("key").applyInPandas(_cells, "key string, shard long, words long, blocks long")
     cells = cells.withColumn("take", F.least(F.col("blocks") * block_words, F.col("words") * repeats))
     cells = cells.withColumn("begin", F.when(F.col("words") > 0, F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.col("words"))).otherwise(F.lit(0)))
 
-    ahead = Window.partitionBy("key", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("key", "shard").orderBy("order", "doc_id", "text_md5", "copy").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("at", F.sum("size").over(ahead) - F.col("size")).join(cells.select("key", "shard", "words", "take", "begin"), ["key", "shard"])
     # Counted from the begin of the run, the document covers [at, at + size), which may pass the end of the shard once.
     words = F.greatest("words", F.lit(1))

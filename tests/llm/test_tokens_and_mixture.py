@@ -265,3 +265,15 @@ def test_mixture(corpus, texts, empty, monkeypatch):
             assert r.taken <= 2 * r.size and sum(p.words for p in r.parts) == r.taken
             assert all(0 <= p.start and p.start + p.words <= r.size for p in r.parts)
     assert mix(empty).count() == 0
+
+
+def test_mixture_does_not_depend_on_partitions(spark, monkeypatch):
+    """One id, or none, for rows of one size and different texts, and a row that repeats; shards stay even."""
+    from lintlake.llm import mixing
+
+    rows = [(7, f"w{i} " * 12, "a") for i in range(300)] + [(None, f"v{i} " * 12, "a") for i in range(300)]
+    rows += [(8, "same " * 12, "a")] * 200 + [(100 + i, "x " * (i % 9), "b") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1000)
+    seen = [Counter(tuple(map(str, r)) for r in mix(docs.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert seen[0] == seen[1] == seen[2] and sum(seen[0].values()) == len(rows)
