@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from lintlake.llm.common import classes
 from lintlake.llm.fingerprints import Lexicon, _once, band, fingerprints
-from lintlake.llm.jaccard import Forest, ngram_join
+from lintlake.llm.jaccard import Forest, near_rows, ngram_join
 from lintlake.llm import suffix_dedup as operator
 from lintlake.llm.suffix_dedup import IndexFamily, suffix_dedup
 
@@ -108,10 +108,50 @@ def test_large_parts_are_compared_in_blocks(spark, monkeypatch):
     assert got == jaccard_brute(rows)
 
 
-def test_prefixes_are_shortened_to_the_target_recall():
+def test_depths_reach_the_target_recall():
     forest = Forest(20, 8, 0.999)
-    d = forest.depth(0.8)
-    assert 1 - (1 - 0.8**d) ** 20 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
+    found = lambda s, d: 1 - (1 - s**d) ** 20
+    assert found(0.8, forest.depth(0.8)) >= 0.999 > found(0.8, forest.depth(0.8) + 1)
+    depths = forest.depths(0.8)
+    assert depths[:3] == [9, 9, 9]  # three shingles or fewer: only equal sets are that much alike
+    assert depths[3] == forest.depth(0.8) and depths[-1] == forest.depth(0.8) and depths[5] == forest.depth(5 / 6)
+
+
+def test_prefixes_are_shortened_only_where_needed(spark, monkeypatch):
+    """Pairs of falling likeness meet at falling lengths; each part is compared when a length has joined it, and no more."""
+    from lintlake.llm import jaccard
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        words = [f"w{i}x{k}" for k in range(60)]
+        rows.append((2 * i, " ".join(words)))
+        for _ in range(1 + i % 2 if i < 100 else 0):
+            words[rng.randrange(60)] = "other"
+        rows.append((2 * i + 1, " ".join(words)))
+    seen = []
+    own = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda members, *more: (seen.append({r.node for r in members.select("node").collect()}), own(members, *more))[1])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == jaccard_brute(rows)
+    assert len(seen) > 1 and len(seen[0]) > 100 and sum(map(len, seen[1:])) < len(seen[0])
+
+
+def test_rows_without_ids_and_with_repeated_ids_are_compared_by_text(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(4)
+    text = lambda: [f"t{rng.randrange(10**6)}" for _ in range(80)]
+    near = lambda w: [*w[:70], "changed", *w[71:]]
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (2, near(a)), (5, b), (5, near(a)), (5, c), (None, near(b)), (None, d), (None, near(d)), (None, d), (9, c), (7, []), (7, [])]
+    docs = spark.createDataFrame([(i, " ".join(w), "x", k) for k, (i, w) in enumerate(rows)], "doc_id long, text string, source string, n_chars int").repartition(4)
+    found = {(r.row.split("/")[0], r.class_id, r.n_links) for r in near_rows(docs).collect()}
+    assert found == {("1", 1, 2), ("2", 1, 2), ("5", 1, 2), ("5", 5, 1), ("-", 5, 1), ("-", None, 1), ("9", 5, 1), ("7", 7, 0)}
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join(docs).collect()} == {1: (1, 2), 2: (1, 2), 5: (1, 3), 9: (5, 1), 7: (7, 0)}
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in pipeline.near_copies(spark, docs, "").collect())
+    assert [k[:2] for k in kept] == [(False, 1), (False, 5), (False, 5), (False, 7), (True, 0)]
+    assert {k[2] for k in kept} >= {" ".join(a), " ".join(b), " ".join(c), ""} and kept[-1][2] in (" ".join(d), " ".join(near(d)))
 
 
 def test_classes_of_chains_and_stars(spark):
