@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import read
-from lintlake.llm.jaccard import ngram_join
+from lintlake.llm.jaccard import near_rows, row_name
 from lintlake.llm.mixing import mix
 from lintlake.llm.packing import pack_documents
 from lintlake.llm.quality import quality_rules
@@ -51,13 +51,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays.
+    """Of each class of near copies the row with the smallest id stays; of equal ids the smallest text by its hash.
 
-    Repeated rows of it are left as one row; rows without an id are in no class and stay.
+    Decisions are on rows, not on ids: rows without an id are compared as well
+    (any id comes before none), and a text is not judged by another one with
+    its id. Repeated rows are left as one row. Texts without words are in no
+    class; of their repeated rows one stays.
     """
-    first = ngram_join(docs).where("doc_id = class_id").select("doc_id")
-    stay = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return stay.unionByName(docs.where("doc_id IS NULL"))
+    found = near_rows(docs)
+    best = found.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
+    kept = best.select("best.row").unionByName(found.where("class IS NULL").select("row"))
+    named = docs.withColumn("_near_row", row_name("doc_id", "text"))
+    kept = kept.withColumnRenamed("row", "_near_row")
+    return named.join(kept, "_near_row", "left_semi").dropDuplicates(["_near_row"]).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
