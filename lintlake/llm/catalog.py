@@ -146,12 +146,13 @@ ORACLES: dict[str, str] = {
             xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32
         FROM bytes d JOIN dealt x ON x.doc_id = coalesce(d.doc_id, -1), tab""",
     "op5_perspectives": r"""
-        WITH m AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text, coalesce(turn // 256, -1) AS part FROM conversations),
+        WITH m AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text,
+            (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1) // 256 AS part FROM conversations),
         p AS (SELECT DISTINCT conv_id, role AS perspective FROM m WHERE role IS NOT NULL AND role <> 'system'),
         h AS (
             SELECT m.*, perspective, role IS NOT DISTINCT FROM perspective AS mine,
                 CASE WHEN role IS NULL THEN '<|user|>' WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>'
-                    ELSE '<|user name=' || replace(role, '<|', '< |') || '|>' END || chr(10) AS head
+                    ELSE '<|user name=' || translate(replace(replace(role, '<|', '< |'), '|>', '| >'), chr(13) || chr(10), '  ') || '|>' END || chr(10) AS head
             FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
         t AS (SELECT *, head || text || '<|end|>' || chr(10) AS shown FROM h),
         w AS (SELECT *, (sum(length(shown)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM t),

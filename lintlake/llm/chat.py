@@ -8,9 +8,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintlake.llm.sharding import numbered
+
 
 class Template(NamedTuple):
-    """What stands around a message; ``{name}`` is the speaker. Openers inside messages and names are broken up."""
+    """What stands around a message; ``{name}`` is the speaker.
+
+    Openers inside messages and names are broken up, in names closers and line breaks too.
+    """
 
     assistant: str = "<|assistant|>\n"
     user: str = "<|user name={name}|>\n"
@@ -19,21 +24,27 @@ class Template(NamedTuple):
     end: str = "<|end|>\n"
     opener: str = "<|"
     broken: str = "< |"
+    closer: str = "|>"
+    shut: str = "| >"
 
 
 def _safe(value: Column, template: Template) -> Column:
     return F.replace(F.coalesce(value, F.lit("")), F.lit(template.opener), F.lit(template.broken))
 
 
+def _name(role: Column, template: Template) -> Column:
+    return F.translate(F.replace(_safe(role, template), F.lit(template.closer), F.lit(template.shut)), "\r\n", "  ")
+
+
 def _header(role: Column, perspective: Column, template: Template, narrators: Sequence[str]) -> Column:
     before, _, after = template.user.partition("{name}")
     return (
         F.when(role.isNull(), template.nameless).when(role.isin(*narrators), template.narrator).when(role == perspective, template.assistant)
-        .otherwise(F.concat(F.lit(before), _safe(role, template), F.lit(after)))
+        .otherwise(F.concat(F.lit(before), _name(role, template), F.lit(after)))
     )
 
 
-def rotate_perspectives(turns: DataFrame, template: Template = Template(), narrators: Sequence[str] = ("system",), part_turns: int = 256) -> DataFrame:
+def rotate_perspectives(turns: DataFrame, template: Template = Template(), narrators: Sequence[str] = ("system",), part_messages: int = 256) -> DataFrame:
     """Every dialogue once for each participant: conv_id, perspective, part, n_messages, offset, text, masks.
 
     Participants are the roles of a conversation but the narrators. Seen by one
@@ -42,17 +53,19 @@ def rotate_perspectives(turns: DataFrame, template: Template = Template(), narra
     what is trained on, in code points of ``text``: the assistant's messages
     with their end marks, without headers.
 
-    A long dialogue comes in parts of ``part_turns`` turn numbers, so that no
-    task holds a whole one; ``offset`` is where the part's text begins in the
-    whole rendering. Messages go by turn, then role, then text, nulls first, and
-    repeated rows stay; messages of one turn number share a part. Null turns
-    are part -1; null texts are empty messages; a null role speaks as a user
-    without a name and is no participant; null conversation ids are one
-    conversation. Conversations without participants and empty tables give no
-    rows. Only the four named columns are read.
+    A long dialogue comes in parts of ``part_messages`` messages, so that no
+    task holds a whole one, whatever its turn numbers are; ``offset`` is where
+    the part's text begins in the whole rendering. Messages go by turn, then
+    role, then text, nulls first, and repeated rows stay. Null texts are empty
+    messages; a null role speaks as a user without a name and is no
+    participant; null conversation ids are one conversation. Conversations
+    without participants and empty tables give no rows. Only the four named
+    columns are read.
     """
     own = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    own = own.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long"))
+    named = own.withColumn("_conversation", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("-")))
+    own = numbered(named, "_conversation", ["turn", "role", "text"], "part").drop("_conversation")
+    own = own.withColumn("part", F.expr(f"part div {int(part_messages)}"))
     speakers = own.where(F.col("role").isNotNull() & ~F.col("role").isin(*narrators)).select(F.col("conv_id").alias("_conv"), F.col("role").alias("perspective")).distinct()
     parts = own.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
     seen = parts.join(speakers, parts["conv_id"].eqNullSafe(speakers["_conv"])).drop("_conv")
