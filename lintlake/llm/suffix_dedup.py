@@ -38,6 +38,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from lintlake.llm.common import parts
 
 BATCH_BYTES = 16 << 20
+#: Batches that rows with one id and text are spread over.
+SALTS = 64
 BUCKET_BYTES = 8 << 20
 _STEP = 1 << 20
 _MULTIPLY, _FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -379,7 +381,9 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     batches = parts(picked, F.octet_length("text") + 32, BATCH_BYTES)
     buckets = parts(picked, F.octet_length("text"), BUCKET_BYTES)
     bucket_bytes = BUCKET_BYTES
-    dealt = picked.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
+    # an id, none too, and a text may repeat in a large share of the rows, so the place of a row counts as well
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    dealt = picked.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text", place), F.lit(batches)))
 
     by_batch = dealt.groupBy("batch")
     found = by_batch.applyInArrow(lambda t: _anchors_of_batch(t, min_bytes, buckets), "bucket long, batch long, keys binary, marks binary")

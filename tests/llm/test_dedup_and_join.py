@@ -230,3 +230,16 @@ def test_hot_anchors_are_divided_and_equal_strings_still_meet(spark, monkeypatch
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(docs).collect()}
     assert got == {w[0]: w[1:5] for w in without_repeats(rows, 50)}
+
+
+def test_rows_with_one_id_or_none_are_dealt_over_batches(spark, monkeypatch):
+    """Most rows have no id or the same one; the result is that of brute force, and no batch has them all."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(40)]
+    prose = lambda: " ".join(rng.choices(words, k=30))
+    shared = prose()
+    rows = [(None, prose() + shared) for _ in range(60)] + [(None, "one and the same " * 9)] * 60 + [(3, shared + prose()) for _ in range(60)] + [(i, prose() + shared) for i in range(20)]
+    monkeypatch.setattr(operator, "BATCH_BYTES", 1 << 13)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(docs).collect())
+    assert got == Counter(w[:5] for w in without_repeats(rows, 50))
