@@ -13,14 +13,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import in_chunks
+from lintlake.llm.prefixes import prefix_counts
 
 # Letters and marks that lower to one character each and that composition leaves alone.
 _LETTERS = "a-zß-öø-ÿœ"
 _PLAIN = re.compile("[\\n\\t\\r -~À-ÖØ-öø-ÿŒœ–—‘’“”„…€«»¿¡°]*")
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \\n\\t\\r{_LETTERS}0-9]+")
 _CHUNK = re.compile("[^ \\n\\t\\r]+")
-#: Pieces that a worker remembers at once; beyond that it starts anew.
-REMEMBERED = 300_000
+# What a file must say for its texts to be cut by the patterns above.
+WORD_LEVEL = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+    ]},
+]
+#: Bytes of pieces and ids that a worker remembers at once; beyond that it starts anew. Longer pieces are not remembered.
+REMEMBERED_BYTES = 64 << 20
+REMEMBERED_CHARS = 64
+#: What an entry takes besides its letters and ids.
+ENTRY_BYTES = 160
 
 
 class WordTokens:
@@ -41,45 +53,56 @@ class WordTokens:
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {}
+        self._held = 0
 
     def cut(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return _PIECE.findall(text.lower())
         return _CHUNK.findall(text)
 
-    def ends(self, text: str) -> list[int]:
-        """Code point after each piece."""
-        plain = _PLAIN.fullmatch(text) and "<|" not in text
-        return [m.end() for m in (_PIECE.finditer(text.lower()) if plain else _CHUNK.finditer(text))]
-
     def pieces(self, texts: list[str]) -> list[list[bytes]]:
-        """For each text, the ids of its pieces, as packed unsigned 32-bit numbers."""
+        """For each text, the ids of its pieces, as packed unsigned 32-bit numbers.
+
+        Short pieces are remembered up to a number of bytes, long ones for these texts only.
+        """
         cut = [self.cut(t) for t in texts]
-        if len(self._known) > REMEMBERED:
+        if self._held > REMEMBERED_BYTES:
             self._known.clear()
-        self._learn(list(set(chain.from_iterable(cut)).difference(self._known)))
-        return [list(map(self._known.__getitem__, words)) for words in cut]
-
-    def _learn(self, new: list[str]) -> None:
+            self._held = 0
+        known = self._known
+        new = set(chain.from_iterable(cut)).difference(known)
+        long = {w for w in new if len(w) > REMEMBERED_CHARS}
+        found = self._learn(list(new - long))
+        known.update(found)
+        self._held += sum(len(w) + len(ids) + ENTRY_BYTES for w, ids in found.items())
+        if not long:
+            return [list(map(known.__getitem__, words)) for words in cut]
+        once = self._one_by_one(list(long))
+        return [[known[w] if len(w) <= REMEMBERED_CHARS else once[w] for w in words] for words in cut]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
         plain = [w for w in new if _PIECE.fullmatch(w) and _PLAIN.fullmatch(w) and "<|" not in w]
         for lo in range(0, len(plain), 5000):
             part = plain[lo : lo + 5000]
             ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self._ends[ids]) + 1
             if len(stops) != len(part):  # a piece that the library cuts further
-                self._one_by_one(part)
+                found.update(self._one_by_one(part))
                 continue
             packed, start = ids.tobytes(), 0
             for word, stop in zip(part, (stops * 4).tolist()):
-                self._known[word] = packed[start:stop]
+                found[word] = packed[start:stop]
                 start = stop
-        self._one_by_one(list(set(new).difference(self._known)))
+        found.update(self._one_by_one(list(set(new).difference(found))))
+        return found
 
-    def _one_by_one(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 5000):
-            part = words[lo : lo + 5000]
-            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self._known[word] = np.array(found.ids, "<u4").tobytes()
+    def _one_by_one(self, words: list[str]) -> dict[str, bytes]:
+        found = {}
+        for lo, hi in in_chunks(words):
+            for word, ids in zip(words[lo:hi], self.library.encode_batch_fast(words[lo:hi], add_special_tokens=False)):
+                found[word] = np.array(ids.ids, "<u4").tobytes()
+        return found
 
 
 @cache
@@ -103,10 +126,17 @@ def default_tokenizer() -> str:
 
 @cache
 def _is_word_level(path: str) -> bool:
+    """Whether the file cuts and normalizes texts the way ``WordTokens`` does; any other goes to the library whole."""
     import json
 
-    model = json.loads(open(path, encoding="utf-8").read())["model"]
-    return model.get("end_of_word_suffix") == "</w>"
+    file = json.loads(open(path, encoding="utf-8").read())
+    return file["model"].get("end_of_word_suffix") == "</w>" and [_without(file["normalizer"], ()), _without(file["pre_tokenizer"], ("trim_offsets",))] == WORD_LEVEL
+
+
+def _without(part, names: tuple[str, ...]):
+    if isinstance(part, dict):
+        return {k: _without(v, names) for k, v in part.items() if k not in names}
+    return [_without(v, names) for v in part] if isinstance(part, list) else part
 
 
 def _counts(path: str, texts: list[str]) -> list[np.ndarray]:
@@ -129,13 +159,11 @@ def _digest(frames: Iterator[pd.DataFrame], path: str, limit: int) -> Iterator[p
 
 
 def _tables(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+    known = prefix_counts(path, path.endswith(".json") and _is_word_level(path))
     for frame in frames:
         texts = frame["text"].tolist()
         for lo, hi in in_chunks(texts):
-            part = texts[lo:hi]
-            whole = path.endswith(".model") or not _is_word_level(path)
-            ends = [[len(t)] for t in part] if whole else [word_tokens(path).ends(t) for t in part]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[lo:hi], "ends": ends, "counts": [c.tolist() for c in _counts(path, part)]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[lo:hi], "counts": [known.counts(t) for t in texts[lo:hi]]})
 
 
 def _over(docs: DataFrame, id_column: str, text: str, run: Callable, columns: str) -> DataFrame:
@@ -158,24 +186,29 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 204
 
 
 def prefix_table(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: ``ends`` (code points before the end of each piece) and ``counts`` (tokens of the text up to there).
-
-    A prefix that ends in white space counts as the piece before it. Rows as in
-    ``token_counts``; under a vocabulary whose words merge there is one entry,
-    the whole text.
+    """Per document: ``counts``, whose entry i is the number of tokens of the first i code points, from 0 to the whole text.
+
+    The counts of all prefixes of a piece come from one pass over it, each from
+    a shorter prefix's (``PieceCounts``). Under word-level and byte-level
+    ``.json`` vocabularies the work follows the length of a text, whether it has
+    spaces or not; under others, and in stretches that normalization may
+    change, each prefix is encoded. Rows as in ``token_counts``; an empty or
+    null text has the one entry 0.
     """
-    return _over(docs, id_column, text, partial(_tables, path=tokenizer or default_tokenizer()), "ends array<int>, counts array<int>")
+    return _over(docs, id_column, text, partial(_tables, path=tokenizer or default_tokenizer()), "counts array<int>")
 
 
 def fit(table: DataFrame, budget: int | Column) -> DataFrame:
-    """Longest prefix of whole pieces within ``budget`` tokens: adds cut_chars and cut_tokens, from the table alone."""
-    n = F.size(F.filter("counts", lambda c: c <= F.lit(budget) if isinstance(budget, int) else c <= budget))
-    at = lambda name: F.when(n > 0, F.col(name)[n - 1]).otherwise(F.lit(0))
-    return table.withColumns({"cut_chars": at("ends"), "cut_tokens": at("counts")})
+    """Longest prefix within ``budget`` tokens: adds cut_chars and cut_tokens, from the table alone.
+
+    A longer prefix may have fewer tokens than a shorter one, so all entries count.
+    """
+    most = F.lit(budget) if isinstance(budget, int) else budget
+    cut = F.array_max(F.transform("counts", lambda c, i: F.when(c <= most, i)))
+    return table.withColumn("cut_chars", F.coalesce(cut, F.lit(0))).withColumn("cut_tokens", F.expr("counts[cut_chars]"))
 
 
 def tokens_up_to(table: DataFrame, chars: int | Column) -> DataFrame:
-    """Adds the tokens of the whole pieces within the first ``chars`` code points, from the table alone."""
+    """Adds the tokens of the first ``chars`` code points, or of the whole text if it is shorter, from the table alone."""
     limit = F.lit(chars) if isinstance(chars, int) else chars
-    n = F.size(F.filter("ends", lambda e: e <= limit))
-    return table.withColumn("tokens", F.when(n > 0, F.col("counts")[n - 1]).otherwise(F.lit(0)))
+    return table.withColumn("tokens", F.element_at("counts", F.least(F.size("counts"), F.greatest(limit, F.lit(0)) + 1).cast("int")))

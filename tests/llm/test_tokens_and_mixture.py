@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lintlake.llm.mixing import apportion, mix, targets
 from lintlake.llm.packing import fullest, pack_documents, plan
 from lintlake.llm.quality import other_languages, quality_rules
+from lintlake.llm.prefixes import prefix_counts
 from lintlake.llm.sharding import jump_hash, shard_documents
 from lintlake.llm.tokens import default_tokenizer, fit, prefix_table, token_counts, tokens_up_to, word_tokens
 
@@ -47,19 +48,57 @@ def test_other_vocabularies(spark, corpus, texts):
     assert got == Counter((i, len(model.encode(t or ""))) for i, t in texts)
 
 
-def test_prefix_tables_answer_without_encoding(corpus, texts, empty):
-    library = word_tokens(default_tokenizer()).library
-    table = prefix_table(corpus.where("doc_id < 20"))
-    own = dict(texts)
-    for r in fit(table, 25).collect():
-        count = lambda n: len(library.encode(own[r.doc_id][:n], add_special_tokens=False).ids)
-        assert count(r.cut_chars) == r.cut_tokens <= 25
-        assert [count(e) for e in r.ends] == r.counts
-        after = [e for e in r.ends if e > r.cut_chars]
-        assert not after or count(after[0]) > 25
-    for r in tokens_up_to(table, 40).collect():
-        assert r.tokens == max([c for e, c in zip(r.ends, r.counts) if e <= 40], default=0)
-    assert prefix_table(empty).count() == 0
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_prefix_tables_have_the_count_of_every_prefix(spark, corpus, empty, name):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path(name)
+    model = sentencepiece.SentencePieceProcessor(model_file=path) if name.endswith(".model") else word_tokens(path).library
+    count = lambda t: len(model.encode(t) if name.endswith(".model") else model.encode(t, add_special_tokens=False).ids)
+    long = ["日本語の文章には空白がない。" * 30, "x" * 300, "Donau" * 60, "été" * 80, "a  b\n\n\nc \t d", "don't we'll 'r 're", "", None]
+    odd = spark.createDataFrame(list(enumerate(ODD + long)), "doc_id long, text string")
+    docs = odd.unionByName(corpus.where("doc_id < 6 OR doc_id = 407").select("doc_id", "text").where("length(text) < 900"))
+    own = [(i, t or "") for i, t in docs.select("doc_id", "text").collect()]
+    table = prefix_table(docs, path)
+    got = sorted((r.doc_id, tuple(r.counts)) for r in table.collect())
+    assert got == sorted((i, tuple(count(t[:k]) for k in range(len(t) + 1))) for i, t in own)
+    best = Counter((i, max(k for k in range(len(t) + 1) if count(t[:k]) <= 25)) for i, t in own)
+    fitted = fit(table, 25).collect()
+    assert Counter((r.doc_id, r.cut_chars) for r in fitted) == best and all(r.cut_tokens <= 25 for r in fitted)
+    assert Counter((r.doc_id, r.tokens) for r in tokens_up_to(table, 100).collect()) == Counter((i, count(t[:100])) for i, t in own)
+    assert prefix_table(empty, path).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("ab'slreßÉΣ,. \n\t1<|>"), st.characters(codec="utf-8")), max_size=25))
+def test_prefix_counts_equal_the_library(text):
+    import public_tokenizers
+
+    for name, word_level in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        known = prefix_counts(public_tokenizers.path(name), word_level)
+        assert known.counts(text) == [known.count(text[:k]) for k in range(len(text) + 1)]
+
+
+def test_what_a_worker_remembers_is_bounded_by_bytes(monkeypatch):
+    from lintlake.llm import tokens
+
+    own = tokens.WordTokens(default_tokenizer())
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 20_000)
+    for i in range(60):
+        own.pieces(["語" * 5000 + str(i), " ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(90))])
+        assert sum(map(len, own._known)) + sum(map(len, own._known.values())) < 60_000 and not any(len(w) > 64 for w in own._known)
+
+
+def test_a_vocabulary_with_another_cut_goes_to_the_library(tmp_path, spark):
+    import json
+
+    file = json.loads(open(default_tokenizer(), encoding="utf-8").read())
+    file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    docs = spark.createDataFrame([(1, "abc123 don't 45")], "doc_id long, text string")
+    assert token_counts(docs, str(path)).first().n_tokens == len(word_tokens(str(path)).library.encode("abc123 don't 45", add_special_tokens=False).ids)
 
 
 def test_packing_keeps_every_id_once(corpus, texts, empty):
