@@ -98,6 +98,18 @@ def file_name(path: Column | str) -> Column:
     return F.element_at(path_parts(path), -1)
 
 
+def casefold(text: Column | str) -> Column:
+    """Full case folding, from the mappings to upper and lower case.
+
+    Lower, upper and lower again brings together what any of them does; the
+    final sigma is no letter of its own, the dotless i is. The steps between
+    them keep the optimiser from taking a lower of an upper for a lower.
+    """
+    low = F.translate(F.lower(col(text)), "\u0131", "\ue000")
+    high = F.translate(F.upper(low), "\ue000", "\ue000")
+    return F.translate(F.lower(high), "\u03c2\ue000", "\u03c3\u0131")
+
+
 def hashed(*parts: Column) -> Column:
     """SHA-256 of the parts written as a JSON array."""
     return F.sha2(F.to_json(F.array(*parts), {"ignoreNullFields": "false"}), 256)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions import values as V
-from lintlake.functions.text import bound, col, hashed, lines, mask_steps, path_parts, redact, severity_rank
+from lintlake.functions.text import bound, casefold, col, hashed, lines, mask_steps, path_parts, redact, severity_rank
 
 
 def normalize_severity(severity: Column | str) -> Column:
@@ -173,7 +173,7 @@ def comparison_keys(findings: DataFrame) -> DataFrame:
 
 def legacy_key() -> Column:
     """Identity by place and title for rows without structure."""
-    title = F.lower(F.trim(F.regexp_replace("title", r"(?U)\s+", " ")))
+    title = casefold(F.trim(F.regexp_replace("title", r"(?U)\s+", " ")))
     return hashed(F.col("category"), F.col("file_path"), F.col("line").cast("string"), title)
 
 

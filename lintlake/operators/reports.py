@@ -59,12 +59,17 @@ def hotspot_issues(issues: DataFrame, file: str) -> DataFrame:
     return filter_issues(issues, file=file)
 
 
+#: Order of texts as a reader expects it: letters before their case and accents.
+LOCALE = "UNICODE"
+
+
 def sort_issues(issues: DataFrame, by: str = "priority") -> DataFrame:
-    """Q3: by priority, severity or file; ids break ties."""
+    """Q3: by priority, severity or file; paths in the order of the locale, ids break ties."""
+    path = F.collate(F.coalesce("file_path", F.lit("")), LOCALE)
     orders = {
-        "priority": [F.desc("priority_score"), F.col("file_path"), F.coalesce("line", F.lit(0))],
+        "priority": [F.desc("priority_score"), path, F.coalesce("line", F.lit(0))],
         "severity": [severity_rank("severity")],
-        "file": [F.col("file_path")],
+        "file": [path],
     }
     return issues.orderBy(*orders[by], "id")
 

@@ -6,13 +6,14 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lintlake import schemas
 from lintlake.functions import values as V
 from lintlake.functions.text import source_text
-from lintlake.operators import compare, facts, findings, lifecycle, priority, reports, reviews, rules, scoring, table_rules
+from lintlake.operators import compare, facts, findings, lifecycle, priority, reports, reviews, rules, scoring, search, table_rules
 from lintlake.plans.fixtures import table, view
 from lintlake.plans.pipeline import findings_of
 from lintlake.session import materialize, shared_folder, tune
@@ -29,6 +30,11 @@ QUERIES: dict[str, Query] = {}
 INVENTORY_LIMITS = {"max_files": 20, "max_bytes": 60_000, "max_dirs": 6}
 AUDIT_LIMITS = {"byte_limit": 150_000, "entry_limit": 90}
 NOW = datetime(1998, 1, 1)
+SEARCHES = ("redacted", "ISSUE  1 #77", "models.py", "#", "no such text")
+# In the order of the locale.
+PATHS = ("apfel.py", "Apfel.py", "\u00e4pfel.py", "B.py", "resume.py", "r\u00e9sum\u00e9.py", "zebra.py", "\u042f.py")
+# Four titles in two or three spellings each.
+TITLES = ("Stra\u00dfe", "STRASSE", "strasse", "\u039f\u03b4\u03bf\u03c2", "\u039f\u0394\u039f\u03a3", "\ufb01le  name", "FILE NAME", "K\u0131r", "KIR")
 RATE = {"seconds": 6 * 3600, "limit": 3}
 # Seconds that a scan may wait and run, on the scale of the events table.
 SCAN_WAITS = {"queued": 6 * 86400, "running": 3 * 86400}
@@ -127,6 +133,23 @@ def _(spark, folder):
     return docs.select("doc_id", F.length(decoded).cast("long").alias("chars"), F.sha2(decoded, 256).alias("digest"))
 
 
+@query("s7_stored_tables")
+def _(spark, folder):
+    """Two batches written, the first of them again with other scores, and read back."""
+    base = f"{shared_folder(spark)}/lintlake-{spark.sparkContext.applicationId}/stored-{uuid.uuid4().hex}"
+    dated = scans(spark, folder).withColumn("created_at", F.date_trunc("year", "created_at"))
+    known, found = tables_.upgrade_schema(dated, schemas.SCANS).select(*StructType.fromDDL(schemas.SCANS).names), stored_issues(spark, folder)
+    found = found.select("id", "scan_id", "severity", "file_path")
+    for batch, change in ((0, 0), (1, 0), (0, 1)):
+        part = known.where(F.col("scan_id") % 2 == batch).withColumn("score", F.col("score") + change)
+        tables_.write_tables(part, found, base, batch)
+    read = lambda name, schema: tables_.read_tables(spark, base, name, schema)
+    counted = read("issues", schemas.ISSUES).groupBy("scan_id").agg(F.count("*").alias("n_issues"), F.count("title").alias("n_titles"))
+    return read("scans", schemas.SCANS).join(counted, "scan_id", "left").select(
+        "scan_id", "score", "batch_id", F.col("scan_date").cast("string").alias("scan_date"), F.coalesce("n_issues", F.lit(0)).alias("n_issues"), F.coalesce("n_titles", F.lit(0)).alias("n_titles")
+    )
+
+
 @query("s8_upgrade_schema")
 def _(spark, folder):
     old = scans(spark, folder).select("scan_id", "status", "score", F.lit("kept").alias("note"))
@@ -576,6 +599,19 @@ def _(spark, folder):
     return kept.select("scan_id", "id", "title", "message", "file_path", "priority_score")
 
 
+@query("q1_indexed_search")
+def _(spark, folder):
+    """The same kind of search through the trigram index, for texts of several lengths."""
+    base = f"{shared_folder(spark)}/lintlake-{spark.sparkContext.applicationId}/search-{uuid.uuid4().hex}"
+    shown = priority.issue_payload(issues(spark, folder)).withColumn("title", F.concat("title", F.lit(" #"), F.col("scan_id").cast("string")))
+    search.write_search_index(shown.select("scan_id", "id", "title", "message", "file_path", "severity"), base, blocks=64)
+    found = None
+    for text in SEARCHES:
+        part = search.search_issues(spark, base, text).select(F.lit(text).alias("search"), "scan_id", "id")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 @query("q2_hotspot_issues")
 def _(spark, folder):
     kept = reports.hotspot_issues(priority.issue_payload(issues(spark, folder)), "src/core/models.py")
@@ -588,6 +624,24 @@ def _(spark, folder):
     return ordered.select("id", "priority_score", "file_path", "line")
 
 
+@query("q3_locale_order")
+def _(spark, folder):
+    """Places of paths in the order of the locale, with other scripts, cases and accents."""
+    path = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("id") % len(PATHS) + 1).cast("int"))
+    named = issues(spark, folder).groupBy("scan_id", path.alias("file_path")).agg(F.min("id").alias("id"))
+    in_order = reports.sort_issues(named, "file").withColumn("at", F.monotonically_increasing_id())
+    first = materialize(in_order, "ordered").groupBy("file_path").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    return first.select("file_path", "n", F.row_number().over(Window.orderBy("at")).alias("position"))
+
+
+@query("n9_folded_key")
+def _(spark, folder):
+    """Keys of titles that differ in case only, in letters whose cases differ in number or place."""
+    title = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("id") % len(TITLES) + 1).cast("int"))
+    keyed = unique_findings(spark, folder).withColumn("title", title).withColumn("key", findings.legacy_key())
+    return keyed.groupBy("category", "file_path", "line", "key").agg(F.count("*").alias("n"), F.count_distinct("title").alias("titles")).drop("key")
+
+
 @query("q4_scan_history")
 def _(spark, folder):
     page = reports.scan_history(

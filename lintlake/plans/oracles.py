@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from lintlake.functions import values as V
 from lintlake.operators import compare
-from lintlake.plans.catalog import AUDIT_LIMITS, INSTRUCTIONS, INVENTORY_LIMITS, NOW, OWNER_WAITS, RATE, SCAN_WAITS
+from lintlake.plans.catalog import AUDIT_LIMITS, INSTRUCTIONS, INVENTORY_LIMITS, NOW, OWNER_WAITS, PATHS, RATE, SCAN_WAITS, SEARCHES, TITLES
 from lintlake.plans.fixtures import portable
 
 ORACLES: dict[str, str] = {}
@@ -200,6 +200,10 @@ SELECT snapshot_id, coalesce(arg_min(CASE WHEN b > {AUDIT_LIMITS['byte_limit']}
 FROM (SELECT snapshot_id, count(*) OVER o AS c, sum(length) OVER o AS b FROM entries
   WINDOW o AS (PARTITION BY snapshot_id ORDER BY folder, is_file, name ROWS UNBOUNDED PRECEDING)) GROUP BY 1""")
 oracle("s6_decode_source", "SELECT doc_id, length(text) AS chars, sha256(text) AS digest FROM documents")
+oracle("s7_stored_tables", """
+SELECT scan_id, score + CASE WHEN scan_id % 2 = 0 THEN 1 ELSE 0 END AS score, scan_id % 2 AS batch_id, CAST(CAST(date_trunc('year', created_at) AS DATE) AS VARCHAR) AS scan_date,
+ coalesce(n, 0) AS n_issues, CAST(0 AS BIGINT) AS n_titles
+FROM scans LEFT JOIN (SELECT scan_id, count(*) AS n FROM issues GROUP BY 1) USING (scan_id)""")
 oracle("s8_upgrade_schema", """
 SELECT scan_id, status, score, 'queued' AS stage, NULL::VARCHAR AS analysis_version, NULL::BIGINT AS files_missed, 'kept' AS note FROM scans""")
 oracle("s9_backfill_stage", """
@@ -371,6 +375,17 @@ oracle("q1_filter_issues", """
 SELECT scan_id, id, title, message, file_path, CAST(priority_score AS INTEGER) AS priority_score FROM ranked
 WHERE severity = 'high' AND category = 'security' AND priority = 'p2'
  AND (lower(title) LIKE '%redacted%' OR lower(message) LIKE '%redacted%' OR lower(file_path) LIKE '%redacted%')""")
+oracle("q1_indexed_search", " UNION ALL ".join(
+    f"""SELECT {text(s)} AS search, scan_id, id FROM (SELECT scan_id, id, lower(title || ' #' || CAST(scan_id AS VARCHAR)) AS t, lower(coalesce(message, '')) AS m, lower(file_path) AS f FROM ranked)
+    WHERE contains(t, {text(s.lower())}) OR contains(m, {text(s.lower())}) OR contains(f, {text(s.lower())})""" for s in SEARCHES))
+oracle("q3_locale_order", f"""
+SELECT file_path, count(*) AS n, CAST(any_value(position) AS INTEGER) AS position
+FROM (SELECT DISTINCT scan_id, id % {len(PATHS)} AS k FROM issues) JOIN (VALUES {", ".join(f"({k}, {text(p)}, {k + 1})" for k, p in enumerate(PATHS))}) v(k, file_path, position) USING (k)
+GROUP BY file_path""")
+FOLDED = (1, 1, 1, 2, 2, 3, 3, 4, 5)  # which of the titles are one but for their case
+oracle("n9_folded_key", f"""
+SELECT category, file_path, line, count(*) AS n, count(DISTINCT id % {len(TITLES)}) AS titles
+FROM uniq JOIN (VALUES {", ".join(f"({k}, {g})" for k, g in enumerate(FOLDED))}) v(k, folded) ON id % {len(TITLES)} = k GROUP BY category, file_path, line, folded""")
 oracle("q2_hotspot_issues", "SELECT scan_id, id, severity, priority FROM ranked WHERE file_path = 'src/core/models.py'")
 oracle("q3_sorted_issues", "SELECT id, CAST(priority_score AS INTEGER) AS priority_score, file_path, line FROM ranked ORDER BY priority_score DESC, file_path, coalesce(line, 0), id")
 PUBLIC = f"CASE WHEN error_message IS NULL THEN NULL WHEN error_message IN ({among(V.PUBLIC_ERRORS)}) THEN error_message ELSE {text(V.GENERIC_ERROR)} END AS error_message"

@@ -17,7 +17,7 @@ from lintlake.operators.lifecycle import static_estimate
 from lintlake.operators.reviews import accept_reviews, merge_reviews, review_candidates, validate_reviews
 from lintlake.operators.scoring import health_score
 from lintlake.session import materialize
-from lintlake.sources.files import bounded_inventory, is_eligible, python_files, read_source_trees, with_source, workload
+from lintlake.sources.files import bounded_inventory, is_eligible, python_files, read_source_trees, resource_audit, with_source, workload
 
 
 class Limits(NamedTuple):
@@ -27,6 +27,8 @@ class Limits(NamedTuple):
     max_bytes: int | None = None
     max_dirs: int | None = None
     max_findings: int | None = None
+    workspace_bytes: int | None = None
+    workspace_entries: int | None = None
     file_bytes: int = V.MAX_FILE_BYTES
 
     @property
@@ -37,14 +39,23 @@ class Limits(NamedTuple):
         return {k: 2**31 - 2 if getattr(self, k) is None else getattr(self, k) for k in ("max_files", "max_bytes", "max_dirs")}
 
 
-SERVICE_LIMITS = Limits(V.MAX_FILES, V.MAX_SOURCE_BYTES, V.MAX_DIRECTORIES, V.MAX_FINDINGS)
+    @property
+    def workspace(self) -> dict[str, int]:
+        """S5 limits on everything that a snapshot holds."""
+        if self.workspace_bytes is self.workspace_entries is None:
+            return {}
+        return {"byte_limit": 2**62 if self.workspace_bytes is None else self.workspace_bytes, "entry_limit": 2**62 if self.workspace_entries is None else self.workspace_entries}
+
+
+SERVICE_LIMITS = Limits(V.MAX_FILES, V.MAX_SOURCE_BYTES, V.MAX_DIRECTORIES, V.MAX_FINDINGS, V.WORKSPACE_BYTES, V.WORKSPACE_ENTRIES)
 
 
 class Analysis(NamedTuple):
     """Results of a batch of snapshots; ``scan_id`` is the snapshot's id.
 
     ``coverage`` has for each snapshot its Python files, those parsed, those
-    that could not be, and those that the inventory limits left out.
+    that could not be, and those that the inventory limits left out. ``refused``
+    names the snapshots that the resource audit stopped, and why.
     """
 
     workload: DataFrame
@@ -53,6 +64,7 @@ class Analysis(NamedTuple):
     findings: DataFrame
     coverage: DataFrame
     failed_rules: list[str]
+    refused: DataFrame | None = None
 
 
 def findings_of(facts: DataFrame, rules: dict = rules_.RULES, max_findings: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -87,12 +99,18 @@ def analyze_snapshots(files: DataFrame, rules: dict = rules_.RULES, limits: Limi
     facts only contents that no scan with that folder has seen are parsed.
     """
     inventory = python_files(files)
+    refused = None
+    if limits.workspace:  # a snapshot beyond these limits is not looked into
+        audit = resource_audit(files, **limits.workspace)
+        refused = materialize(audit.filter("outcome <> 'ok'"), "refused")
+        files = files.join(refused.select("snapshot_id"), "snapshot_id", "left_anti")
+        inventory = python_files(files)
     if limits.inventory:
         inventory = bounded_inventory(files, **limits.inventory)
     readable = with_source(inventory, limits.file_bytes)
     facts = materialize(extract_facts(readable) if known is None else content_facts(readable, known)[0], "facts")
     guard, findings, failed = findings_of(facts, rules, limits.max_findings)
-    return Analysis(workload(inventory.filter(is_eligible(limits.file_bytes))), facts, guard, findings, coverage_of(files, facts), failed)
+    return Analysis(workload(inventory.filter(is_eligible(limits.file_bytes))), facts, guard, findings, coverage_of(files, facts), failed, refused)
 
 
 def analyze_trees(roots: DataFrame, rules: dict = rules_.RULES, limits: Limits = Limits()) -> Analysis:
@@ -115,6 +133,8 @@ def finish_scans(requests: DataFrame, analysis: Analysis, now, reviews: DataFram
     before they are scored. The estimates are those of the static analysis (E1).
     """
     failed = analysis.guard.filter("over_limit").select("scan_id", F.lit(True).alias("_failed"))
+    if analysis.refused is not None:
+        failed = failed.unionByName(analysis.refused.select(F.col("snapshot_id").alias("scan_id"), F.lit(True).alias("_failed")))
     findings = analysis.findings if reviews is None else reviewed(analysis.findings, reviews)
     scores = health_score(requests, findings).select("scan_id", "score")
     missed = analysis.coverage.select(F.col("snapshot_id").alias("scan_id"), (F.col("failed") + F.col("left_out")).alias("files_missed"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import text as tx
 from lintlake.operators import findings as fi
+from lintlake.operators import reports, search
 from lintlake.sources import files as fl
 
 # The masks as Python patterns, with the name prefix the Spark pattern leaves out.
@@ -159,3 +160,45 @@ def test_snippets_by_bins_equal_those_of_whole_files(spark):
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     joined = [row for row in plan.split("\n") if "Join" in row]
     assert joined and not any("source" in row for row in joined)
+
+
+def test_case_folding_brings_together_what_python_does(spark):
+    import unicodedata
+
+    chars = [chr(c) for c in range(0x20, 0x1FFFF) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    got = {r.t: r.c for r in spark.createDataFrame([(c,) for c in chars], "t string").select("t", tx.casefold("t").alias("c")).collect()}
+    groups = {}
+    for c in chars:
+        groups.setdefault(c.casefold(), set()).add(got[c])
+    split = {k: v for k, v in groups.items() if len(v) > 1}
+    assert len(split) <= 3 and len(set(got.values())) >= len(groups) - 60, (split, len(groups), len(set(got.values())))
+
+
+def test_an_indexed_search_equals_a_scan(spark, tmp_path):
+    rng = random.Random(43)
+    words = ["secret", "Token", "naïve", "x", "ab", "100%", "under_score", "日本語", "Straße"]
+    rows = [(i, rng.randint(0, 30), *(rng.choice([None, "", " ".join(rng.choices(words, k=4))]) for _ in range(3))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, scan_id bigint, title string, message string, file_path string").withColumn("severity", F.lit("low"))
+    search.write_search_index(df, str(tmp_path), blocks=16)
+    for text in ("", "x", "ab", " TOKEN ", "n x", "_sc", "0% ", "日本語", "naïve 100", "nothing like it", "secret token"):
+        want = sorted(r.id for r in reports.filter_issues(df, search=text).collect())
+        done = search.search_issues(spark, str(tmp_path), text)
+        assert sorted(r.id for r in done.collect()) == want, text
+        blocks = search.blocks_with(spark, str(tmp_path), text)
+        assert (blocks is None) == (len(text.strip()) < 3)
+    plan = search.search_issues(spark, str(tmp_path), "nothing like it")._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan or "PartitionFilters" in plan
+    again = df.where("scan_id < 5").withColumn("title", F.lit("written again"))
+    search.write_search_index(df.where("scan_id >= 5").unionByName(again), str(tmp_path), blocks=16)
+    assert search.search_issues(spark, str(tmp_path), "ten aga").count() == again.count()
+
+
+def test_a_workspace_beyond_its_limits_is_not_analysed(spark):
+    from lintlake.plans.pipeline import Limits, analyze_snapshots
+
+    rows = [(1, f"d{i}/f.py", 8, bytearray(b"eval(x)\n")) for i in range(6)] + [(2, "f.py", 8, bytearray(b"eval(x)\n"))]
+    df = spark.createDataFrame(rows, "snapshot_id bigint, path string, length bigint, content binary")
+    done = analyze_snapshots(df, limits=Limits(workspace_entries=11))
+    assert [r.outcome for r in done.refused.collect()] == ["workspace_entries"]
+    assert {r.scan_id for r in done.findings.collect()} == {2}
+    assert analyze_snapshots(df, limits=Limits(workspace_entries=12)).findings.count() == 7
