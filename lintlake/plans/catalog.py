@@ -308,6 +308,26 @@ def _(spark, folder):
     return place(rules.run_rules(materialize(parsed(spark, folder), "facts")), "category")
 
 
+def modules(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources of the length of the documents, with their whole texts."""
+    raw = view(spark, folder, "fx_module")
+    return raw.select("snapshot_id", "path", source_text(F.encode("source", "UTF-8")).alias("source"))
+
+
+@query("f1_module_status")
+def _(spark, folder):
+    known = materialize(facts.extract_facts(modules(spark, folder)), "facts")
+    shown = facts.functions(known).groupBy("snapshot_id", "path").agg(F.max("complexity").alias("complexity"), F.max("positional").alias("n_parameters"))
+    return facts.parse_status(known).select("snapshot_id", "path", "ok").join(shown, ["snapshot_id", "path"], "left")
+
+
+@query("r12_modules")
+def _(spark, folder):
+    """All rules over sources that hold the documents' texts."""
+    found = rules.run_rules(materialize(facts.extract_facts(modules(spark, folder)), "facts"))
+    return place(found, "category", "title")
+
+
 def no_arguments(known: DataFrame) -> DataFrame:
     """A rule of one's own: functions without parameters."""
     return rules.as_findings(

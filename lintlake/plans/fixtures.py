@@ -103,6 +103,21 @@ SELECT doc_id, CAST(FLOOR(doc_id / 110) AS BIGINT) AS snapshot_id,
   ELSE 'import pickle' || chr(10) || 'from yaml import load as y_' || CAST(doc_id AS STRING) || ', CSafeLoader as S' || chr(10)
    || 'def q_' || CAST(doc_id AS STRING) || '(pickle):' || chr(10) || '    pickle.loads(data)' || chr(10)
    || 'y_' || CAST(doc_id AS STRING) || '(data, S)' || chr(10) END AS source
+FROM {documents}""",
+    # Python files that begin with the whole text of a document as comments, so they are as long as texts are and
+    # findings lie below it; doc_id % 8 selects what follows
+    "fx_module": """
+SELECT doc_id, CAST(FLOOR(doc_id / 80) AS BIGINT) AS snapshot_id, 'src/pkg' || CAST(doc_id % 3 AS STRING) || '/v' || CAST(doc_id AS STRING) || '.py' AS path,
+ length(text) - length(replace(text, chr(10), '')) + 1 AS header,
+ '# ' || replace(translate(text, chr(13), ' '), chr(10), chr(10) || '# ') || chr(10) || CASE doc_id % 8
+  WHEN 0 THEN 'import yaml as y' || chr(10) || 'class Box:' || chr(10) || '    def open(self, data):' || chr(10) || '        return y.unsafe_load(data)' || chr(10)
+  WHEN 1 THEN 'async def run(code):' || chr(10) || '    exec(code.text)' || chr(10) || '    return eval(code)' || chr(10)
+  WHEN 2 THEN 'class Step:' || chr(10) || '    def go(self, n):' || chr(10) || repeat('        while n > 1: n -= 1' || chr(10), 20)
+  WHEN 3 THEN 'import bz2  # noqa: F401' || chr(10) || 'import abc' || chr(10) || 'import csv  # noqa: E501' || chr(10)
+  WHEN 4 THEN 'import pickle' || chr(10) || 'kept = [pickle.loads(item) for item in items]' || chr(10) || 'made = [pickle.loads(item) for pickle, item in items]' || chr(10)
+  WHEN 5 THEN 'class Grid:' || chr(10) || '    def draw(self, a, b, c, d, e, f, g, *, h=None):' || chr(10) || '        return a, b, c, d, e, f, g, h' || chr(10)
+  WHEN 6 THEN 'def spin(v):' || chr(10) || '    while True:' || chr(10) || '        v()' || chr(10) || '    v(1)' || chr(10)
+  ELSE 'class Settings:' || chr(10) || '    auth_token: str = "9f8e7d6c5b4a3210"' || chr(10) || '    eval = None' || chr(10) || 'def use(x, exec):' || chr(10) || '    return exec(x)' || chr(10) END AS source
 FROM {documents}""",
     # life-cycle events: about a dozen per scan
     "fx_events": """

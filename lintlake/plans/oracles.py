@@ -257,6 +257,22 @@ oracle("r9_unused_imports", f"SELECT {PLACE}, title, confidence FROM found WHERE
 oracle("r10_unused_arguments", f"SELECT {PLACE}, title, confidence FROM found WHERE t = 9")
 oracle("r11_unreachable_code", f"SELECT {PLACE}, confidence FROM found WHERE t = 6")
 oracle("r12_run_rules", f"SELECT {PLACE}, category FROM found")
+oracle("f1_module_status", f"""
+SELECT snapshot_id, path, true AS ok, CAST(cc AS INTEGER) AS complexity, CAST(pos AS INTEGER) AS n_parameters
+FROM (SELECT *, doc_id % 8 AS t FROM {portable('fx_module')}) m
+LEFT JOIN (VALUES (0, 1, 1), (1, 1, 1), (2, 21, 1), (5, 1, 7), (6, 2, 1), (7, 1, 2)) f(t, cc, pos) USING (t)""")
+oracle("r12_modules", f"""
+SELECT snapshot_id AS scan_id, path AS file_path, CAST(header + line AS INTEGER) AS line, rule AS rule_id, sev AS severity, cat AS category, title
+FROM (SELECT *, doc_id % 8 AS t FROM {portable('fx_module')}) m JOIN (VALUES
+ (0, 4, 'security.yaml', 'high', 'security', 'Review YAML deserialization loader'),
+ (1, 2, 'security.exec', 'high', 'security', 'Use of exec()'), (1, 3, 'security.eval', 'high', 'security', 'Use of eval()'),
+ (2, 2, 'complexity.cyclomatic', 'high', 'complexity', 'High cyclomatic complexity in Step.go'),
+ (3, 2, 'dead-code.import.abc', 'low', 'dead_code', 'Potentially unused import: abc'), (3, 3, 'dead-code.import.csv', 'low', 'dead_code', 'Potentially unused import: csv'),
+ (4, 2, 'security.pickle', 'high', 'security', 'Potentially unsafe deserialization'),
+ (5, 2, 'style.positional-parameters', 'low', 'style', 'Long parameter list in draw'),
+ (6, 4, 'dead-code.unreachable_code.while', 'medium', 'dead_code', 'Unreachable branch or statement'),
+ (7, 2, 'security.hardcoded-credential', 'high', 'security', 'Potential hardcoded credential'))
+ e(t, line, rule, sev, cat, title) USING (t)""")
 oracle("r12_custom_rule", """
 SELECT snapshot_id AS scan_id, path AS file_path, CAST(1 AS INTEGER) AS line, 'custom.no-arguments' AS rule_id, 'info' AS severity, 'style' AS category
 FROM source WHERE t = 6""")
