@@ -211,7 +211,7 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits(), languages: dict[str, list[str]] = REFERENCE_WORDS, lang: str = "lang") -> DataFrame:
-    """Verdict on every document: doc_id, text_md5, base counts, distances, base_failed, kept.
+    """Verdict on every document: doc_id, text_md5, base counts, distances, reference_lang, base_failed, kept.
 
     The references are the histograms of all documents of a language, gathered
     from the same table: of those in ``languages``, and of every other that has
@@ -220,7 +220,10 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), languages: dict[st
     another reference, does no harm where its true language has a reference.
     ``char_distance`` and ``word_distance`` are null if there are no references,
     if the document's own ``lang`` has none, or if there are no words, and then
-    reject nothing; an empty table gives an empty result. The measured table is
+    reject nothing. ``reference_lang`` names the reference whose characters lie
+    nearest; it is null where nothing judged the document, so a pass without a
+    judgement, as of a language with too few documents for a reference, shows.
+    An empty table gives an empty result. The measured table is
     written once, as the references and the verdicts both read it; the
     references have a row for each language and are broadcast.
     """
@@ -236,9 +239,11 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), languages: dict[st
 
     scored = scored.select(
         "doc_id", "text_md5", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.when(has_words, F.array_min(F.transform("refs", lambda r: distance(_shares(F.col("chars")), r["chars"])))).alias("char_distance"),
+        F.when(has_words, F.array_min(F.transform("refs", lambda r: F.struct(distance(_shares(F.col("chars")), r["chars"]).alias("far"), r["lang"].alias("lang"))))).alias("near"),
         F.when(has_words, F.array_min(F.transform("refs", lambda r: distance(_shares(words_of(r)), r["words"])))).alias("word_distance"),
     )
+    nearest = {"char_distance": F.col("near.far"), "reference_lang": F.col("near.lang")}
+    scored = scored.withColumns(nearest).select(*[c for c in scored.columns if c not in ("near", "word_distance")], "char_distance", "word_distance", "reference_lang")
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     sure = F.col("n_words") >= limits.sure_words
     far = F.coalesce(F.col("char_distance") > F.when(sure, limits.chars).otherwise(limits.loose_chars), F.lit(False))

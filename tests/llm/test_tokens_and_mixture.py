@@ -265,6 +265,7 @@ def test_other_languages_have_references_or_pass(spark):
     got = {r.doc_id: r for r in quality_rules(docs).collect()}
     assert [i for i, r in got.items() if not r.kept] == [203]
     assert got[201].char_distance is None and got[200].char_distance < 0.28
+    assert got[201].reference_lang is None and got[200].reference_lang == got[100].reference_lang == "ru" and got[0].reference_lang == "en"
     words = other_languages(docs)
     assert set(words) == {"ru"} and set(words["ru"]) == set(russian)
 
