@@ -1,7 +1,8 @@
 """SQL counterparts of the registered queries, for DuckDB over the same tables.
 
 They state the expected result independently: no query here shares an
-expression with the operators, only the views that shape the driver tables.
+expression with the operators, only the views that shape the driver tables and
+the fixed values (word lists, texts, limits) that a result must carry literally.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def among(values) -> str:
 
 
 def redact(x: str) -> str:
-    """Masks without back-references: one replacement per kind of quote."""
+    """Masks without back-references: one replacement per kind of quote. The patterns are fixed values."""
     name = r"[\w]*?(?:password|passwd|api_key|secret|token|private_key)[\w]*"
     for quote in ('"', "''"):
         mark = quote

@@ -42,7 +42,8 @@ def stored_scans(spark: SparkSession, folder: str, batch_id: int) -> DataFrame |
 
 
 def analyze_requests(
-    requests: DataFrame, files: DataFrame, folder: str, checkpoint: str, now: datetime | None = None, limits: Limits = Limits()
+    requests: DataFrame, files: DataFrame, folder: str, checkpoint: str, now: datetime | None = None, limits: Limits = Limits(),
+    reviews: DataFrame | None = None, known: str | None = None,
 ) -> StreamingQuery:
     """Process every request that is available, writing to the tables below ``folder``.
 
@@ -50,7 +51,9 @@ def analyze_requests(
     batch always sees whole snapshots of ``files``. A repeated batch writes
     the same partitions again; scans that an earlier batch has stored are left
     out. If ``files`` was written by ``write_files``, only the partitions of the
-    requested snapshots are read.
+    requested snapshots are read. ``reviews`` are checked and merged for the
+    scans of a batch as they are in a batch run; with a folder of ``known`` facts
+    only contents that no scan has seen before are parsed.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
@@ -62,7 +65,8 @@ def analyze_requests(
             todo = materialize(once, "requests")  # a known, small size for the join
             wanted = files_of(files, todo.select(F.col("scan_id").alias("snapshot_id")))
             at = now or datetime.now(timezone.utc)
-            scans, issues = finish_scans(todo, analyze_snapshots(wanted, limits=limits), at)
+            given = None if reviews is None else reviews.join(todo.select("scan_id"), "scan_id", "left_semi")
+            scans, issues = finish_scans(todo, analyze_snapshots(wanted, limits=limits, known=known), at, given)
             write_tables(scans, issues, folder, batch_id)
 
     return (

@@ -406,6 +406,19 @@ def test_a_scan_is_stored_once_however_often_it_is_asked_for(spark, tmp_path):
     assert sorted((r.scan_id, r.batch_id) for r in stored) == [(1, 0), (2, 1)]
 
 
+def test_streamed_scans_take_reviews_and_known_facts(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    one = analyze_snapshots(files(spark, SOURCES)).findings.where("scan_id = 1").orderBy("fingerprint").first()
+    review = spark.createDataFrame([(1, 0, 0, one.fingerprint, "high", 0.9, False, "Because it matters.", "Do this instead.")], schemas.REVIEWS)
+    rows = [requests(spark, [1]).collect(), requests(spark, [2]).collect()]
+    src = stream(spark, tmp_path, rows, StructType.fromDDL(schemas.SCANS), "reviewed")
+    folder = str(tmp_path / "out")
+    analyze_requests(src, files(spark, SOURCES), folder, str(tmp_path / "cp"), now=T0, reviews=review, known=str(tmp_path / "known")).awaitTermination()
+    told = [(r.scan_id, r.fingerprint) for r in tb.read_tables(spark, folder, "issues", schemas.ISSUES).where("ai_explanation IS NOT NULL").collect()]
+    assert told == [(1, one.fingerprint)]
+
+
 def test_rescans_and_reviews(spark):
     """The same sources again change nothing; an added file is new, a removed one resolved; reviews reach the stored issues."""
     first = {k: v for k, v in SOURCES.items() if k[0] == 1}

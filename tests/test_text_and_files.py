@@ -12,7 +12,7 @@ from lintlake.operators import findings as fi
 from lintlake.operators import reports, search
 from lintlake.sources import files as fl
 
-# The masks as Python patterns, with the name prefix the Spark pattern leaves out.
+# The masks as Python patterns, with the name prefix the Spark pattern leaves out.
 ASSIGNMENT = re.compile(
     r"""(?im)((?:[\w]*?(?:password|passwd|api_key|secret|token|private_key)[\w]*)\s*(?::[^=\n]{0,80})?=\s*)(["'])([^\n]*?)\2"""
 )
