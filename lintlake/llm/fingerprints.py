@@ -23,13 +23,16 @@ class Lexicon(NamedTuple):
     in the first and long ones few enough in the last to outlive an edit.
     Copies of a text are one document here. Where less than ``covered`` of a
     text's terms are in the band, as in a rare language or among many near
-    copies, the text goes by all its terms instead, runs of other characters too.
+    copies, the text goes by all its terms instead, runs of other characters
+    too. Within ``margin`` of that border it goes both ways, so that an edit
+    which takes it to the other side still has hashes to compare.
     """
 
     low: float = 0.005
     high: float = 0.2
     groups: int = 8
     covered: float = 0.2
+    margin: float = 0.05
 
 
 #: Bits of the filter for texts that may have copies: one megabyte, whatever the corpus.
@@ -87,13 +90,14 @@ def band(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, words: Column, lexicon: Lexicon) -> DataFrame:
-    """Adds the hash of each subset's sorted distinct terms in the text, 0 where it has none.
+    """Adds the hashes of each subset's sorted distinct terms in the text, 0 where it has none: ``inside`` and ``all``.
 
     What text and lexicon share comes in the order of the lexicon, so it is
     sorted; only the terms of the text are put into a set for that. It is
-    parted by group of subsets first, and then by subset inside the group. A
-    text with too few of its terms in the band has the hashes of all its terms,
-    and a blank one a single hash.
+    parted by group of subsets first, and then by subset inside the group.
+    ``inside`` has the terms in the band, ``all`` every term; of the two a text
+    has the one that its share of terms in the band calls for, or both near the
+    border. A blank text has a single hash under ``all``.
     """
     g = lexicon.groups
     own = df.withColumn("_all", _all_terms(F.col(text))).withColumn("_inside", F.array_intersect(words, F.col("_all")))
@@ -102,8 +106,12 @@ def with_fingerprint(df: DataFrame, text: str, name: str, words: Column, lexicon
     def named(terms: str) -> Column:
         return F.transform(terms, lambda s: F.shiftleft(_subset(s, lexicon), 48).bitwiseOR(s.bitwiseAND((1 << 48) - 1)))
 
-    enough = (F.size("_inside") > 0) & (F.size("_inside") >= F.size("_all") * lexicon.covered)
-    drawn = F.when(enough, named("_inside")).otherwise(F.sort_array(named("_all")))
+    share = F.size("_inside") / F.greatest(F.size("_all"), F.lit(1))
+    some = F.size("_inside") > 0
+    drawn = {
+        "_inside_drawn": F.when(some & (share >= lexicon.covered - lexicon.margin), named("_inside")),
+        "_all_drawn": F.when(~some | (share < lexicon.covered + lexicon.margin), F.sort_array(named("_all"))),
+    }
 
     def hash_of(part: Column) -> Column:
         return F.when(F.size(part) > 0, F.xxhash64(part).bitwiseOR(1)).otherwise(F.lit(0).cast("long"))
@@ -111,26 +119,37 @@ def with_fingerprint(df: DataFrame, text: str, name: str, words: Column, lexicon
     def inner(group: Column, k: Column) -> Column:
         return F.transform(F.sequence(k * g, k * g + (g - 1)), lambda j: hash_of(F.filter(group, lambda x: F.shiftright(x, 48) == j)))
 
-    groups = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda k: F.filter(F.col("_drawn"), lambda x: (F.shiftright(x, 48) >= k * g) & (F.shiftright(x, 48) < k * g + g)))
-    own = own.withColumn("_drawn", drawn).withColumn("_hashes", F.flatten(F.transform(groups, inner)))
-    blank = F.array(F.lit(1).cast("long"))
-    return own.withColumn(name, F.when(F.size("_all") > 0, F.col("_hashes")).otherwise(blank)).drop("_all", "_inside", "_drawn", "_hashes")
+    def hashes(column: str) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda k: F.filter(F.col(column), lambda x: (F.shiftright(x, 48) >= k * g) & (F.shiftright(x, 48) < k * g + g)))
+        return F.when(F.col(column).isNotNull(), F.flatten(F.transform(groups, inner)))
 
+    own = own.withColumns(drawn).withColumns({"_inside_hashes": hashes("_inside_drawn"), "_all_hashes": hashes("_all_drawn")})
+    every = F.when(F.size("_all") > 0, F.col("_all_hashes")).otherwise(F.array(F.lit(1).cast("long")))
+    return own.withColumn(name, F.struct(F.col("_inside_hashes").alias("inside"), every.alias("all"))).drop("_all", "_inside", *drawn, "_inside_hashes", "_all_hashes")
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of the subsets with the same terms among those where either text has a term, from 0 to 1.
 
-    Blank texts are like each other only.
-    """
+def _alike(a: Column, b: Column) -> Column:
+    """Share of the subsets with the same terms among those where either text has a term; null if one has no hashes."""
     pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     either = F.size(F.filter(pairs, lambda p: (p["x"] != 0) | (p["y"] != 0)))
     same = F.size(F.filter(pairs, lambda p: (p["x"] != 0) & (p["x"] == p["y"])))
-    return F.when(F.size(a) != F.size(b), 0.0).otherwise(same / F.greatest(either, F.lit(1)))
+    return F.when(a.isNull() | b.isNull(), None).when(F.size(a) != F.size(b), 0.0).otherwise(same / F.greatest(either, F.lit(1)))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Likeness of two fingerprints from 0 to 1, by the terms that both go by; the better one if they go both ways.
+
+    Blank texts are like each other only.
+    """
+    return F.coalesce(F.greatest(_alike(a["inside"], b["inside"]), _alike(a["all"], b["all"])), F.lit(0.0))
 
 
 def as_text(fingerprint: Column) -> Column:
-    """Each hash as 16 hexadecimal digits."""
-    return F.array_join(F.transform(fingerprint, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    """Each hash as 16 hexadecimal digits, those of the band before those of all terms."""
+    digits = lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")
+    empty = F.array().cast("array<bigint>")
+    hashes = F.concat(F.coalesce(fingerprint["inside"], empty), F.coalesce(fingerprint["all"], empty))
+    return F.array_join(F.transform(hashes, digits), "")
 
 
 def followers(ids: DataFrame, order: str) -> DataFrame:
