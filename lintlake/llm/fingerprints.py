@@ -137,11 +137,13 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprints from 0 to 1, by the terms that both go by; the better one if they go both ways.
+    """Likeness of two fingerprints from 0 to 1: the best one of any two ways that they go.
 
-    Blank texts are like each other only.
+    Of texts that go different ways subsets with terms of the band only can be
+    the same. Blank texts are like each other only.
     """
-    return F.coalesce(F.greatest(_alike(a["inside"], b["inside"]), _alike(a["all"], b["all"])), F.lit(0.0))
+    ways = [_alike(a[x], b[y]) for x in ("inside", "all") for y in ("inside", "all")]
+    return F.coalesce(F.greatest(*ways), F.lit(0.0))
 
 
 def as_text(fingerprint: Column) -> Column:

@@ -290,7 +290,7 @@ def plain_prints(texts, lexicon):
 
 def plain_likeness(a, b):
     found = [0.0]
-    for x, y in zip(a, b):
+    for x, y in [(x, y) for x in a for y in b]:
         if x and y and len(x) == len(y):
             either = [(p, q) for p, q in zip(x, y) if {p, q} != {"0" * 16}]
             found.append(sum(p == q for p, q in either) / max(len(either), 1))
