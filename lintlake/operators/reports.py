@@ -11,7 +11,7 @@ from lintlake.functions import values as V
 from lintlake.functions.text import col, severity_rank
 from lintlake.operators import timelines
 from lintlake.operators.lifecycle import expire_stale
-from lintlake.operators.priority import top_issues
+from lintlake.operators.priority import issue_payload, top_issues
 from lintlake.operators.scoring import file_hotspots
 from lintlake.operators.skew import PUSHED_LIMIT, first_n
 
@@ -121,6 +121,7 @@ def scan_report(scans: DataFrame, repos: DataFrame, issues: DataFrame, now: date
 
     The issues (P5) and hotspots (A7) of a report are frames of their own,
     keyed by ``scan_id``; their number has no bound that a nested row could hold.
+    ``report_lines`` has all of it in order.
     """
     scans = scans if now is None else expire_stale(scans, now)
     url = repos.select("repo_id", F.col("source_url").alias("repo_url"))
@@ -142,6 +143,37 @@ def scan_report(scans: DataFrame, repos: DataFrame, issues: DataFrame, now: date
     return report
 
 
+def report_lines(scans: DataFrame, repos: DataFrame, issues: DataFrame) -> DataFrame:
+    """Q5 in one piece: scan_id, position, part, line - header, hotspots, then issues, all in report order.
+
+    The lines of a report are numbered in slices, so one scan may hold any
+    number of issues; written by ``write_reports`` they are its text.
+    """
+    join = lambda *c: F.concat_ws(" | ", *[F.coalesce(F.col(x).cast("string"), F.lit("-")) for x in c])
+    key = lambda part, first, path, line, last: [
+        F.lit(part).alias("part"), first.cast("double").alias("first"), path.alias("path"), line.cast("long").alias("place"), last.cast("long").alias("last")
+    ]
+    none, zero = F.lit(""), F.lit(0)
+    header = scan_report(scans, repos, issues)
+    head = header.select("scan_id", *key(0, zero, none, zero, zero), join("repo_url", "status", "score", "issue_count", "hotspot_count").alias("line"))
+    spots = file_hotspots(issues).join(scans.select("scan_id"), "scan_id", "left_semi")
+    hundredths = spots.withColumn("weight", F.round(F.col("weight") * 100).cast("long"))
+    spots = hundredths.select("scan_id", *key(1, -F.col("weight"), F.col("file_path"), zero, zero), join("file_path", "finding_count", "weight").alias("line"))
+    shown = issue_payload(issues.join(scans.select("scan_id"), "scan_id", "left_semi"))
+    rows = shown.select(
+        "scan_id", *key(2, -F.col("priority_score"), F.col("file_path"), F.coalesce("line", zero), F.col("id")), join("id", "severity", "priority", "title", "file_path", "line").alias("line")
+    )
+    every = head.unionByName(spots).unionByName(rows)
+    order = [F.col(c) for c in ("part", "first", "path", "place", "last")]
+    return timelines.prefix_sums(every, ["scan_id"], order, {"position": F.lit(1)}).select("scan_id", "position", "part", "line")
+
+
+def write_reports(lines: DataFrame, folder: str) -> None:
+    """The reports as text, in files that hold ranges of (scan, position)."""
+    ordered = lines.repartitionByRange("scan_id", "position").sortWithinPartitions("scan_id", "position")
+    ordered.select(F.concat_ws("\t", F.col("scan_id").cast("string"), F.col("line"))).write.mode("overwrite").text(folder)
+
+
 def owned_scans(scans: DataFrame, repos: DataFrame, owner_id: int | None = None) -> DataFrame:
     """Q6: scans of one owner, those of others being invisible; without ``owner_id`` each scan with its owner."""
     if owner_id is None:

@@ -698,6 +698,11 @@ def _(spark, folder):
     )
 
 
+@query("q5_report_lines")
+def _(spark, folder):
+    return reports.report_lines(scans(spark, folder), repos(spark, folder), stored_issues(spark, folder))
+
+
 @query("q6_owned_scans")
 def _(spark, folder):
     return reports.owned_scans(scans(spark, folder), repos(spark, folder)).select("owner_id", "scan_id", "status")

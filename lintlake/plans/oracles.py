@@ -426,6 +426,15 @@ SELECT s.scan_id, source_url AS repo_url, status, stage, score, {PUBLIC}, source
  coalesce(top_issue_ids, '') AS top_issue_ids, '1' AS priority_version
 FROM scans s LEFT JOIN repos USING (repo_id) LEFT JOIN (SELECT scan_id, count(*) AS n, count(DISTINCT file_path) AS h FROM issues GROUP BY 1) USING (scan_id)
 LEFT JOIN {TOP} USING (scan_id)""")
+SPOTS = ORACLES["a7_file_hotspots"]
+oracle("q5_report_lines", f"""
+SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY part, first, path, place, last) AS position, CAST(part AS INTEGER) AS part, line FROM (
+ SELECT s.scan_id, 0 AS part, 0::DOUBLE AS first, '' AS path, 0 AS place, 0 AS last,
+  concat_ws(' | ', coalesce(source_url, '-'), status, coalesce(CAST(score AS VARCHAR), '-'), coalesce(n, 0), coalesce(h, 0)) AS line
+ FROM scans s LEFT JOIN repos USING (repo_id) LEFT JOIN (SELECT scan_id, count(*) AS n, count(DISTINCT file_path) AS h FROM issues GROUP BY 1) USING (scan_id)
+ UNION ALL SELECT scan_id, 1, -CAST(round(weight * 100) AS BIGINT), file_path, 0, 0, concat_ws(' | ', file_path, finding_count, CAST(round(weight * 100) AS BIGINT)) FROM ({SPOTS})
+ UNION ALL SELECT scan_id, 2, -priority_score, file_path, coalesce(line, 0), id,
+  concat_ws(' | ', id, severity, priority, title, file_path, coalesce(CAST(line AS VARCHAR), '-')) FROM ranked)""")
 oracle("q6_owned_scans", "SELECT owner_id, scan_id, status FROM scans JOIN repos USING (repo_id)")
 oracle("q6_one_owner", "SELECT scan_id, status FROM scans JOIN repos USING (repo_id) WHERE owner_id = 7")
 oracle("q7_public_error", f"SELECT scan_id, {PUBLIC} FROM scans")
