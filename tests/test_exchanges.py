@@ -48,3 +48,17 @@ def test_clustering_takes_empty_tables_and_missing_keys(spark):
 def test_reviews_are_merged_where_the_issues_of_a_scan_are(spark, every_join_sorted):
     merged = catalog.QUERIES["w5_merge_reviews"](spark, FOLDER)
     assert not any("fingerprint" in by for by in exchanges(merged))
+
+
+def test_pairs_are_matched_where_the_rows_of_a_scan_are(spark, every_join_sorted):
+    by = exchanges(catalog.QUERIES["c4_diff_findings"](spark, FOLDER))
+    assert not any("key" in b for b in by)
+
+
+def test_comparisons_store_what_they_read(spark, monkeypatch):
+    written = []
+    keep = catalog.materialize
+    monkeypatch.setattr(catalog, "materialize", lambda df, name: written.append((name, df.columns)) or keep(df, name))
+    for name in ("c4_diff_findings", "c7_comparison_report", "q4_deep_history"):
+        catalog.QUERIES[name](spark, FOLDER)
+    assert not any({"message", "snippet", "source_commit", "started_at"} & set(columns) for _, columns in written)
