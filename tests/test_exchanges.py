@@ -5,6 +5,7 @@ import re
 import pytest
 
 from lintlake import session
+from lintlake.operators import reports
 from lintlake.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -62,3 +63,13 @@ def test_comparisons_store_what_they_read(spark, monkeypatch):
     for name in ("c4_diff_findings", "c7_comparison_report", "q4_deep_history"):
         catalog.QUERIES[name](spark, FOLDER)
     assert not any({"message", "snippet", "source_commit", "started_at"} & set(columns) for _, columns in written)
+
+
+def test_report_lines_are_numbered_where_the_issues_of_a_scan_are(spark, monkeypatch, every_join_sorted):
+    query = catalog.QUERIES["q5_report_lines"]
+    short = query(spark, FOLDER)
+    assert not any("rangepartitioning" in by for by in exchanges(short))
+    want = sorted(map(str, short.collect()))
+    monkeypatch.setattr(reports, "REPORT_ROWS", 3)
+    long = query(spark, FOLDER)
+    assert long.schema == short.schema and sorted(map(str, long.collect())) == want
