@@ -25,13 +25,16 @@ def write_search_index(issues: DataFrame, folder: str, blocks: int = BLOCKS) ->
 
     A block holds whole scans, by a hash of their id, so a scan that is written
     again replaces its block. The index has a row for each different trigram of
-    a block, which is counted before the shuffle.
+    a block, which is counted before the shuffle. It is made of the rows as they
+    are written, so they are worked out once and blocks written earlier stay in
+    it; a text that a block has more than once is cut into trigrams once.
     """
     block = F.pmod(F.xxhash64("scan_id"), F.lit(blocks)).cast("int")
     rows = issues.withColumn("block", block)
     rows.hint("rebalance", "block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block").parquet(f"{folder}/rows")
-    every = F.array_distinct(F.concat(*[_trigrams(F.lower(F.coalesce(c, F.lit("")))) for c in SEARCHED]))
-    index = rows.select("block", F.explode(every).alias("trigram")).distinct().withColumn("part", F.pmod("trigram", F.lit(INDEX_PARTS)).cast("int"))
+    stored = issues.sparkSession.read.parquet(f"{folder}/rows")
+    texts = stored.select("block", F.explode(F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in SEARCHED])).alias("text")).distinct()
+    index = texts.select("block", F.explode(_trigrams(F.col("text"))).alias("trigram")).distinct().withColumn("part", F.pmod("trigram", F.lit(INDEX_PARTS)).cast("int"))
     index.repartition("part").sortWithinPartitions("part", "trigram").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/index")
 
 

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from lintlake import session
-from lintlake.operators import reports
+from lintlake.operators import reports, search
 from lintlake.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -73,3 +73,15 @@ def test_report_lines_are_numbered_where_the_issues_of_a_scan_are(spark, monkeyp
     monkeypatch.setattr(reports, "REPORT_ROWS", 3)
     long = query(spark, FOLDER)
     assert long.dtypes == short.dtypes and sorted(map(str, long.collect())) == want
+
+
+def test_an_index_keeps_the_blocks_written_earlier(spark, tmp_path):
+    row = "scan_id long, id long, title string, message string, file_path string"
+    write = lambda *rows: search.write_search_index(spark.createDataFrame(rows, row), str(tmp_path), blocks=8)
+    write(*[(s, s, f"title of {s}", None, "a.py") for s in range(20)])
+    write((3, 3, "another text", "m", "b.py"))
+    found = lambda text: [r.id for r in search.search_issues(spark, str(tmp_path), text).collect()]
+    assert found("another text") == [3]
+    blocks = spark.range(20).selectExpr("id", "pmod(xxhash64(id), 8) b").collect()
+    of = {r.id: r.b for r in blocks}
+    assert all(found(f"title of {s}")[:1] == [s] for s in range(10, 20) if of[s] != of[3])
