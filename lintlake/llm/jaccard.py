@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import WordHashes, classes, in_chunks, parts
+from lintlake.llm.common import WordHashes, classes, in_chunks, lean, parts
 from lintlake.session import materialize
 
 #: Shingle hashes that one comparison task holds at once, and per part of a large candidate set.
@@ -70,6 +70,7 @@ def signatures(rows: DataFrame, width: int, forest: Forest) -> DataFrame:
     """
     count = forest.trees * forest.max_depth
 
+    @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, factors = WordHashes(), _multipliers(count)
         for frame in frames:
@@ -103,6 +104,7 @@ def _set_key(values: np.ndarray) -> str:
 
 
 def _shingle_sets(width: int):
+    @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHashes()
         for frame in frames:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import in_chunks
+from lintlake.llm.common import in_chunks, lean
 from lintlake.llm.tokens import default_tokenizer, word_tokens
 from lintlake.session import materialize
 
@@ -20,6 +20,7 @@ END_ID = 1
 RANKED_ROWS = 8192
 
 
+@lean
 def _cut(frames: Iterator[pd.DataFrame], path: str, capacity: int, ids_too: bool) -> Iterator[pd.DataFrame]:
     end = np.array([END_ID], "<u4").tobytes()
     for frame in frames:
@@ -93,6 +94,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int
     return out
 
 
+@lean
 def _places(frames: Iterator[pd.DataFrame], table: np.ndarray) -> Iterator[pd.DataFrame]:
     """Sequence and offset of a piece from its length and its rank among the pieces of that length."""
     keys = table[:, 0] << 48 | table[:, 1]
@@ -141,6 +143,12 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None
     stay null; repeated rows are packed as often as they occur. An empty table
     gives an empty result. Only ``doc_id`` and ``text`` are read. The tokenised
     pieces are written once, as they are counted before they get their places.
+    Places are found on rows without ids, which join them by the number of the
+    written piece, so that they are sorted once and pass no Python again.
     """
-    pieces = materialize(cut_documents(docs, capacity, tokenizer or default_tokenizer(), keep_ids), "pieces")
-    return pack(pieces if keep_ids else pieces.drop("ids"), capacity)
+    cut = cut_documents(docs, capacity, tokenizer or default_tokenizer(), keep_ids)
+    if not keep_ids:
+        return pack(materialize(cut, "pieces").drop("ids"), capacity)
+    pieces = materialize(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    placed = pack(pieces.drop("ids"), capacity)
+    return pieces.select("piece", "ids").join(placed, "piece").select(*cut.columns, "sequence_id", "offset")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import WordHashes, in_chunks
+from lintlake.llm.common import WordHashes, in_chunks, lean
 from lintlake.session import materialize
 
 # Frequent function words, the bins of the word histogram. Those of other languages are counted in the table.
@@ -98,6 +98,7 @@ def other_languages(docs: DataFrame, text: str = "text", lang: str = "lang", lan
     if not names:
         return {}
 
+    @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [b"" if t is None else bytes(t) for t in frame["text"]]
@@ -145,6 +146,7 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang
     spots = {w.encode(): tuple(v) for w, v in bins.items()}
     rests = np.cumsum([len(languages[c]) + 1 for c in sorted(languages)]) - 1
 
+    @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHashes()
         for frame in frames:

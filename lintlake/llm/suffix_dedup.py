@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lintlake.llm.common import parts
+from lintlake.llm.common import lean, parts
 
 BATCH_BYTES = 16 << 20
 #: Batches that rows with one id and text are spread over.
@@ -106,6 +106,7 @@ def _flat(parts: list[np.ndarray], kind: str) -> np.ndarray:
 KEY_SCHEMA = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("marks", pa.binary())])
 
 
+@lean
 def _anchors_of_batch(docs: pa.Table, width: int, buckets: int) -> pa.Table:
     """Distinct anchors of a batch by bucket, each with a mark.
 
@@ -139,6 +140,7 @@ def _names(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+@lean
 def _shared_anchors(frame: pd.DataFrame, width: int, bucket_bytes: int) -> pd.DataFrame:
     """For each batch of a bucket: its anchors that two documents have, anywhere, and the hot ones with their numbers of buckets."""
     keys = [np.frombuffer(x, "<u4") for x in frame["keys"]]
@@ -176,6 +178,7 @@ RUN_COLUMNS = "bucket long, batch long, docs binary, starts binary, lengths bina
 RUN_SCHEMA = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("docs", "starts", "lengths", "data"))])
 
 
+@lean
 def _runs_of_batch(docs: pa.Table, wanted: pa.Table, width: int, buckets: int) -> pa.Table:
     """The runs of a batch under shared anchors.
 
@@ -258,6 +261,7 @@ class IndexFamily:
         return old[names], names
 
 
+@lean
 def _covered_runs(frame: pd.DataFrame, width: int, batch_bytes: int) -> pd.DataFrame:
     """Stretches of a bucket's runs that a smaller document has, for each batch."""
     if frame["data"].iloc[0] is None:
@@ -323,6 +327,7 @@ def _covered_runs(frame: pd.DataFrame, width: int, batch_bytes: int) -> pd.DataF
     )
 
 
+@lean
 def _rest(docs: pa.Table, covered: pa.Table, schema: pa.Schema, texts_too: bool) -> pa.Table:
     """Each document of a batch without its covered bytes, and what else its row had."""
     if not docs.num_rows:

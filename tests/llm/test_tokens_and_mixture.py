@@ -1,8 +1,12 @@
 """Operators 2, 4, 6, 7 and 9 against the libraries and brute force."""
 
+import ctypes
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,12 +15,14 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lintlake.llm.mixing import apportion, mix, targets
+from lintlake.llm import packing, suffix_dedup
 from lintlake.llm.packing import fullest, pack_documents, plan
 from lintlake.llm.quality import other_languages, quality_rules
 from lintlake.llm.prefixes import prefix_counts
 from lintlake.llm.sharding import jump_hash, shard_documents
 from lintlake.llm.tokens import default_tokenizer, fit, prefix_table, token_counts, tokens_up_to, word_tokens
 
+ROOT = Path(__file__).resolve().parents[2]
 ODD = ["<|endoftext|> and <|startoftext|>x", "été ́x", "a b c\x85d", "日本語 text", "İstanbul ΣΑΣ ς", "''s 're'll", "\x00\x1c a\x1fb", "½ ² Ⅷ 12", "a\r\n\r\nb", "ﬁ ẞ ŒUVRE œ", "<|", "🙂🙂 ok"]
 
 
@@ -127,6 +133,42 @@ def test_packing_keeps_every_id_once(corpus, texts, empty):
     assert pack_documents(empty).count() == 0
 
 
+HELD = """
+import re, sys
+from lintlake.llm import common, jaccard, packing, quality, suffix_dedup
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+
+def task(frames):
+    for n in frames:
+        texts = [bytes(3000) for _ in range(n)]
+        yield texts[-1]
+
+before = held()
+kept = list(common.lean(task)([50_000]) if sys.argv[1] == "lean" else task([50_000]))
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="the C library cannot give memory back")
+def test_a_worker_gives_back_what_a_task_has_freed():
+    run = lambda how: int(subprocess.run([sys.executable, "-c", HELD, how], cwd=ROOT, capture_output=True, text=True, check=True).stdout)
+    assert run("plain") > 100 > 30 > run("lean")
+    for module, names in ((packing, ("_cut", "_places")), (suffix_dedup, ("_anchors_of_batch", "_shared_anchors", "_runs_of_batch", "_covered_runs", "_rest"))):
+        assert all(hasattr(getattr(module, name), "__wrapped__") for name in names)
+
+
+def test_ids_stay_out_of_the_ranking(corpus, monkeypatch):
+    seen, keep = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda pieces, capacity: seen.append(pieces.columns) or keep(pieces, capacity))
+    whole = pack_documents(corpus, capacity=256)
+    short = pack_documents(corpus, capacity=256, keep_ids=False)
+    assert len(seen) == 2 and not any("ids" in columns for columns in seen)
+    assert whole.columns == short.columns[:5] + ["ids"] + short.columns[5:]
+    assert sorted(map(str, whole.drop("ids").collect())) == sorted(map(str, short.collect()))
+
+
 def test_fullest_is_a_subset_sum():
     rng = np.random.default_rng(0)
     for _ in range(200):
