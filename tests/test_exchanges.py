@@ -5,7 +5,7 @@ import re
 import pytest
 
 from lintlake import session
-from lintlake.operators import reports, search
+from lintlake.operators import reports, reviews, search
 from lintlake.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -51,6 +51,26 @@ def test_reviews_are_merged_where_the_issues_of_a_scan_are(spark, every_join_sor
     assert not any("fingerprint" in by for by in exchanges(merged))
 
 
+def test_reviews_are_judged_where_the_candidates_of_a_scan_are(spark, monkeypatch):
+    written = []
+    keep = catalog.materialize
+    monkeypatch.setattr(catalog, "materialize", lambda df, name: written.append(name) or keep(df, name))
+    for name in ("w2_review_payload", "w3_validate_reviews"):
+        by = exchanges(catalog.QUERIES[name](spark, FOLDER))
+        assert len(by) == 1 and "l_orderkey" in by[0]
+    assert not written
+    asked = catalog.asked_findings(spark, FOLDER)
+    assert written == ["asked"]
+    want = reviews.validate_reviews(catalog.given_reviews(asked))
+    got = catalog.QUERIES["w3_validate_reviews"](spark, FOLDER)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_reviews_are_accepted_by_scan(spark, every_join_sorted):
+    by = exchanges(catalog.QUERIES["w4_accept_reviews"](spark, FOLDER))
+    assert by and all("scan_id" in b and "fingerprint" not in b for b in by)
+
+
 def test_pairs_are_matched_where_the_rows_of_a_scan_are(spark, every_join_sorted):
     by = exchanges(catalog.QUERIES["c4_diff_findings"](spark, FOLDER))
     assert not any("key" in b for b in by)
