@@ -33,6 +33,8 @@ COUNTED_WORDS = 1 << 18
 CHUNK_CHARS = 1 << 21
 #: From this many bytes on a piece is merged with a heap.
 LONG_PIECE = 100
+#: Up to these many bytes pieces merge together, as rows of one width; longer ones merge one by one.
+WIDTHS = (4, 6, 8, 10, 12, 16, 24, 32)
 
 # The pieces of a byte-level vocabulary, and the bytes that stand for themselves in its file.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -95,6 +97,10 @@ class BytePairs:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self._ranks = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(merges)}
         self._made = [ids[a + b] for a, b in merges]
+        pairs = sorted((a << 32 | b, rank) for (a, b), rank in self._ranks.items())
+        self._pairs, self._pair_ranks = np.array(pairs, np.int64).reshape(-1, 2).T.copy()
+        self._ids_of_bytes, self._made_ids = np.array(self._byte_ids, np.int64), np.array(self._made, np.int64)
+        self._byte_ranks = self._ranked(np.repeat(self._ids_of_bytes, 256), np.tile(self._ids_of_bytes, 256)).reshape(256, 256)
         self.special = {t["content"]: t["id"] for t in added}
         tokens = ids | self.special
         self._bytes = [b""] * (max(tokens.values(), default=-1) + 1)
@@ -147,10 +153,63 @@ class BytePairs:
                 heapq.heappush(heap, (r, before[i]))
         return [i for i in ids if i >= 0]
 
-    def decode(self, ids: list[int]) -> str:
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece, as ``merge`` gives them."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        by_size, out = np.argsort(sizes, kind="stable"), [b""] * len(pieces)
+        edges = np.searchsorted(sizes[by_size], WIDTHS, "right").tolist()
+        for width, lo, hi in zip(WIDTHS, [0, *edges], edges):
+            own = by_size[lo:hi].tolist()
+            for i, ids in zip(own, self._merge_rows([pieces[i] for i in own], width)):
+                out[i] = ids
+        for i in by_size[edges[-1] :].tolist():
+            out[i] = np.array(self.merge(pieces[i]), "<u4").tobytes()
+        return out
+
+    def _merge_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """The same order of merges for pieces of at most ``width`` bytes: each round merges the next pair of every piece."""
+        none, n = len(self._made), len(pieces)
+        data = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(n, width)
+        left, row = np.fromiter(map(len, pieces), np.int64, n), np.arange(n)
+        ids, order = self._ids_of_bytes[data], np.full((n, width), none)
+        order[:, :-1] = self._byte_ranks[data[:, :-1], data[:, 1:]]
+        order[np.arange(width) >= left[:, None] - 1] = none  # the rank of each id with the next one
+        out, sizes = np.zeros((n, width), "<u4"), np.zeros(n, np.int64)
+        while len(row):
+            at, each = order.argmin(1), np.arange(len(row))
+            best = order[each, at]
+            more = best < none
+            if not more.all():
+                out[row[~more], : ids.shape[1]], sizes[row[~more]] = ids[~more], left[~more]
+                row, left, ids, order, at, best = row[more], left[more] - 1, ids[more], order[more], at[more], best[more]
+                each = np.arange(len(row))
+            else:
+                left = left - 1
+            k = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, k + (k > at[:, None]), 1)
+            order = np.take_along_axis(order, k + (k >= at[:, None]), 1)
+            ids[each, at] = self._made_ids[best]
+            r = np.flatnonzero(at > 0)
+            order[r, at[r] - 1] = self._ranked(ids[r, at[r] - 1], ids[r, at[r]])
+            r = np.flatnonzero(at + 1 < left)
+            order[r, at[r]] = self._ranked(ids[r, at[r]], ids[r, at[r] + 1])
+        packed, ends = out[np.arange(width) < sizes[:, None]].tobytes(), np.cumsum(4 * sizes)
+        return [packed[a:b] for a, b in zip((ends - 4 * sizes).tolist(), ends.tolist())]
+
+    def _ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, the number of merges for pairs that never merge."""
+        if not len(self._pairs):
+            return np.zeros(len(a), np.int64)
+        pair = a << 32 | b
+        at = np.minimum(np.searchsorted(self._pairs, pair), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == pair, self._pair_ranks[at], len(self._made))
+
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters, unknown ids nothing."""
-        size, known = len(self._bytes), self._bytes
-        return b"".join([known[i] for i in ids if 0 <= i < size]).decode("utf-8", "replace")
+        ids, known = np.asarray(ids, np.int64), self._bytes
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(known):
+            ids = ids[(ids >= 0) & (ids < len(known))]
+        return b"".join(map(known.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 @cache
@@ -332,25 +391,41 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _encoded(texts: list[str], pairs: BytePairs, lexicon: Lexicon) -> list[bytes]:
-    """Packed ids of each text: words of the lexicon by its automaton, the others merged once for all these texts."""
-    cut = [pairs.pieces(t) for t in texts]
-    words = list(set(chain.from_iterable(cut)))
-    packed = [w.encode() for w in words]
-    places = lexicon.places(packed)
-    ids = dict(zip([words[i] for i in np.flatnonzero(places >= 0).tolist()], lexicon.ids_at(places[places >= 0])))
-    for i in np.flatnonzero(places < 0).tolist():
-        own = pairs.special.get(words[i])
-        ids[words[i]] = np.array(pairs.merge(packed[i]) if own is None else [own], "<u4").tobytes()
-    return [b"".join(map(ids.__getitem__, own)) for own in cut]
+class Encoder:
+    """Encodes texts: words of the lexicon by its automaton, the others merged, each once for the texts of a call.
+
+    Words that have walked through the automaton are remembered, so at most the
+    lexicon's; the others are forgotten after the call.
+    """
+
+    def __init__(self, pairs: BytePairs, lexicon: Lexicon) -> None:
+        self._pairs, self._lexicon = pairs, lexicon
+        self._known = {w: np.array([i], "<u4").tobytes() for w, i in pairs.special.items()}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        known, rows, fresh = self._known.get, [], set()
+        for text in texts:
+            pieces = self._pairs.pieces(text)
+            row = list(map(known, pieces, pieces))  # a word that is not known stays
+            fresh.update([x for x in row if x.__class__ is str])
+            rows.append(row)
+        words = list(fresh)
+        packed = [w.encode() for w in words]
+        places = self._lexicon.places(packed)
+        inside, others = np.flatnonzero(places >= 0), np.flatnonzero(places < 0).tolist()
+        found = dict(zip([words[i] for i in inside.tolist()], self._lexicon.ids_at(places[inside])))
+        self._known.update(found)
+        found.update(zip([words[i] for i in others], self._pairs.merge_all([packed[i] for i in others])))
+        return [b"".join([found[x] if x.__class__ is str else x for x in row]) for row in rows]
 
 
 def _over(frames: Iterator[pd.DataFrame], path: str, name: str) -> Iterator[tuple[pd.Series, list[bytes]]]:
-    pairs, lexicon = byte_pairs(path), _lexicon(name)
+    encode = Encoder(byte_pairs(path), _lexicon(name))
     for frame in frames:
         texts = frame["text"].tolist()
         for lo, hi in in_chunks(texts, CHUNK_CHARS):
-            yield frame["doc_id"].iloc[lo:hi], _encoded(texts[lo:hi], pairs, lexicon)
+            yield frame["doc_id"].iloc[lo:hi], encode(texts[lo:hi])
 
 
 def _ids(frames: Iterator[pd.DataFrame], path: str, name: str) -> Iterator[pd.DataFrame]:
@@ -361,7 +436,7 @@ def _ids(frames: Iterator[pd.DataFrame], path: str, name: str) -> Iterator[pd.Da
 def _digests(frames: Iterator[pd.DataFrame], path: str, name: str) -> Iterator[pd.DataFrame]:
     pairs = byte_pairs(path)
     for doc_id, packed in _over(frames, path, name):
-        texts = [pairs.decode(np.frombuffer(p, "<u4").tolist()) for p in packed]
+        texts = [pairs.decode(np.frombuffer(p, "<u4")) for p in packed]
         yield pd.DataFrame({
             "doc_id": doc_id, "n_tokens": [len(p) // 4 for p in packed], "ids_sha256": [sha256(p).hexdigest() for p in packed],
             "decoded_sha256": [sha256(t.encode()).hexdigest() for t in texts],
@@ -371,7 +446,7 @@ def _digests(frames: Iterator[pd.DataFrame], path: str, name: str) -> Iterator[p
 def _texts(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
     pairs = byte_pairs(path)
     for frame in frames:
-        yield frame.assign(text=[pairs.decode([] if ids is None else list(ids)) for ids in frame["ids"]])[["doc_id", "text"]]
+        yield frame.assign(text=[pairs.decode([] if ids is None else ids) for ids in frame["ids"]])[["doc_id", "text"]]
 
 
 def _run(docs: DataFrame, tokenizer: str | None, lexicon: str | None, id_column: str, text: str, step, columns: str) -> DataFrame:

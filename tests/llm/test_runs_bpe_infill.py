@@ -7,11 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from lintlake.llm import bpe
 from lintlake.llm.bpe import BytePairs, Lexicon, bpe_decode, bpe_digest, bpe_encode, byte_pairs, compile_lexicon, default_tokenizer, frequent_words
 from lintlake.llm.infill import MARKS, UNIT, infill, infill_digest, restore
 from lintlake.llm.runs import SquareCatcher, periodic_runs, runs_digest
@@ -137,6 +139,30 @@ def test_pieces_and_merges_equal_the_library(text):
     assert ids == Tokenizer.from_file(default_tokenizer()).encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=40), st.text(st.sampled_from("abcdeinorst é"), max_size=40).map(str.encode)), max_size=30))
+def test_pieces_merged_together_are_those_merged_alone(pieces):
+    pairs = byte_pairs(default_tokenizer())
+    assert [np.frombuffer(p, "<u4").tolist() for p in pairs.merge_all(pieces)] == [pairs.merge(p) for p in pieces]
+
+
+def test_a_task_walks_a_word_once_and_merges_the_others_together(monkeypatch):
+    path, library = default_tokenizer(), Tokenizer.from_file(default_tokenizer())
+    pairs, asked, alone = byte_pairs(path), Counter(), []
+    lexicon = Lexicon(Lexicon.compile({w: pairs.merge(w) for w in (b"aa", b" bb")}))
+    places, merge = Lexicon.places, BytePairs.merge
+    monkeypatch.setattr(bpe, "_lexicon", lambda name: lexicon)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 40)
+    monkeypatch.setattr(Lexicon, "places", lambda self, words: asked.update(words) or places(self, words))
+    monkeypatch.setattr(BytePairs, "merge", lambda self, piece: alone.append(piece) or merge(self, piece))
+    texts = [f"aa bb own{i}xq{i * i}<|endoftext|> bb" for i in range(40)] + ["q" * 50, ""]
+    got = pd.concat(bpe._digests(iter([pd.DataFrame({"doc_id": range(len(part)), "text": part}) for part in (texts[:30], texts[30:])]), path, ""))
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got["ids_sha256"].tolist() == [sha(np.array(i, "<u4").tobytes()) for i in ids] and got["n_tokens"].tolist() == list(map(len, ids))
+    assert asked[b"aa"] == asked[b" bb"] == 1
+    assert alone == [b"q" * 50]
+
+
 def test_other_vocabularies_are_refused():
     import public_tokenizers
 
