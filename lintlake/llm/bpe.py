@@ -9,7 +9,6 @@ import re
 import tempfile
 import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache, partial
 from hashlib import sha256
@@ -18,18 +17,20 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import in_chunks
+from lintlake.llm.common import in_chunks, lean
 from lintlake.session import materialize
 
 #: Words of the lexicon at most, and bytes of one of them; these bound what the driver and each worker hold.
 LEXICON_WORDS = 1 << 17
 WORD_BYTES = 64
-#: Distinct words that a task counts before it passes them on.
-COUNTED_WORDS = 1 << 18
+#: Characters whose words a task counts before it passes them on.
+COUNTED_CHARS = 1 << 24
 CHUNK_CHARS = 1 << 21
 #: From this many bytes on a piece is merged with a heap.
 LONG_PIECE = 100
@@ -338,16 +339,26 @@ def _lexicon(name: str) -> Lexicon:
     return Lexicon.open(SparkFiles.get(name))
 
 
-def _counted(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
-    pairs, seen = byte_pairs(path), Counter()
-    for frame in frames:
-        for text in frame["text"]:
-            seen.update(pairs.pieces(text))
-            if len(seen) > COUNTED_WORDS:
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                seen.clear()
-    if seen:
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+@lean
+def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    pairs, cut, chars = byte_pairs(path), [], 0
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for lo, hi in in_chunks(texts, CHUNK_CHARS):
+            cut.append(pa.array(list(chain.from_iterable(map(pairs.pieces, texts[lo:hi]))), pa.large_string()))
+            chars += sum(map(len, texts[lo:hi])) + 1
+            if chars > COUNTED_CHARS:
+                yield _counts(cut)
+                cut, chars = [], 0
+    if cut:
+        yield _counts(cut)
+
+
+def _counts(cut: list[pa.Array]) -> pa.RecordBatch:
+    """The words that a lexicon may hold and how often they occur."""
+    words, counts = pa.chunked_array(cut).value_counts().flatten()
+    short = pc.less_equal(pc.binary_length(words), WORD_BYTES)
+    return pa.RecordBatch.from_arrays([words.filter(short).cast(pa.string()), counts.filter(short)], ["word", "n"])
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text: str = "text") -> list[str]:
@@ -359,7 +370,7 @@ def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text:
     then no more than ``most`` words reach the driver.
     """
     picked = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    counts = picked.mapInPandas(partial(_counted, path=path), "word string, n long").where(F.octet_length("word") <= WORD_BYTES)
+    counts = picked.mapInArrow(partial(_counted, path=path), "word string, n long")
     counts = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("class", F.floor(F.log2("n") * 8).cast("int"))
     counts = materialize(counts, "words")
     sizes = sorted(((r["class"], r["size"]) for r in counts.groupBy("class").agg(F.count("*").alias("size")).collect()), reverse=True)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -191,6 +192,19 @@ def test_frequent_words_are_those_of_all_documents(spark):
     assert {" aa", " bb"} <= set(frequent_words(docs, default_tokenizer(), 100))
 
 
+def test_words_of_a_task_are_counted_in_whole_portions(monkeypatch):
+    texts = [f"aa bb aa own{i} {'q' * 70}" for i in range(60)] + [""] * 40 + ["aa" * 30]
+    want = Counter(w for t in texts for w in byte_pairs(default_tokenizer()).pieces(t) if len(w.encode()) <= 64)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 300)
+    for most, portions in ((1000, 5), (1 << 24, 1)):  # 12 or 13 of the long texts a portion
+        monkeypatch.setattr(bpe, "COUNTED_CHARS", most)
+        batches = [pa.RecordBatch.from_arrays([pa.array(part)], ["text"]) for part in (texts[:25], texts[25:95], texts[95:], [])]
+        seen = [dict(zip(*b.to_pydict().values())) for b in bpe._counted(iter(batches), default_tokenizer())]
+        assert len(seen) == portions and sum(map(Counter, seen), Counter()) == want
+    monkeypatch.undo()
+    assert [b.num_rows for b in bpe._counted(iter([pa.RecordBatch.from_arrays([pa.array([""])], ["text"])]), default_tokenizer())] == [0]
+
+
 def plain_infill(i, text):
     units = re.findall(UNIT, text)
     digest = sha(f"42:{'' if i is None else i}")
